@@ -4,6 +4,8 @@ Patterns are written for ``java.util.regex``.  Loops over groups are possessive:
 the greedy form recurses once per repetition and overflows the stack on long runs.
 """
 
+import html.entities
+
 # Whitespace as the source dialect defines ``\s`` (wider than Java's ASCII ``\s``).
 WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 # Whitespace inside HTML markup.
@@ -215,7 +217,12 @@ ATTRIBUTE = (
     f"(?s)[^{HTML_WS}/>=][^{HTML_WS}/>=]*+"
     f"(?:[{HTML_WS}]*+=[{HTML_WS}]*+(?:\"[^\"]*+\"?|'[^']*+'?|[^{HTML_WS}>\"'][^{HTML_WS}>]*+))?+"
 )
+# In text the oldest names also count without their semicolon; in attributes they do not.
+ENTITY_NAMES_WITHOUT_SEMICOLON = sorted(
+    (n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n)
+)
 ENTITY = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)"
+TEXT_ENTITY = ENTITY[:-1] + "|(?:" + "|".join(ENTITY_NAMES_WITHOUT_SEMICOLON) + "))"
 
 VOID_TAGS = [
     "area", "base", "basefont", "br", "col", "command", "embed", "frame", "hr", "img",

@@ -10,6 +10,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltscreen.functions import patterns as P
 
@@ -39,7 +40,7 @@ def rewrite_matches(text: Column, pattern: str, fn: Callable[[Column], Column])
 # --- Unicode -------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
@@ -215,8 +216,8 @@ def _entity(ref: Column) -> Column:
     ).otherwise(F.coalesce(named, ref))
 
 
-def decode_entities(text: Column) -> Column:
-    return F.when(text.contains("&"), rewrite_matches(text, P.ENTITY, _entity)).otherwise(text)
+def decode_entities(text: Column, pattern: str = P.TEXT_ENTITY) -> Column:
+    return F.when(text.contains("&"), rewrite_matches(text, pattern, _entity)).otherwise(text)
 
 
 def attributes(open_tag: Column) -> Column:
@@ -225,7 +226,7 @@ def attributes(open_tag: Column) -> Column:
     def parse(raw: Column) -> Column:
         name = F.lower(F.regexp_extract(raw, f"^[^{P.HTML_WS}=]++", 0))
         value = F.regexp_extract(raw, f"(?s)^[^=]++=[{P.HTML_WS}]*+([\"']?)(.*?)\\1?$", 2)
-        return F.struct(name.alias("name"), decode_entities(value).alias("value"))
+        return F.struct(name.alias("name"), decode_entities(value, P.ENTITY).alias("value"))
 
     return F.transform(matches(F.regexp_replace(open_tag, P.TAG_NAME, ""), P.ATTRIBUTE), parse)
 

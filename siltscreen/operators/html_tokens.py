@@ -27,12 +27,16 @@ def _in_order(*keys: str):
 
 
 def html_tokens(
-    pages: DataFrame, html: str = "html", key: list[str] | None = None
+    pages: DataFrame,
+    html: str = "html",
+    key: list[str] | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per token: `pos, tok, kind, tag, head`; page columns ride on the first token.
 
     `key` names columns that spread the pages well (default: the columns beside the html).
-    It need not be unique; without any such column the html itself is hashed.
+    It need not be unique; without any such column the html itself is hashed.  The columns
+    in `carry` are repeated on every token.
     """
     others = [c for c in pages.columns if c != html]
     route = F.xxhash64(*(key or others or [html]))
@@ -47,12 +51,13 @@ def html_tokens(
     size = F.octet_length(html).cast("bigint").alias("input_size")
     tokens = pages.select(
         *PAGE,
+        *carry,
         F.struct(*others, size).alias("_page"),
         F.posexplode_outer(fn.matches(F.col(html), P.TOKEN)).alias("pos", "tok"),
     )
     pos = F.coalesce("pos", F.lit(0))
     return classify(
-        tokens.select(*PAGE, F.when(pos == 0, F.col("_page")).alias("_page"), pos.alias("pos"), "tok")
+        tokens.select(*PAGE, *carry, F.when(pos == 0, F.col("_page")).alias("_page"), pos.alias("pos"), "tok")
     )
 
 

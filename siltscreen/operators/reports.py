@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltscreen.schema import COMMAND_TOOL, COUNTERS, FILE_TOOL, LABELS, LOG_KEYS, PAGE_TOOL, SESSION_COUNTERS
@@ -46,40 +46,34 @@ def session_report(df: DataFrame, session: str) -> DataFrame:
     )
 
 
-def session_sources(df: DataFrame, session: str, order: str) -> DataFrame:
-    """What a session processed, in order: one row per source, `kind` and `position`.
+def session_sources(df: DataFrame, session: str, order: str, bucket: Column) -> DataFrame:
+    """What a session processed, in order: one row per source with its `kind` and `position`.
 
-    Positions come from a range sort and per-partition counts, so a session that holds a
-    third of all rows is neither collected into one array nor ranked in one task.
+    A session may hold a third of all rows, so it is neither collected into one array nor
+    ranked in one task: rows are ranked inside a `bucket` of the order column, and the counts
+    of the earlier buckets, one row per (session, kind, bucket), are added.  `bucket` must not
+    decrease with `order`.
     """
     kind = (
         F.when(F.col("tool") == PAGE_TOOL, "urls")
         .when(F.col("tool") == FILE_TOOL, "files")
         .when(F.col("tool") == COMMAND_TOOL, "commands")
     )
-    listed = df.select(session, kind.alias("kind"), order, "source")
-    return numbered_within(listed, [session, "kind"], [order, "source"], "position")
-
-
-def numbered_within(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """1-based rank of each row within its key, exact, without one task per key.
-
-    Rows are range-partitioned on (key, order), which cuts a hot key into many partitions;
-    each row's rank is its rank inside its partition plus the rows of the same key in earlier
-    partitions, a table with one row per (partition, key).
-    """
-    from pyspark.sql import Window
-
-    parts = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
-    inside = parts.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
+    keys = [session, "kind"]
+    listed = df.select(session, kind.alias("kind"), order, "source", bucket.alias("_bucket"))
+    in_bucket = Window.partitionBy(*keys, "_bucket").orderBy(order, "source")
+    ranked = listed.withColumn("_rank", F.row_number().over(in_bucket))
+    earlier = (
+        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
-    counts = inside.groupBy("_part", *keys).agg(F.max("_rank").cast("bigint").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return inside.join(offsets, ["_part", *keys]).select(
-        *keys, (F.col("_rank") + F.col("_before")).cast("bigint").alias(out), *order
+    before = (
+        listed.groupBy(*keys, "_bucket")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .drop("_n")
     )
+    position = (F.col("_rank") + F.col("_before")).cast("bigint").alias("position")
+    return ranked.join(before, [*keys, "_bucket"]).select(*keys, position, "source")
 
 
 # --- the log ---------------------------------------------------------------------

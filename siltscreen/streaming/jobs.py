@@ -65,3 +65,25 @@ def write_stream(df: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
         .trigger(availableNow=True)
         .start()
     )
+
+
+def write_updates(df: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Changed groups of every micro-batch, one folder per batch (safe to replay)."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return (
+        df.writeStream.foreachBatch(write)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_updates(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest version of each group from what `write_updates` wrote."""
+    values = [c for c in updates.columns if c not in (*keys, "batch")]
+    newest = F.max_by(F.struct(*values), F.col("batch")).alias("_v")
+    return updates.groupBy(*keys).agg(newest).select(*keys, "_v.*")
