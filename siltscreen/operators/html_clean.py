@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltscreen.functions import text as fn
-from siltscreen.operators.html_tokens import PAGE, _in_order, element_ends, html_tokens
+from siltscreen.operators.html_tokens import PAGE, element_ends, html_tokens, in_order, tag_in
 from siltscreen.schema import HTML_COUNTERS
 
 # Phases that can remove more than their own token, in order.
@@ -21,7 +21,7 @@ def flag_elements(tokens: DataFrame) -> DataFrame:
     """Add `attrs, style, hidden, off_screen, same_color` (flags are false off start tags)."""
     head, style = F.col("head"), fn.attribute(F.col("attrs"), "style")
     # Attributes are parsed only for start tags that can matter.
-    matters = head.rlike("(?i)style|hidden") | (head.isNotNull() & F.col("tag").isin(ATTRIBUTED))
+    matters = head.rlike("(?i)style|hidden") | (head.isNotNull() & tag_in(ATTRIBUTED))
     tokens = tokens.withColumn("attrs", F.when(matters, fn.attributes(head)))
     return tokens.withColumn("style", style).withColumns(
         {
@@ -49,11 +49,12 @@ def mark_removed(tokens: DataFrame, extra_spans: dict[str, Column] | None = None
         "same_color": F.col("same_color"),
         "noscript": element & (tag == "noscript"),
     }
+    so_far = in_order()
     spans = {**flags, "element": element, **(extra_spans or {})}
     t = tokens.withColumns(
         {
             f"in_{name}": F.coalesce(
-                F.max(F.when(cond, end)).over(_in_order()) >= pos, F.lit(False)
+                F.max(F.when(cond, end)).over(so_far) >= pos, F.lit(False)
             )
             for name, cond in spans.items()
         }

@@ -18,7 +18,8 @@ PAGE = ["_route", "_row"]
 END_OF_PAGE = 2**31 - 1
 
 
-def _in_order(*keys: str):
+def in_order(*keys: str):
+    """From the start of the page (or of the page's `keys`) up to this token."""
     return (
         Window.partitionBy(*PAGE, *keys)
         .orderBy("pos")
@@ -26,6 +27,11 @@ def _in_order(*keys: str):
     )
 
 
+def tag_in(tags: list[str]) -> Column:
+    names = ", ".join(f"'{t}'" for t in tags)
+    return F.expr(f"tag IN ({names})")
+
+
 def html_tokens(
     pages: DataFrame,
     html: str = "html",
@@ -79,7 +85,7 @@ def classify(tokens: DataFrame) -> DataFrame:
         "tag", F.when(is_tag | is_end, F.lower(F.regexp_extract(tok, P.TAG_NAME, 1)))
     )
     # The start tag alone; '' when the page ends inside it.
-    whole = tag.isin(P.RAW_ELEMENTS + P.TEXT_ELEMENTS)
+    whole = tag_in(P.RAW_ELEMENTS + P.TEXT_ELEMENTS)
     head = F.when(whole, F.regexp_extract(tok, P.OPEN_TAG, 0)).otherwise(
         F.when(tok.endswith(">"), tok).otherwise("")
     )
@@ -88,9 +94,9 @@ def classify(tokens: DataFrame) -> DataFrame:
     kind = (
         F.when(tok.isNull() | ~tok.startswith("<") | (tok == "<"), "text")
         .when(F.col("head") == "", "decl")
-        .when(started & tag.isin(P.RAW_ELEMENTS), "raw")
-        .when(started & tag.isin(P.TEXT_ELEMENTS), "rawtext")
-        .when(started & tag.isin(P.VOID_TAGS), "void")
+        .when(started & tag_in(P.RAW_ELEMENTS), "raw")
+        .when(started & tag_in(P.TEXT_ELEMENTS), "rawtext")
+        .when(started & tag_in(P.VOID_TAGS), "void")
         .when(started, "open")
         .when(tag.isNotNull(), "close")
         .when(
@@ -116,7 +122,7 @@ def element_ends(tokens: DataFrame) -> DataFrame:
     kind, pos = F.col("kind"), F.col("pos")
     opens, closes = kind == "open", kind == "close"
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
-    t = tokens.withColumn("_level", F.sum(step).over(_in_order("tag")) + F.when(closes, 1).otherwise(0))
+    t = tokens.withColumn("_level", F.sum(step).over(in_order("tag")) + F.when(closes, 1).otherwise(0))
 
     level = Window.partitionBy(*PAGE, "tag", "_level").orderBy("pos")
     t = t.withColumns(
@@ -134,7 +140,7 @@ def element_ends(tokens: DataFrame) -> DataFrame:
         }
     )
     pair = F.col("_pair")
-    t = t.withColumn("_depth", F.sum(pair).over(_in_order()))
+    t = t.withColumn("_depth", F.sum(pair).over(in_order()))
     # Level at which the token stands inside its element / beside its siblings.
     t = t.withColumns(
         {
@@ -144,28 +150,25 @@ def element_ends(tokens: DataFrame) -> DataFrame:
     )
 
     # Running frames over descending positions: "the nearest one after this token".
-    def nearest_after(condition: Column, *keys: str) -> Column:
-        later = (
-            Window.partitionBy(*PAGE, *keys)
-            .orderBy(F.desc("pos"))
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        return F.min(F.when(condition, pos)).over(later)
+    def after(level: str):
+        later = Window.partitionBy(*PAGE, level).orderBy(F.desc("pos"))
+        return later.rowsBetween(Window.unboundedPreceding, -1)
 
-    t = t.withColumn("_enclosing", nearest_after(pair == -1, "_inner"))
+    t = t.withColumn("_enclosing", F.min(F.when(pair == -1, pos)).over(after("_inner")))
     unclosed = opens & (pair == 0)
+    starts, beside = opens | (kind == "void"), after("_outer")
     siblings = {}
     for family, (_, enders) in P.OPTIONAL_END.items():
-        ends_it = kind.isin("open", "void") & F.col("tag").isin(enders)
-        siblings[f"_{family}_end"] = nearest_after(ends_it, "_outer")
-        siblings[f"_{family}_stop"] = nearest_after(unclosed & ~F.col("tag").isin(enders), "_outer")
+        ends_it = tag_in(enders)
+        siblings[f"_{family}_end"] = F.min(F.when(starts & ends_it, pos)).over(beside)
+        siblings[f"_{family}_stop"] = F.min(F.when(unclosed & ~ends_it, pos)).over(beside)
     t = t.withColumns(siblings)
 
     sibling_end = F.lit(None).cast("int")
     for family, (members, _) in P.OPTIONAL_END.items():
         ender, stop = F.col(f"_{family}_end"), F.col(f"_{family}_stop")
         first = stop.isNull() | (ender < stop)
-        sibling_end = F.when(F.col("tag").isin(members), F.when(first, ender)).otherwise(sibling_end)
+        sibling_end = F.when(tag_in(members), F.when(first, ender)).otherwise(sibling_end)
     enclosing = F.coalesce(F.col("_enclosing"), F.lit(END_OF_PAGE + 1))
     end = (
         F.when(kind.isin("void", "raw", "rawtext"), pos)

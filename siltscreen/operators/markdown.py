@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siltscreen.functions import patterns as P
 from siltscreen.functions import text as fn
 from siltscreen.operators.html_clean import mark_removed, page_structure
-from siltscreen.operators.html_tokens import PAGE, _in_order
+from siltscreen.operators.html_tokens import PAGE, in_order, tag_in
 from siltscreen.schema import HTML_COUNTERS
 
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
@@ -34,10 +34,10 @@ def html_fragments(pages: DataFrame, html: str = "html", key: list[str] | None =
     """Tokens with everything rendering needs: counters, `alive`, run number and inline state."""
     t = page_structure(pages, html, key)
     kind, tag = F.col("kind"), F.col("tag")
-    opens = kind == "open"
+    opens, so_far = kind == "open", in_order()
 
     def attr(name: str, *tags: str) -> Column:
-        return F.when(tag.isin(*tags), fn.attribute(F.col("attrs"), name))
+        return F.when(tag_in(list(tags)), fn.attribute(F.col("attrs"), name))
 
     t = t.withColumns(
         {
@@ -53,24 +53,24 @@ def html_fragments(pages: DataFrame, html: str = "html", key: list[str] | None =
     t = mark_removed(
         t,
         {
-            **{name: opens & tag.isin(tags) for name, tags in EMPHASIS.items()},
+            **{name: opens & tag_in(tags) for name, tags in EMPHASIS.items()},
             "link": link,
             "pre": opens & (tag == "pre"),
-            "heading": opens & tag.isin(HEADINGS),
+            "heading": opens & tag_in(HEADINGS),
             "item": opens & (tag == "li"),
         },
     )
     alive = F.col("alive")
-    block = alive & kind.isin("open", "close", "void") & tag.isin(P.BLOCK_TAGS)
+    block = alive & kind.isin("open", "close", "void") & tag_in(P.BLOCK_TAGS)
     rule = block & (tag == "hr")
 
     def depth(tags: list[str]) -> Column:
-        up = F.when(alive & opens & tag.isin(tags), 1)
-        down = F.when(alive & (kind == "close") & F.col("paired") & tag.isin(tags), -1)
-        return F.greatest(F.sum(F.coalesce(up, down, F.lit(0))).over(_in_order()), F.lit(0)).cast("int")
+        up = F.when(alive & opens & tag_in(tags), 1)
+        down = F.when(alive & (kind == "close") & F.col("paired") & tag_in(tags), -1)
+        return F.greatest(F.sum(F.coalesce(up, down, F.lit(0))).over(so_far), F.lit(0)).cast("int")
 
     def latest(condition: Column, value: Column) -> Column:
-        return F.last(F.when(condition, value), ignorenulls=True).over(_in_order())
+        return F.last(F.when(condition, value), ignorenulls=True).over(so_far)
 
     title = F.when(
         F.col("_title") != "",
@@ -81,15 +81,15 @@ def html_fragments(pages: DataFrame, html: str = "html", key: list[str] | None =
     t = t.withColumns(
         {
             "run": (
-                F.sum(F.when(rule, 2).when(block, 1).otherwise(0)).over(_in_order())
+                F.sum(F.when(rule, 2).when(block, 1).otherwise(0)).over(so_far)
                 - F.when(rule, 1).otherwise(0)
             ).cast("int"),
             "list_depth": depth(LISTS),
             "quote_depth": depth(["blockquote"]),
-            "item_no": F.sum(F.when(item, 1).otherwise(0)).over(_in_order()).cast("int"),
+            "item_no": F.sum(F.when(item, 1).otherwise(0)).over(so_far).cast("int"),
             "heading": F.when(
                 F.col("in_heading"),
-                latest(opens & tag.isin(HEADINGS), F.substring(tag, 2, 1).cast("int")),
+                latest(opens & tag_in(HEADINGS), F.substring(tag, 2, 1).cast("int")),
             ).otherwise(0),
             "link": F.when(F.col("in_link"), latest(link, F.col("pos"))),
             "href": F.when(F.col("in_link"), latest(link, href)),
@@ -100,12 +100,8 @@ def html_fragments(pages: DataFrame, html: str = "html", key: list[str] | None =
     )
 
     # List markers: number the items of each list on its own depth.
-    at_depth = (
-        Window.partitionBy(*PAGE, "list_depth")
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    new_list = alive & opens & tag.isin(LISTS)
+    at_depth = in_order("list_depth")
+    new_list = alive & opens & tag_in(LISTS)
     t = t.withColumn("_items", F.sum(F.when(item, 1).otherwise(0)).over(at_depth))
     start = F.coalesce(F.expr("try_cast(_start AS int)"), F.lit(1))
     number = (

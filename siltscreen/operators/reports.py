@@ -139,5 +139,5 @@ def recent(log: DataFrame, n: int = 5, tie_break: tuple[str, ...] = ("source",))
     """The last `n` rows by time, with the time cut to seconds."""
     order = [F.desc("timestamp"), *[F.desc(c) for c in tie_break]]
     return log.orderBy(*order).limit(n).select(
-        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"), "tool", "source"
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("logged_at"), "tool", "source"
     )

@@ -247,7 +247,7 @@ def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("pages/"), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, ".Xhtml").otherwise(".dump"))
         .alias("path"),
         "id",
-        F.concat(F.when(F.col("id") % 2 == 0, F.lit("  \n")).otherwise(""), "text").alias("text"),
+        F.concat(F.when(F.col("id") % 2 == 0, F.lit("  \n")).otherwise(""), "text").alias("text"),
     )
     files = docs.unionByName(web)
     nul = F.when(F.col("id") % 19 == 0, F.concat(F.lit("\0"), F.col("text"))).otherwise(F.col("text"))
@@ -317,9 +317,9 @@ def b04(spark, sf):
 
 
 def b04_run(spark, sf):
-    """Both branches sanitised and put together, counted per branch kind of source."""
+    """Both branches sanitised on their own path and put together."""
     routed = routing.route_files(mixed_files(spark, sf))
-    return flat(sanitize_routed(routed, key=["path"]), "path")
+    return flat(sanitize_routed(routed, key=["path"], options=WITH_PHRASE), "path")
 
 
 # --- reports -------------------------------------------------------------------------
@@ -394,7 +394,7 @@ def _written_log(spark, sf) -> DataFrame:
 
 def _log_columns(log: DataFrame) -> DataFrame:
     return log.select(
-        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS").alias("at"),
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS").alias("logged_at"),
         "tool",
         "source",
         "description",

@@ -2,7 +2,7 @@
 
 The driver tables hold almost no attacks, so a query on them alone would return zeros.  Each
 row keeps its whole text; attack number `id % k` is added around or inside it, by the same
-CASE in Spark and in the SQL used for checking.
+values in Spark and in the SQL used for checking.
 """
 
 from __future__ import annotations
@@ -114,11 +114,10 @@ PAGE_ATTACKS: dict[int, tuple[str, str]] = {
 
 
 def _case(key: Column, cases: int, values: dict[int, str]) -> Column:
-    chosen = F.lit("")
-    for n, value in values.items():
-        if value:
-            chosen = F.when(key % cases == n, F.lit(value)).otherwise(chosen)
-    return chosen
+    """The value for `key % cases`, looked up in one constant array."""
+    separator = "\x1e"
+    choices = F.split(F.lit(separator.join(values.get(n, "") for n in range(cases))), separator, -1)
+    return F.element_at(choices, (key % cases + 1).cast("int"))
 
 
 def seeded_text(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -24,13 +24,19 @@ def text_steps(df: DataFrame, text: str, options: SanitizeOptions) -> DataFrame:
 
 
 def with_stats(df: DataFrame, content: str = "content") -> DataFrame:
-    """Fold the counter columns into one `stats` struct and add the output size."""
-    stats = F.struct(*[F.col(c) for c in COUNTERS])
-    return (
-        df.withColumn("stats", F.when(F.col(content).isNotNull(), stats))
-        .withColumn("output_size", F.octet_length(content).cast("bigint"))
-        .drop(*COUNTERS)
+    """Fold the counter columns into one `stats` struct and add the output size.
+
+    The results come out of a one-element `inline`.  A later filter on a counter stops there;
+    pushed further down it would be rewritten in terms of the raw text and repeat the whole
+    chain of steps once per use.  Filters on the other columns still reach the scan.
+    """
+    c = F.col(content)
+    stats = F.when(c.isNotNull(), F.struct(*[F.col(name) for name in COUNTERS]))
+    result = F.struct(
+        c.alias(content), stats.alias("stats"), F.octet_length(c).cast("bigint").alias("output_size")
     )
+    others = [name for name in df.columns if name not in (content, *COUNTERS)]
+    return df.select(*others, F.inline(F.array(result)))
 
 
 def sanitize_text(
