@@ -5,12 +5,21 @@ the greedy form recurses once per repetition and overflows the stack on long run
 """
 
 import html.entities
+import string
 
 # Whitespace as the source dialect defines ``\s`` (wider than Java's ASCII ``\s``).
 WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 # Whitespace inside HTML markup.
 HTML_WS = r" \t\n\f\r"
 
+
+
+def _singles(chars: str) -> str:
+    """A class listing single characters: Java turns it into one bit set, ranges into a chain."""
+    return "[" + "".join(f"\\x{ord(c):02X}" for c in chars) + "]"
+
+
+_LATIN1 = [chr(c) for c in range(256)]
 # --- invisible characters ------------------------------------------------------
 _ZERO_WIDTH = r"\x{200B}-\x{200F}\x{2060}\x{2063}\x{FEFF}\x{AD}"
 _CONTROL = r"\x00-\x08\x0B\x0C\x0E-\x1F"
@@ -25,9 +34,10 @@ INVISIBLE = {
     "unicode_tags": f"[{_TAGS}]",
     "variation_selectors": f"[{_VARIATION}]",
 }
-# The class before "&&" is a cheap test that plain ASCII text fails at once.
+# The class before "&&" is a cheap test that ordinary Latin text fails at once.
+_VISIBLE = "".join(c for c in _LATIN1 if c in "\t\n\r" or (c >= " " and c != "\xad"))
 ANY_INVISIBLE = (
-    r"[\x00-\x1F\x{AD}-\x{10FFFF}&&" + f"[{_ZERO_WIDTH}{_CONTROL}{_BIDI}{_TAGS}{_VARIATION}]]"
+    f"[[^{_singles(_VISIBLE)}]&&[{_ZERO_WIDTH}{_CONTROL}{_BIDI}{_TAGS}{_VARIATION}]]"
 )
 
 # Characters that NFKC leaves alone wherever they stand: each one is its own NFKC form,
@@ -60,8 +70,11 @@ NFKC_STABLE_RANGES = [
     (0xAC00, 0xD7A3),
 ]
 # Tested in three stages, so that ASCII and accented Latin letters are rejected early.
+_STABLE_LATIN1 = "".join(
+    c for c in _LATIN1 if any(a <= ord(c) <= b for a, b in NFKC_STABLE_RANGES)
+)
 NOT_NFKC_STABLE = (
-    r"[\x{A0}-\x{10FFFF}&&[^\x{BF}-\x{131}]&&[^"
+    f"[[^{_singles(_STABLE_LATIN1)}]&&[^\\x{{100}}-\\x{{131}}]&&[^"
     + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in NFKC_STABLE_RANGES)
     + "]]"
 )
@@ -70,8 +83,12 @@ NOT_NFKC_STABLE = (
 ENCODED_REPLACEMENT = "[encoded-removed]"
 DATA_URI_REPLACEMENT = "[data-uri-removed]"
 DATA_URI = r"(?i)data:text/[^;]*+;base64,[a-z0-9+/=]++"
-BASE64_RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+={0,2}+"
-HEX_RUN = r"(?:0[xX]|\\[xX])?(?:[0-9a-fA-F]{2}[" + WS + r",;]?+){20,}+"
+_BASE64 = _singles(string.ascii_letters + string.digits + "+/")
+BASE64_RUN = f"(?<!{_BASE64}){_BASE64}{{40,}}+={{0,2}}+"
+_HEX_PAIR = _singles(string.hexdigits) + "{2}[" + WS + r",;]?+"
+HEX_RUN = r"(?:0[xX]|\\[xX])?(?:" + _HEX_PAIR + "){20,}+"
+# The prefix is optional, so a text without twenty pairs in a row has no hex run.
+HEX_GATE = "(?:" + _HEX_PAIR + "){20}"
 
 _ANY_UNIT = r"[\x{0}-\x{FFFF}&&[^\n\r\x{2028}\x{2029}]]"
 # Words that make decoded text look like an instruction; each must start a word.

@@ -45,7 +45,7 @@ def hex_payloads(df: DataFrame, text: str = "text") -> DataFrame:
     def replace(run: Column) -> Column:
         return _unless(run, fn.hex_is_payload(run))
 
-    return rewrite_matches(df, P.HEX_RUN, replace, "hex_payloads", text)
+    return rewrite_matches(df, P.HEX_RUN, replace, "hex_payloads", text, P.HEX_GATE)
 
 
 def sanitize_encoded(

@@ -11,12 +11,18 @@ from siltscreen.schema import HTML_COUNTERS
 
 # Phases that can remove more than their own token, in order.
 SPANNING = ["hidden", "off_screen", "same_color", "noscript"]
+# Elements that go whole and hold no other element.
+STRIPPED = ["script", "style", "meta", "link"]
 
 
 # Start tags whose attributes are read when a page is rendered.
 ATTRIBUTED = ["a", "img", "code", "ol"]
 
 
+def _element() -> Column:
+    return F.expr("kind IN ('open', 'void', 'raw', 'rawtext')")
+
+
 def flag_elements(tokens: DataFrame) -> DataFrame:
     """Add `attrs, style, hidden, off_screen, same_color` (flags are false off start tags)."""
     head, style = F.col("head"), fn.attribute(F.col("attrs"), "style")
@@ -34,65 +40,77 @@ def flag_elements(tokens: DataFrame) -> DataFrame:
 
 
 def mark_removed(tokens: DataFrame, extra_spans: dict[str, Column] | None = None) -> DataFrame:
-    """Add the eight counters per token and `alive`, false for every removed token.
+    """Add `in_<phase>` per token and `alive`, false for every removed token.
 
     A running maximum of element ends per phase tells whether a token lies inside something
-    an earlier phase removed.  A match inside such a subtree is not counted, one inside a
-    subtree of its own phase is.  `extra_spans` adds `in_<name>` columns: is the token inside
-    an element for which the condition holds?
+    the phase removes (the matching token itself included).  `extra_spans` adds further
+    `in_<name>` columns: is the token inside an element for which the condition holds?
     """
-    kind, tag, pos, end = (F.col(c) for c in ("kind", "tag", "pos", "end"))
-    element = kind.isin("open", "void", "raw", "rawtext")
-    flags = {
-        "hidden": F.col("hidden"),
-        "off_screen": F.col("off_screen"),
-        "same_color": F.col("same_color"),
-        "noscript": element & (tag == "noscript"),
-    }
-    so_far = in_order()
-    spans = {**flags, "element": element, **(extra_spans or {})}
+    kind, pos, so_far = F.col("kind"), F.col("pos"), in_order()
+    phases = {name: F.col(name) for name in SPANNING[:3]}
+    phases["noscript"] = _element() & (F.col("tag") == "noscript")
+    spans = {**phases, "element": _element(), **(extra_spans or {})}
     t = tokens.withColumns(
         {
             f"in_{name}": F.coalesce(
-                F.max(F.when(cond, end)).over(so_far) >= pos, F.lit(False)
+                F.max(F.when(cond, F.col("end"))).over(so_far) >= pos, F.lit(False)
             )
             for name, cond in spans.items()
         }
     )
-    # `in_hidden` is also true on the matching token itself: it starts its own span.
-    gone1 = F.col("in_hidden")
-    gone2 = gone1 | F.col("in_off_screen")
-    gone3 = gone2 | F.col("in_same_color")
-    gone4 = gone3 | F.col("in_noscript")
-    comment = (kind == "comment") & F.col("in_element")
-
-    def counted(match: Column, gone: Column) -> Column:
-        return F.when(match & ~gone, 1).otherwise(0).cast("bigint")
-
-    named = {name: element & (tag == name) for name in ("script", "style", "meta", "link")}
-    counters = {
-        "hidden_elements": counted(flags["hidden"], F.lit(False)),
-        "html_comments": counted(comment, gone4),
-        "script_tags": counted(named["script"], gone3),
-        "style_tags": counted(named["style"], gone3),
-        "noscript_tags": counted(flags["noscript"], gone3),
-        "meta_tags": counted(named["meta"] | named["link"], gone4),
-        "off_screen_elements": counted(flags["off_screen"], gone1),
-        "same_color_text": counted(flags["same_color"], gone2),
+    inside = F.lit(False)
+    for name in SPANNING:
+        inside = inside | F.col(f"in_{name}")
+    alone = (_element() & tag_in(STRIPPED)) | ((kind == "comment") & F.col("in_element"))
+    return t.withColumn("alive", ~(inside | F.coalesce(alone, F.lit(False))))
+
+
+def token_counters() -> dict[str, Column]:
+    """The eight counters of one marked token.
+
+    A match inside a subtree that an earlier phase removed is not counted; one inside a
+    subtree of its own phase is.
+    """
+    tag = F.col("tag")
+    after_hidden = ~F.col("in_hidden")
+    after_off_screen = after_hidden & ~F.col("in_off_screen")
+    after_same_color = after_off_screen & ~F.col("in_same_color")
+    after_noscript = after_same_color & ~F.col("in_noscript")
+    found = {
+        "hidden_elements": F.col("hidden"),
+        "html_comments": (F.col("kind") == "comment") & F.col("in_element") & after_noscript,
+        "script_tags": _element() & (tag == "script") & after_same_color,
+        "style_tags": _element() & (tag == "style") & after_same_color,
+        "noscript_tags": _element() & (tag == "noscript") & after_same_color,
+        "meta_tags": _element() & tag_in(["meta", "link"]) & after_noscript,
+        "off_screen_elements": F.col("off_screen") & after_hidden,
+        "same_color_text": F.col("same_color") & after_off_screen,
     }
-    stripped = named["script"] | named["style"] | named["meta"] | named["link"]
-    return t.withColumns({**counters, "alive": ~(gone4 | F.coalesce(stripped, F.lit(False)) | comment)})
+    return {name: F.when(hit, 1).otherwise(0).cast("bigint") for name, hit in found.items()}
+
+
+def counter_sums() -> list[Column]:
+    return [F.sum(hit).alias(name) for name, hit in token_counters().items()]
 
 
 def page_structure(pages: DataFrame, html: str = "html", key: list[str] | None = None) -> DataFrame:
-    """Tokens with element ends and phase flags: the common base of counters and content."""
-    return flag_elements(element_ends(html_tokens(pages, html, key)))
+    """Tokens with phase flags and element ends: the common base of counters and content.
+
+    Flags come first, so that the sorts of the windows move short rows: the start tag is
+    reduced to booleans and to the attributes rendering needs.
+    """
+    flagged = flag_elements(html_tokens(pages, html, key))
+    rendered = F.when(tag_in(ATTRIBUTED), F.col("attrs")).alias("attrs")
+    slim = flagged.select(
+        *PAGE, "_page", "pos", "tok", "tag", "kind", rendered, "hidden", "off_screen", "same_color"
+    )
+    return element_ends(slim)
 
 
 def html_stats(pages: DataFrame, html: str = "html", key: list[str] | None = None) -> DataFrame:
     """The eight counters per page, beside the page's other columns."""
     marked = mark_removed(page_structure(pages, html, key))
-    return fold_pages(marked, {c: F.sum(c).alias(c) for c in HTML_COUNTERS})
+    return fold_pages(marked, counter_sums(), HTML_COUNTERS)
 
 
 def html_clean(pages: DataFrame, html: str = "html", key: list[str] | None = None) -> DataFrame:
@@ -103,13 +121,11 @@ def html_clean(pages: DataFrame, html: str = "html", key: list[str] | None = Non
         F.max("_page.input_size").isNotNull(),
         F.array_join(F.transform(kept, lambda x: x["tok"]), ""),
     )
-    return fold_pages(
-        marked, {**{c: F.sum(c).alias(c) for c in HTML_COUNTERS}, "clean_html": clean.alias("clean_html")}
-    )
+    sums = [*counter_sums(), clean.alias("clean_html")]
+    return fold_pages(marked, sums, [*HTML_COUNTERS, "clean_html"])
 
 
-def fold_pages(tokens: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
+def fold_pages(tokens: DataFrame, aggregates: list[Column], names: list[str]) -> DataFrame:
     """Back to one row per page; the page's own columns are taken from its first token."""
     first = F.first("_page", ignorenulls=True).alias("_page")
-    folded = tokens.groupBy(*PAGE).agg(first, *aggregates.values())
-    return folded.select("_page.*", *aggregates.keys())
+    return tokens.groupBy(*PAGE).agg(first, *aggregates).select("_page.*", *names)

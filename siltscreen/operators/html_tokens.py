@@ -156,19 +156,19 @@ def element_ends(tokens: DataFrame) -> DataFrame:
 
     t = t.withColumn("_enclosing", F.min(F.when(pair == -1, pos)).over(after("_inner")))
     unclosed = opens & (pair == 0)
+    # The nearest later sibling start tag that matters to a family, and what it means:
+    # even codes end the element, odd ones (an unclosed element of another kind) shield it.
     starts, beside = opens | (kind == "void"), after("_outer")
     siblings = {}
     for family, (_, enders) in P.OPTIONAL_END.items():
-        ends_it = tag_in(enders)
-        siblings[f"_{family}_end"] = F.min(F.when(starts & ends_it, pos)).over(beside)
-        siblings[f"_{family}_stop"] = F.min(F.when(unclosed & ~ends_it, pos)).over(beside)
+        event = F.when(starts & tag_in(enders), pos * 2).when(unclosed, pos * 2 + 1)
+        siblings[f"_next_{family}"] = F.min(event).over(beside)
     t = t.withColumns(siblings)
 
-    sibling_end = F.lit(None).cast("int")
+    nearest = F.lit(None).cast("int")
     for family, (members, _) in P.OPTIONAL_END.items():
-        ender, stop = F.col(f"_{family}_end"), F.col(f"_{family}_stop")
-        first = stop.isNull() | (ender < stop)
-        sibling_end = F.when(tag_in(members), F.when(first, ender)).otherwise(sibling_end)
+        nearest = F.when(tag_in(members), F.col(f"_next_{family}")).otherwise(nearest)
+    sibling_end = F.when(nearest % 2 == 0, (nearest / 2).cast("int"))
     enclosing = F.coalesce(F.col("_enclosing"), F.lit(END_OF_PAGE + 1))
     end = (
         F.when(kind.isin("void", "raw", "rawtext"), pos)

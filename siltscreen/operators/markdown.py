@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siltscreen.functions import patterns as P
 from siltscreen.functions import text as fn
-from siltscreen.operators.html_clean import mark_removed, page_structure
+from siltscreen.operators.html_clean import counter_sums, mark_removed, page_structure
 from siltscreen.operators.html_tokens import PAGE, in_order, tag_in
 from siltscreen.schema import HTML_COUNTERS
 
@@ -48,7 +48,7 @@ def html_fragments(pages: DataFrame, html: str = "html", key: list[str] | None =
             "_class": attr("class", "code"),
             "_start": attr("start", "ol"),
         }
-    ).drop("attrs", "style")
+    ).drop("attrs")
     link = opens & (tag == "a") & (F.col("_href") != "")
     t = mark_removed(
         t,
@@ -173,7 +173,7 @@ def _render_runs(t: DataFrame) -> DataFrame:
         F.max("fence").alias("fence"),
         F.max(F.col("is_rule")).alias("is_rule"),
         F.max(F.when(F.col("marker").isNotNull(), F.struct("item_no", "marker"))).alias("item"),
-        *[F.sum(c).alias(c) for c in HTML_COUNTERS],
+        *counter_sums(),
     )
 
     def closing(cur: Column, nxt: Column | None) -> Column:

@@ -16,15 +16,16 @@ def rewrite_matches(
     replace: Callable[[Column], Column],
     counter: str,
     text: str = "text",
+    gate: str | None = None,
 ) -> DataFrame:
     """Replace each match `m` by `replace(m)` and count the matches that changed.
 
-    The match arrays are built only for rows that contain the pattern, the text is cut and
+    `gate` is a cheaper pattern that every text with a match satisfies.  The match arrays are built only for rows that contain the pattern, the text is cut and
     rejoined only where at least one match changes.
     """
     t = F.col(text)
     found, new = F.col("_found"), F.col("_new")
-    df = df.withColumn("_found", F.when(t.rlike(pattern), fn.matches(t, pattern)))
+    df = df.withColumn("_found", F.when(t.rlike(gate or pattern), fn.matches(t, pattern)))
     df = df.withColumn("_new", F.transform(found, replace))
     changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda c: c))
     df = df.withColumn(

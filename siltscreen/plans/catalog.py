@@ -215,7 +215,8 @@ def c09(spark, sf):
     ends = html_tokens.element_ends(_tokens(spark, sf))
     marked = html_clean.mark_removed(html_clean.flag_elements(ends))
     gone = marked.filter(~F.col("alive"))
-    return gone.select("page_id", F.col("pos").cast("bigint").alias("pos"), *HTML_COUNTERS)
+    counters = [hit.alias(name) for name, hit in html_clean.token_counters().items()]
+    return gone.select("page_id", F.col("pos").cast("bigint").alias("pos"), *counters)
 
 
 def c10(spark, sf):
