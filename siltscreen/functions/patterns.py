@@ -252,7 +252,8 @@ BLOCK_TAGS = [
     "isindex", "li", "main", "menu", "nav", "noframes", "noscript", "ol", "output", "p",
     "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 ]
-# Elements whose end tag may be left out: family -> (members, start tags that end them).
+# Elements whose end tag may be left out: family -> (members, start tags that end them,
+# open children that the same start tags end as well).
 OPTIONAL_END = {
     "p": (
         ["p"],
@@ -262,10 +263,11 @@ OPTIONAL_END = {
             "footer", "form", "header", "hr", "main", "nav", "ol", "pre", "section",
             "table", "ul",
         ],
+        [],
     ),
-    "li": (["li"], ["li"]),
-    "dl": (["dt", "dd"], ["dt", "dd"]),
-    "cell": (["td", "th"], ["td", "th", "tr"]),
-    "row": (["tr"], ["tr"]),
-    "option": (["option"], ["option", "optgroup"]),
+    "li": (["li"], ["li"], []),
+    "dl": (["dt", "dd"], ["dt", "dd"], []),
+    "cell": (["td", "th"], ["td", "th", "tr"], []),
+    "row": (["tr"], ["tr"], ["td", "th"]),
+    "option": (["option"], ["option", "optgroup"], []),
 }

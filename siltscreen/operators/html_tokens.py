@@ -160,13 +160,14 @@ def element_ends(tokens: DataFrame) -> DataFrame:
     # even codes end the element, odd ones (an unclosed element of another kind) shield it.
     starts, beside = opens | (kind == "void"), after("_outer")
     siblings = {}
-    for family, (_, enders) in P.OPTIONAL_END.items():
-        event = F.when(starts & tag_in(enders), pos * 2).when(unclosed, pos * 2 + 1)
+    for family, (_, enders, ended_too) in P.OPTIONAL_END.items():
+        shields = unclosed & ~tag_in(ended_too) if ended_too else unclosed
+        event = F.when(starts & tag_in(enders), pos * 2).when(shields, pos * 2 + 1)
         siblings[f"_next_{family}"] = F.min(event).over(beside)
     t = t.withColumns(siblings)
 
     nearest = F.lit(None).cast("int")
-    for family, (members, _) in P.OPTIONAL_END.items():
+    for family, (members, _, _) in P.OPTIONAL_END.items():
         nearest = F.when(tag_in(members), F.col(f"_next_{family}")).otherwise(nearest)
     sibling_end = F.when(nearest % 2 == 0, (nearest / 2).cast("int"))
     enclosing = F.coalesce(F.col("_enclosing"), F.lit(END_OF_PAGE + 1))

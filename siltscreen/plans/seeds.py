@@ -105,7 +105,7 @@ PAGE_ATTACKS: dict[int, tuple[str, str]] = {
     16: ("", "<section><div style='visibility:hidden'>never closed</section><p>stays</p>"),
     17: ("", "<style>p{color:red}</style><script>document.write('<p>no</p>')</script><textarea><b>raw</b></textarea>"),
     18: ("", '<div style="display&#58;none">entity</div><p title="a > b">gt</p><p title=\'x="y"\'>q</p>'),
-    19: ("", "<table><tr><td hidden>h<td>cell<tr style='clip:rect(0,0,0,0)'><td>r</table><![CDATA[ x ]]>"),
+    19: ("", "<table><tr><td hidden>h<td>cell<tr style='clip:rect(0,0,0,0)'><td>r<tr><td>kept row</table><![CDATA[ x ]]>"),
     20: ("", "<h2>Two<br>lines</h2><p>a<br/>b <code>c*d</code> &amp;&nbsp;&copy; 2 < 3 <|user|></p>"),
     21: ("", '<div style="display:none"><!-- c --><script>s</script><p style="color:red;background:red">r</p></div>'
              '<p style="color:#fff;background:#FFFFFF"><span style="color:#abc;background:#aabbcc">n</span></p>'),
