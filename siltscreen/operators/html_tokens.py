@@ -16,6 +16,8 @@ from siltscreen.functions import text as fn
 
 PAGE = ["_route", "_row"]
 END_OF_PAGE = 2**31 - 1
+# Optional input column: a hash of the row's place in its file (see `sources.tables`).
+ROW_KEY = "_row_key"
 
 
 def in_order(*keys: str):
@@ -40,12 +42,15 @@ def html_tokens(
 ) -> DataFrame:
     """One row per token: `pos, tok, kind, tag, head`; page columns ride on the first token.
 
-    `key` names columns that spread the pages well (default: the columns beside the html).
-    It need not be unique; without any such column the html itself is hashed.  The columns
-    in `carry` are repeated on every token.
+    `key` names columns that spread the pages.  It need not be unique for right results, only
+    for balance; the default is `_row_key` where the input has it, which also spreads many
+    copies of one page, else the columns beside the html, else the html.  All of these are
+    deterministic, so a recomputed map task sends every page where it went before.  The
+    columns in `carry` are repeated on every token.
     """
-    others = [c for c in pages.columns if c != html]
-    route = F.xxhash64(*(key or others or [html]))
+    others = [c for c in pages.columns if c not in (html, ROW_KEY)]
+    place = [ROW_KEY] if ROW_KEY in pages.columns else []
+    route = F.xxhash64(*(key or place or others or [html]))
     # A fixed number of partitions: tokenising costs far more than the shuffled bytes suggest,
     # so AQE must not merge them.  Size `spark.sql.shuffle.partitions` to the corpus.
     spread = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -121,20 +121,22 @@ def html_fragments(pages: DataFrame, html: str = "html", key: list[str] | None =
         kind == "rawtext",
         F.regexp_extract("tok", f"(?is)^<[a-z]{P._IN_TAG}>(.*?)(?:</(?:title|textarea)[^>]*+>)?$", 1),
     ).otherwise(F.col("tok"))
-    words = fn.decode_entities(inner)
-    flowed = F.regexp_replace(words, "[ \t\r\n]+", " ")
+    words, written = F.col("_words"), F.expr("kind IN ('text', 'rawtext')")
+    t = t.withColumn("_words", F.when(alive & written, fn.decode_entities(inner)))
+    t = t.withColumn(
+        "_words",
+        F.when(F.col("in_pre"), words).otherwise(F.regexp_replace(words, "[ \t\r\n]+", " ")),
+    )
     body = (
-        F.when(kind.isin("text", "rawtext"), F.when(
-            F.col("in_pre"),
-            F.when(F.col("in_code"), words).otherwise(escape(words, F.col("starts"))),
-        ).when(F.col("in_code"), flowed).otherwise(escape(flowed, F.col("starts"))))
+        F.when(written & F.col("in_code"), words)
+        .when(written, escape(words, F.col("starts")))
         .when(tag == "br", F.lit("\n"))
         .when((tag == "img") & (F.col("_src") != ""), image)
     )
     language = F.regexp_extract(F.coalesce("_class", F.lit("")), r"language-(\S+)", 1)
     return t.withColumns(
         {
-            "fragment": F.when(alive & kind.isin("text", "rawtext", "void"), body),
+            "fragment": F.when(alive & (written | (kind == "void")), body),
             "fence": F.when(alive & opens & (tag == "code") & F.col("in_pre"), language),
             "is_rule": rule,
         }
@@ -214,14 +216,20 @@ def _render_runs(t: DataFrame) -> DataFrame:
     )
     inline = F.regexp_replace(inline, " *\n *", "\n")
     inline = F.trim(F.regexp_replace(inline, " {2,}", " "), F.lit(" \n"))
-    verbatim = F.array_join(F.transform(pieces, lambda p: p["raw"]), "")
+    plain = F.array_join(F.transform(pieces, lambda p: p["raw"]), "")
+    in_pre = F.col("pre") == 1
+    # Own columns: each is used several times below and must be computed once.
+    runs = runs.withColumns(
+        {"_inline": F.when(~in_pre, inline), "_verbatim": F.when(in_pre, plain)}
+    )
+    inline, verbatim = F.col("_inline"), F.col("_verbatim")
     fenced = F.concat(
         F.lit("```"), F.col("fence"), F.lit("\n"), F.rtrim(verbatim, F.lit("\n")), F.lit("\n```")
     )
     text = (
         F.when(F.col("is_rule"), F.lit("---"))
-        .when((F.col("pre") == 1) & F.col("fence").isNotNull(), fenced)
-        .when(F.col("pre") == 1, F.regexp_replace(verbatim, "^\n+|\n+$", ""))
+        .when(in_pre & F.col("fence").isNotNull(), fenced)
+        .when(in_pre, F.regexp_replace(verbatim, "^\n+|\n+$", ""))
         .when(inline == "", "")
         .when(
             F.col("heading") > 0,
@@ -229,7 +237,7 @@ def _render_runs(t: DataFrame) -> DataFrame:
         )
         .otherwise(F.replace(inline, F.lit("\n"), F.lit("  \n")))
     )
-    return runs.withColumn("text", text).drop("pieces")
+    return runs.withColumn("text", text).drop("pieces", "_inline", "_verbatim")
 
 
 def html_to_markdown(pages: DataFrame, html: str = "html", key: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from siltscreen.functions import patterns as P
 from siltscreen.functions import text as fn
 from siltscreen.operators import delimiters, encoded, exfiltration, html_clean, html_tokens, lines
 from siltscreen.operators import markdown, reports, routing, unicode
+from siltscreen.operators.html_tokens import ROW_KEY
 from siltscreen.operators.rewrite import rewrite_matches
 from siltscreen.options import SanitizeOptions
 from siltscreen.plans import seeds
@@ -41,8 +42,8 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    df = seeds.table(spark, sf_dir, "pages").select("page_id", *keep, "html")
-    return seeds.seeded_html(df)
+    df = tables.read_pages(spark, f"{sf_dir}/pages.parquet")
+    return seeds.seeded_html(df.select("page_id", *keep, "html", ROW_KEY))
 
 
 def flat(df: DataFrame, *keys: str) -> DataFrame:
@@ -460,7 +461,7 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def h01(spark, sf):
-    source = stream_table(spark, sf, "documents").select("doc_id", "text")
+    source = tables.spread_stream(stream_table(spark, sf, "documents").select("doc_id", "text"))
     done = jobs.stream_sanitize(seeds.seeded_text(source, "doc_id"), options=WITH_PHRASE)
     out = scratch_dir(spark, "stream")
     jobs.write_stream(done, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
@@ -471,6 +472,7 @@ def h02(spark, sf):
     source = stream_table(spark, sf, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("tool"), F.col("props").alias("text")
     )
+    source = tables.spread_stream(source)
     totals = jobs.stream_totals(
         jobs.stream_sanitize(seeds.seeded_text(source, "event_id"), options=WITH_PHRASE), "ts", "tool"
     )

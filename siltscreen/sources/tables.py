@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltscreen.functions import patterns as P
+from siltscreen.operators.html_tokens import ROW_KEY
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -14,6 +15,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet page table with `_row_key`, a hash of each row's file and place in it.
+
+    The key differs between copies of a page and is the same on every read, so pages can be
+    spread evenly by it whatever their ids, urls or contents are.
+    """
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    return spark.read.parquet(path).select("*", place.alias(ROW_KEY))
+
+
+def spread_stream(df: DataFrame) -> DataFrame:
+    """The same for a stream whose micro-batches arrive as a few large files."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def pages_scan(df: DataFrame) -> DataFrame:
     """Fetched pages that succeeded; the filter reaches the scan."""
     return df.filter(F.col("status").between(200, 299))

@@ -66,3 +66,18 @@ def test_no_cross_join_and_no_broadcast_in_the_library():
         code = file.read_text()
         for banned in ("crossJoin", "broadcast(", ".localCheckpoint", ".toPandas(", ".collect()"):
             assert banned not in code, (file, banned)
+
+
+def test_copies_of_one_page_are_spread(spark, tmp_path):
+    """Nine of ten rows are one page under one id and url: no partition gets the lot."""
+    from siltscreen.operators.html_tokens import html_tokens
+    from siltscreen.sources.tables import read_pages
+
+    rows = [(1, "u", "<p>same</p>")] * 900 + [(i, f"u{i}", f"<p>{i}</p>") for i in range(100)]
+    path = str(tmp_path / "pages")
+    spark.createDataFrame(rows, "page_id int, url string, html string").coalesce(2).write.parquet(path)
+    pages = read_pages(spark, path)
+    loads = html_tokens(pages).groupBy(F.spark_partition_id()).count().collect()
+    assert len(loads) == 8 and max(r["count"] for r in loads) < 1.5 * 3000 / 8
+    done = sanitize_html(pages)
+    assert "_row_key" not in done.columns and done.filter("content = 'same'").count() == 900
