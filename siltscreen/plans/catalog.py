@@ -485,7 +485,7 @@ def h02(spark, sf):
 
 
 def h03(spark, sf):
-    source = stream_table(spark, sf, "pages").select("page_id", "html")
+    source = tables.with_row_key(stream_table(spark, sf, "pages")).select("page_id", "html", ROW_KEY)
     out = scratch_dir(spark, "stream")
     jobs.stream_html(
         seeds.seeded_html(source), f"{out}/rows", f"{out}/checkpoint", options=WITH_PHRASE

@@ -15,14 +15,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet page table with `_row_key`, a hash of each row's file and place in it.
+def with_row_key(scan: DataFrame) -> DataFrame:
+    """Add `_row_key`, a hash of each row's file and place in it, to a parquet scan or stream.
 
     The key differs between copies of a page and is the same on every read, so pages can be
     spread evenly by it whatever their ids, urls or contents are.
     """
     place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
-    return spark.read.parquet(path).select("*", place.alias(ROW_KEY))
+    return scan.select("*", place.alias(ROW_KEY))
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    return with_row_key(spark.read.parquet(path))
 
 
 def spread_stream(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siltscreen import sanitize_html, sanitize_text
 from siltscreen.operators import reports
+from siltscreen.sources.tables import with_row_key
 from siltscreen.streaming import jobs
 
 TEXTS = ["a​b", "<|pad|> x", "clean", "[INST] y", "Ａ"] * 4
@@ -26,7 +27,7 @@ def test_html_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "id int, html string")
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    jobs.stream_html(stream, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    jobs.stream_html(with_row_key(stream), str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     assert sorted(got.collect()) == sorted(sanitize_html(df).select(*got.columns).collect())
 
