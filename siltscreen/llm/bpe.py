@@ -356,7 +356,7 @@ def lexicon_words(df: DataFrame, text: str, v: Vocabulary, size: int) -> list[st
         whole[1:] = len(pairs)
         return [lists(pairs, whole)]
 
-    made = T.StructType.fromDDL("words array<struct<word:string,n:bigint>>")
+    made = T.StructType().add("words", T.ArrayType(T.StructType().add("word", T.StringType()).add("n", T.LongType())))
     counted = with_text_columns(df, text, count, made, []).select(F.inline("words"))
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
     return [r.word for r in top.collect()]

@@ -37,3 +37,23 @@ def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = bpe.make_encoder(docs, tokenizer_path())
     done = bpe.decode(bpe.encode(docs, encoder), encoder, packed="packed")
     return done.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside occurring benchmark windows, and the items they come from."""
+    from siltscreen.llm import decontaminate as d
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = d.leaks(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+    items = F.array_sort(F.array_distinct("hit_items"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size(items).cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+        F.array_max(F.transform("matches", lambda m: m["n_words"])).alias("longest_match"),
+    )
