@@ -57,3 +57,20 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         (n_hit > 0).alias("contaminated"),
         F.array_max(F.transform("matches", lambda m: m["n_words"])).alias("longest_match"),
     )
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document by a classifier that never saw the held-out labels."""
+    from siltscreen.llm import toxicity as t
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = t.score(docs, t.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        t.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "threshold",
+        "toxic",
+    )
