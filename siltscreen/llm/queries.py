@@ -74,3 +74,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "threshold",
         "toxic",
     )
+
+
+@query
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors by cosine, whatever their labels."""
+    from siltscreen.llm import vectors as v
+
+    return v.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("embedding")
