@@ -48,6 +48,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a narrow table (keys and a few numbers, under 100 bytes a row) that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def join_checked(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join with a stored narrow table: broadcast if its counted rows are few, else by a shuffle of both."""
+    few = small.count() <= BROADCAST_ROWS
+    return big.join(F.broadcast(small) if few else small.hint("merge"), on, how)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (one more than rows, from 0) of a string column; null counts as empty."""
     if column.null_count:
