@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltscreen.llm.common import col, gather, lists, strings, with_text_columns, without
+from siltscreen.llm.common import col, gather, lists, stored, strings, with_text_columns, without
 from siltscreen.llm.lexicon import Lexicon, compiled
 from siltscreen.llm.words import run_hashes
 
@@ -343,7 +343,11 @@ def decode_ids(ids: np.ndarray, bounds: np.ndarray, v: Vocabulary) -> tuple[np.n
 
 
 def lexicon_words(df: DataFrame, text: str, v: Vocabulary, size: int) -> list[str]:
-    """The `size` most frequent words over all texts, counted by Spark; ties go by the word."""
+    """The most frequent words over all texts, counted by Spark: every word of at least such a count that at most `size` have it.
+
+    The least count comes from a histogram of counts by powers of 2 ** (1 / 8), so no task sends the
+    driver more than its own share of the chosen words.  Words that occur once are never among them.
+    """
 
     def count(column: pa.Array) -> list[pa.Array]:
         split = split_words(column.to_pylist(), v.special)
@@ -358,8 +362,15 @@ def lexicon_words(df: DataFrame, text: str, v: Vocabulary, size: int) -> list[st
 
     made = T.StructType().add("words", T.ArrayType(T.StructType().add("word", T.StringType()).add("n", T.LongType())))
     counted = with_text_columns(df, text, count, made, []).select(F.inline("words"))
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r.word for r in top.collect()]
+    step = F.floor(F.log2("n") * 8).cast("int")
+    often = stored(counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").withColumn("step", step))
+    least, room = 1 << 20, size
+    for row in sorted(often.groupBy("step").count().collect(), key=lambda r: -r.step):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row.step
+    return [r.word for r in often.filter(F.col("step") >= least).select("word").collect()]
 
 
 class Encoder:
