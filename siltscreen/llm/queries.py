@@ -94,3 +94,31 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = docs.select("doc_id").join(found, "doc_id", "left")
     group = F.coalesce("group_id", "doc_id")
     return rest.select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), group.alias("group_id"), (F.col("doc_id") == group).alias("kept"))
+
+
+@query
+def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in rows of 2048, with segment ends and positions."""
+    from siltscreen.llm import bpe, packing
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, bpe.make_encoder(docs, tokenizer_path()))
+
+
+@query
+def op8_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after three edits each, by segment trees."""
+    from siltscreen.llm import bpe, edits
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoder = bpe.make_encoder(docs, tokenizer_path())
+    # Places follow from the id: a replacement, a deletion and an insertion of the text's own words.
+    size = F.coalesce(F.length("text"), F.lit(0))
+    place = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), (size + 1).cast("bigint")).cast("int")
+    cut = lambda k: F.coalesce(F.substr("text", place(k) + 1, F.lit(24)), F.lit(""))
+    change = lambda start, n, new: F.struct(start.alias("start"), (start + n).alias("stop"), new.alias("text"))
+    planned = F.array(change(place(1), 12, cut(4)), change(place(2), 9, F.lit("")), change(place(3), 0, cut(5)))
+    counted = edits.count_trees(docs.withColumn("edits", planned), encoder)
+    before = counted.withColumn("n_tokens_before", F.col("n_tokens"))
+    done = edits.apply_edits(before, encoder)
+    return done.select("doc_id", "n_tokens_before", "n_tokens", "n_encoded", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
