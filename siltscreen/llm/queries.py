@@ -122,3 +122,14 @@ def op8_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = counted.withColumn("n_tokens_before", F.col("n_tokens"))
     done = edits.apply_edits(before, encoder)
     return done.select("doc_id", "n_tokens_before", "n_tokens", "n_encoded", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text evidence, its site's shrunken prior, and the posterior of being good."""
+    from siltscreen.llm import quality as q
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    model = q.train(docs, table(spark, sf_dir, "labels"))
+    done = q.assess(docs, model, keep=["doc_id"])
+    return done.select("doc_id", q.held_out(F.col("doc_id")).alias("held_out"), "evidence", "site_prior", "posterior", "good")
