@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltscreen.llm.common import col, gather, lists, stored, strings, with_text_columns, without
+from siltscreen.llm.common import STEP_BYTES, col, gather, lists, steps, stored, strings, with_text_columns, without
 from siltscreen.llm.lexicon import Lexicon, compiled
 from siltscreen.llm.words import run_hashes
 
@@ -446,12 +446,13 @@ def _with_list_columns(df: DataFrame, ids: str, make, made: T.StructType) -> Dat
     at = keep.index(ids)
     results = [f"_made{i}" for i in range(len(made))]
     schema = T.StructType([T.StructField(n, df.schema[c].dataType) for n, c in zip(names, keep, strict=True)] + [T.StructField(r, f.dataType) for r, f in zip(results, made, strict=True)])
-    rows_at_once = 512
 
     def run(batches):
         for batch in batches:
-            for low in range(0, len(batch), rows_at_once):
-                part = batch.slice(low, rows_at_once)
+            lengths = pa.compute.fill_null(pa.compute.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+            # A token is a few bytes of decoded text.
+            for low, high in steps(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), STEP_BYTES // 8):
+                part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([*part.columns, *make(part.column(at))], names + results)
 
     out = df.select(*[col(c).alias(n) for n, c in zip(names, keep, strict=True)]).mapInArrow(run, schema)

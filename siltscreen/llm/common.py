@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one step of a task works on at a time; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def col(name: str) -> Column:
@@ -102,10 +102,11 @@ def with_text_columns(
     made: T.StructType,
     keep: list[str],
     more: tuple[str, ...] = (),
+    step: int = STEP_BYTES,
 ) -> DataFrame:
     """`keep`, then the columns `made` that `make` returns for a step's text column (and the columns `more`).
 
-    Narrow: one Arrow pass, at most STEP_BYTES of text (or one row) at a time.  Columns of `keep`
+    Narrow: one Arrow pass, at most `step` bytes of text (or one row) at a time.  Columns of `keep`
     that clash with `made` are left out.
     """
     keep = [c for c in keep if c.lower() not in {f.name.lower() for f in made}]
@@ -123,7 +124,7 @@ def with_text_columns(
             lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
             offsets = np.zeros(len(texts) + 1, np.int64)
             np.cumsum(lengths, out=offsets[1:])
-            for low, high in steps(offsets):
+            for low, high in steps(offsets, step):
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([*part.columns[n:], *make(*part.columns[:n])], names)
 

@@ -24,6 +24,8 @@ from siltscreen.llm.words import Words, words
 WINDOW = 10
 #: Bytes of benchmark text in one block: the bound of what is broadcast at a time.
 BLOCK_BYTES = 16 << 20
+#: Text of a shard.
+SHARD_BYTES = 4 << 20
 #: Words that start an indexed suffix, at most; fewer where an item is shorter.
 LEAD = 3
 
@@ -53,7 +55,9 @@ class Benchmark(NamedTuple):
     window_size: np.ndarray
     places: np.ndarray
     place_bounds: np.ndarray
-    #: Words that start an indexed suffix, and their keys in order.
+    #: Text of a shard.
+SHARD_BYTES = 4 << 20
+#: Words that start an indexed suffix, and their keys in order.
     lead: int
     leads: np.ndarray
     depth: int
@@ -277,7 +281,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
         last = k == len(blocks) - 1
         rest = without(out, source) if last else out.columns
         made = T.StructType([T.StructField(f"_leak{k}_{f.name}", f.dataType) for f in MADE])
-        out = with_text_columns(out, source, lambda t, b=block: find_leaks(t, b.value), made, rest)
+        out = with_text_columns(out, source, lambda t, b=block: find_leaks(t, b.value), made, rest, step=SHARD_BYTES)
         parts.append([f"_leak{k}_{f.name}" for f in MADE])
     columns = [F.col(p) for p in parts[0]] if len(parts) == 1 else _united(parts)
     texts = [col(copy).alias(text)] if keep_text else []

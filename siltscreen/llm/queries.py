@@ -133,3 +133,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = q.train(docs, table(spark, sf_dir, "labels"))
     done = q.assess(docs, model, keep=["doc_id"])
     return done.select("doc_id", q.held_out(F.col("doc_id")).alias("held_out"), "evidence", "site_prior", "posterior", "good")
+
+
+@query
+def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes."""
+    from siltscreen.llm import sharding as s
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = s.shard(docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")))))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
