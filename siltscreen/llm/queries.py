@@ -143,3 +143,69 @@ def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     placed = s.shard(docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")))))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def url_entries(pages: DataFrame, events: DataFrame) -> DataFrame:
+    """A dated list from the tables: every event is an entry about the address of the page of its number.
+
+    The event's type picks list and kind, every third event takes its entry off the list again.
+    """
+    from siltscreen.llm import urls as u
+
+    url, kind = F.col("url"), F.col("event_type")
+    labels = F.split(u.url_host(url), r"\.")
+    top = F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(2)), 2), ".")
+    first = F.concat(u.url_host(url), F.lit("/"), F.split(u.url_path(url), "/")[0])
+    entry = lambda name, about, value: F.struct(F.lit(name).alias("list"), F.lit(about).alias("kind"), value.alias("value"))
+    plan = F.when(kind == "click", entry("adverts", "host", u.url_host(url))).when(kind == "view", entry("spam", "domain", top))
+    plan = plan.when(kind == "error", entry("malware", "url", u.whole_url(url))).otherwise(entry("abuse", "prefix", first))
+    joined = events.join(pages, events["event_id"] == pages["page_id"])
+    return joined.select(plan.alias("_e"), F.col("ts").alias("dated"), (F.col("event_id") % 3 != 0).alias("listed")).select("_e.*", "dated", "listed")
+
+
+@query
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list as it was when the page was fetched (a time that follows from its id)."""
+    from siltscreen.llm import urls as u
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    when = F.timestamp_seconds(F.lit(1704067200) + (F.col("page_id") * 7919) % 2592000)
+    done = u.listed_captures(pages.withColumn("fetched_at", when), url_entries(pages, table(spark, sf_dir, "events")))
+    since = F.unix_micros("listed_since")
+    return done.select("page_id", "url", F.unix_seconds("fetched_at").alias("fetched_at"), "n_entries", F.concat_ws(",", "lists").alias("lists"), since.alias("listed_since"), "blocked")
+
+
+ORACLE["op3_url_filters"] = r"""
+WITH parts AS (
+  SELECT page_id, url, 1704067200 + (page_id * 7919) % 2592000 AS fetched_at,
+         rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)', 1) AS path,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)', 1) AS rest
+  FROM pages),
+addr AS (SELECT *, string_split(host, '.') AS l, list_filter(string_split(path, '/'), lambda s: s <> '') AS s FROM parts),
+entry AS (
+  SELECT CASE event_type WHEN 'click' THEN 'adverts' WHEN 'view' THEN 'spam' WHEN 'error' THEN 'malware' ELSE 'abuse' END AS list,
+         CASE event_type WHEN 'click' THEN 'host' WHEN 'view' THEN 'domain' WHEN 'error' THEN 'url' ELSE 'prefix' END AS kind,
+         CASE event_type WHEN 'click' THEN host WHEN 'view' THEN array_to_string(l[-2:], '.') WHEN 'error' THEN host || rest
+              ELSE host || '/' || string_split(path, '/')[1] END AS value,
+         epoch_us(ts) AS dated, bool_or(event_id % 3 <> 0) AS listed
+  FROM events JOIN addr ON event_id = page_id GROUP BY 1, 2, 3, 4),
+state AS (
+  SELECT *, lead(dated) OVER (PARTITION BY list, kind, value ORDER BY dated) AS until,
+         lag(listed, 1, false) OVER (PARTITION BY list, kind, value ORDER BY dated) AS was FROM entry),
+island AS (SELECT *, sum(CASE WHEN listed <> was THEN 1 ELSE 0 END) OVER (PARTITION BY list, kind, value ORDER BY dated) AS k FROM state),
+span AS (
+  SELECT list, kind, value, min(dated) AS since, CASE WHEN count(*) = count(until) THEN max(until) END AS until
+  FROM island WHERE listed GROUP BY list, kind, value, k),
+key AS (
+  SELECT page_id, fetched_at, 'url' AS kind, host || rest AS value FROM addr WHERE host <> ''
+  UNION ALL SELECT page_id, fetched_at, 'host', host FROM addr WHERE host <> ''
+  UNION ALL SELECT page_id, fetched_at, 'domain', array_to_string(l[-k:], '.') FROM (SELECT *, unnest(range(1, len(l) + 1)) AS k FROM addr WHERE host <> '')
+  UNION ALL SELECT page_id, fetched_at, 'prefix', host || '/' || array_to_string(s[1:k], '/') FROM (SELECT *, unnest(range(1, len(s) + 1)) AS k FROM addr WHERE host <> '')),
+hit AS (
+  SELECT page_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT list)), ',') AS lists, min(since) AS since
+  FROM key JOIN span USING (kind, value)
+  WHERE since <= fetched_at * 1000000 AND (until IS NULL OR fetched_at * 1000000 < until) GROUP BY page_id)
+SELECT page_id, url, fetched_at, coalesce(n, 0) AS n_entries, coalesce(lists, '') AS lists, since AS listed_since, n IS NOT NULL AS blocked
+FROM parts LEFT JOIN hit USING (page_id)
+"""
