@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,20 +35,28 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write `df` to the shared folder of `spark.checkpoint.dir` and read it from there.
-
-    Only a local session without that setting (tests) gets a temporary folder.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of `spark.checkpoint.dir`; only a local session without it (tests) gets a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siltscreen-"))
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write `df` to the shared folder and read it from there; Spark removes it when it is no longer used."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 #: Rows of a narrow table (keys and a few numbers, under 100 bytes a row) that may be broadcast.
 BROADCAST_ROWS = 500_000
 
