@@ -385,9 +385,8 @@ class Encoder:
 
 def make_encoder(df: DataFrame, path: str, text: str = "text", lexicon_size: int = LEXICON_WORDS) -> Encoder:
     """Count words, compile the transducer, hand it and the vocabulary to the executors."""
-    context = df.sparkSession.sparkContext
     v = read_vocabulary(path)
-    return ship(df.sparkSession, v, lexicon_words(df, text, v, lexicon_size)) if context else None
+    return ship(df.sparkSession, v, lexicon_words(df, text, v, lexicon_size))
 
 
 def ship(spark: SparkSession, v: Vocabulary, chosen: list[str]) -> Encoder:
@@ -421,7 +420,6 @@ def decode(df: DataFrame, encoder: Encoder, ids: str = "ids", decoded: str = "de
 
     With `packed`, also add the ids as binary: little-endian unsigned 32-bit integers.
     """
-    width = fields = None
     fields = [T.StructField(decoded, T.StringType())] + ([T.StructField(packed, T.BinaryType())] if packed else [])
     width = bool(packed)
 

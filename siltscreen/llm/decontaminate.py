@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltscreen.llm.common import col, fresh, gather, lists, utf8, with_text_columns, without
+from siltscreen.llm.common import col, gather, lists, utf8, with_text_columns, without
 from siltscreen.llm.words import Words, words
 
 WINDOW = 10
@@ -266,24 +266,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
     is called null.  Repeated documents keep their rows.  Columns named like the four results give way.
     """
     spark = docs.sparkSession
-    keep = without(docs, text, *MADE.names)
-    blocks = [spark.sparkContext.broadcast(index_benchmark(b, window)) for b in benchmark_blocks(benchmark, item_text, item)]
-    if not blocks:
-        blocks = [spark.sparkContext.broadcast(index_benchmark([], window))]
-    source, out = text, docs.select(*[col(c) for c in keep], col(text))
-    if keep_text:
-        copy = fresh(out, "_text")
-        out = out.withColumn(copy, col(text))
+    keep = [c for c in without(docs, *MADE.names) if keep_text or c.lower() != text.lower()]
+    blocks = [spark.sparkContext.broadcast(index_benchmark(b, window)) for b in benchmark_blocks(benchmark, item_text, item) or [[]]]
+    out = docs.select(*[col(c).alias(f"_d{i}") for i, c in enumerate(keep)], col(text).alias("_text"))
     parts = []
     for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        rest = without(out, source) if last else out.columns
+        # The text goes along to the next block's pass.
+        rest = without(out, "_text") if k == len(blocks) - 1 else out.columns
         made = T.StructType([T.StructField(f"_leak{k}_{f.name}", f.dataType) for f in MADE])
-        out = with_text_columns(out, source, lambda t, b=block: find_leaks(t, b.value), made, rest, step=SHARD_BYTES)
-        parts.append([f"_leak{k}_{f.name}" for f in MADE])
+        out = with_text_columns(out, "_text", lambda t, b=block: find_leaks(t, b.value), made, rest, step=SHARD_BYTES)
+        parts.append(made.names)
     columns = [F.col(p) for p in parts[0]] if len(parts) == 1 else _united(parts)
-    texts = [col(copy).alias(text)] if keep_text else []
-    return out.select(*[col(c) for c in keep], *texts, *[c.alias(f.name) for c, f in zip(columns, MADE, strict=True)])
+    return out.select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(keep)], *[c.alias(f.name) for c, f in zip(columns, MADE, strict=True)])
 
 
 def _united(parts: list[list[str]]) -> list:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltscreen.llm.common import col, join_checked, stored, utf8, with_text_columns, without
+from siltscreen.llm.common import col, held_out, join_checked, stored, utf8, with_text_columns, without
 from siltscreen.llm.words import words
 
 #: Labelled rows the classifier is fitted on, at most: the bound of the driver's memory.
@@ -98,11 +98,6 @@ def log_odds(model: Model, x: np.ndarray) -> np.ndarray:
     return np.clip(np.clip((x - model.mean) / model.scale, -8, 8) @ model.weights + model.bias, -30, 30)
 
 
-def held_out(doc_id: Column) -> Column:
-    """The rows that no label is learned from: crc32 of the id as text, modulo 4, is 2 (false for null)."""
-    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
-
-
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id", label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most `rows` labelled documents, chosen by a hash of their id, held-out ones never among them.
 

@@ -90,10 +90,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltscreen.llm import jaccard
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = jaccard.groups(docs).withColumnRenamed("_id", "doc_id")
-    rest = docs.select("doc_id").join(found, "doc_id", "left")
-    group = F.coalesce("group_id", "doc_id")
-    return rest.select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), group.alias("group_id"), (F.col("doc_id") == group).alias("kept"))
+    return jaccard.near_documents(docs).drop("text")
 
 
 @query
