@@ -58,9 +58,11 @@ class Cuts:
 
 def _numbers(spark: SparkSession, rows: list[tuple[int, ...]], names: list[str]) -> DataFrame:
     """A small table of integers, made from one literal."""
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast("bigint").alias(n) for n in names])
     text = ";".join(",".join(map(str, r)) for r in rows)
+    made = spark.range(1).select(F.explode(F.split(F.lit(text), ";")).alias("_r"))
     values = F.split("_r", ",")
-    made = spark.range(1).select(F.explode(F.split(F.lit(text), ";")).alias("_r")) if rows else spark.range(0).select(F.lit("").alias("_r"))
     return made.select(*[F.element_at(values, i + 1).cast("bigint").alias(n) for i, n in enumerate(names)])
 
 
