@@ -389,6 +389,21 @@ def make_encoder(df: DataFrame, path: str, text: str = "text", lexicon_size: int
     return ship(df.sparkSession, v, lexicon_words(df, text, v, lexicon_size))
 
 
+def vocabulary_words(path: str) -> list[str]:
+    """Words that are a token by themselves."""
+    model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+    byte_of = {letter: b for b, letter in enumerate(byte_letters())}
+    end = model["end_of_word_suffix"]
+    raw = [bytes(byte_of[x] for x in token[: -len(end)]) for token in model["vocab"] if token.endswith(end) and len(token) > len(end)]
+    words = [r.decode(errors="ignore") for r in raw]
+    return [w for w, r in zip(words, raw, strict=True) if w.encode() == r]
+
+
+def vocabulary_encoder(spark: SparkSession, path: str) -> Encoder:
+    """An encoder whose transducer holds the vocabulary's own words, for jobs not worth a count of the corpus first."""
+    return ship(spark, read_vocabulary(path), vocabulary_words(path))
+
+
 def ship(spark: SparkSession, v: Vocabulary, chosen: list[str]) -> Encoder:
     chosen = sorted(set(chosen))
     raw = [w.encode() for w in chosen]

@@ -99,7 +99,7 @@ def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltscreen.llm import bpe, packing
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(docs, bpe.make_encoder(docs, tokenizer_path()))
+    return packing.pack(docs, bpe.vocabulary_encoder(spark, tokenizer_path()))
 
 
 @query

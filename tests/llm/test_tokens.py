@@ -71,6 +71,14 @@ def test_lexicon_numbers_words_in_order_and_shares_suffixes():
     assert lexicon.find(other, np.array([0, 2]), np.array([2, 7])).tolist() == [-1, -1]
 
 
+def test_vocabulary_words_encode_to_one_token(spark):
+    words = bpe.vocabulary_words(PATH)
+    assert len(words) > 20_000
+    v, lexicon = bpe.vocabulary_encoder(spark, PATH).parts()
+    sample = words[::501]
+    assert [len(i) for i in got(sample, lexicon)] == [len(want(w)) for w in sample]
+
+
 def test_no_words_at_all():
     lexicon, _ = lexicon_of([])
     assert got(["a b"], lexicon) == [want("a b")]
