@@ -83,7 +83,7 @@ NOT_NFKC_STABLE = (
 ENCODED_REPLACEMENT = "[encoded-removed]"
 DATA_URI_REPLACEMENT = "[data-uri-removed]"
 DATA_URI = r"(?i)data:text/[^;]*+;base64,[a-z0-9+/=]++"
-_BASE64 = _singles(string.ascii_letters + string.digits + "+/")
+_BASE64 = "[A-Za-z0-9+/]"
 BASE64_RUN = f"(?<!{_BASE64}){_BASE64}{{40,}}+={{0,2}}+"
 _HEX_PAIR = _singles(string.hexdigits) + "{2}[" + WS + r",;]?+"
 HEX_RUN = r"(?:0[xX]|\\[xX])?(?:" + _HEX_PAIR + "){20,}+"
@@ -119,7 +119,7 @@ MD_IMAGE = r"!\[([^\]]*+)\]\(([^)]++)\)"
 EXFIL_PARAMS = ["exfil", "data", "payload", "stolen", "leak", "extract", "dump"]
 EXFIL_MAX_VALUE = 100
 EXFIL_MAX_URL = 500
-EXFIL_VALUE = r"^[A-Za-z0-9+/]{20,}+={0,2}$"
+EXFIL_VALUE = r"^[A-Za-z0-9+/]{20,}+={0,2}\z"
 
 # --- delimiters, removed one after the other -----------------------------------
 DELIMITERS = [
@@ -162,23 +162,23 @@ HIDDEN_STYLES = [
     "opacity: 0",
 ]
 # Each entry lists substrings that must all occur.
-OFF_SCREEN_STYLES = (
-    [("text-indent", "-999")]
-    + [
-        (f"position:{sp}{place}", f"{side}:{sp}-")
-        for place in ("absolute", "fixed")
-        for side in ("left", "top")
-        for sp in ("", " ")
-    ]
-    + [
-        ("clip:rect(0",),
-        ("clip: rect(0",),
-        ("clip-path:inset(100",),
-        ("clip-path: inset(100",),
-        ("font-size:0",),
-        ("font-size: 0",),
-    ]
-)
+OFF_SCREEN_STYLES = [
+    ("text-indent", "-999"),
+    ("position:absolute", "left:-"),
+    ("position: absolute", "left: -"),
+    ("position:absolute", "top:-"),
+    ("position: absolute", "top: -"),
+    ("position:fixed", "left:-"),
+    ("position: fixed", "left: -"),
+    ("position:fixed", "top:-"),
+    ("position: fixed", "top: -"),
+    ("clip:rect(0",),
+    ("clip: rect(0",),
+    ("clip-path:inset(100",),
+    ("clip-path: inset(100",),
+    ("font-size:0",),
+    ("font-size: 0",),
+]
 NAMED_COLORS = {
     "white": "#ffffff",
     "black": "#000000",
@@ -238,9 +238,13 @@ ATTRIBUTE = (
 ENTITY_NAMES_WITHOUT_SEMICOLON = sorted(
     (n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n)
 )
-ENTITY = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)"
-TEXT_ENTITY = ENTITY[:-1] + "|(?:" + "|".join(ENTITY_NAMES_WITHOUT_SEMICOLON) + "))"
+ENTITY = r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]*+;)"
+OLD_ENTITY = "(?:" + "|".join(ENTITY_NAMES_WITHOUT_SEMICOLON) + ")"
+TEXT_ENTITY = ENTITY[:-1] + "|" + OLD_ENTITY + ")"
+ATTRIBUTE_ENTITY = ENTITY[:-1] + "|" + OLD_ENTITY + "(?![A-Za-z0-9=]))"
 
+# Inside these a start tag that ends with "/>" is a whole element.
+FOREIGN_TAGS = ["svg", "math"]
 VOID_TAGS = [
     "area", "base", "basefont", "br", "col", "command", "embed", "frame", "hr", "img",
     "input", "isindex", "keygen", "link", "meta", "param", "source", "track", "wbr",
@@ -267,7 +271,9 @@ OPTIONAL_END = {
     ),
     "li": (["li"], ["li"], []),
     "dl": (["dt", "dd"], ["dt", "dd"], []),
-    "cell": (["td", "th"], ["td", "th", "tr"], []),
-    "row": (["tr"], ["tr"], ["td", "th"]),
+    "cell": (["td", "th"], ["td", "th", "tr", "tbody", "thead", "tfoot"], []),
+    "row": (["tr"], ["tr", "tbody", "thead", "tfoot"], ["td", "th"]),
+    "part": (["thead", "tbody", "tfoot"], ["thead", "tbody", "tfoot"], ["tr", "td", "th"]),
     "option": (["option"], ["option", "optgroup"], []),
+    "optgroup": (["optgroup"], ["optgroup"], ["option"]),
 }

@@ -61,28 +61,37 @@ def _valid_utf8(raw: Column) -> Column:
     return F.make_valid_utf8(raw.cast("string"))
 
 
-def decode_base64(run: Column) -> Column:
-    """Lenient base64: padding ignored, a lone last sextet dropped, bad UTF-8 -> U+FFFD."""
+def base64_bytes(run: Column) -> Column:
+    """Lenient base64: padding ignored, a lone last sextet dropped."""
     digits = F.rtrim(run, F.lit("="))
     usable = F.length(digits) - F.when(F.length(digits) % 4 == 1, 1).otherwise(0)
-    return _valid_utf8(F.unbase64(F.substring(digits, F.lit(1), usable)))
+    return F.unbase64(F.substring(digits, F.lit(1), usable))
 
 
-def decode_hex(run: Column) -> Column:
+def decode_base64(run: Column) -> Column:
+    """The bytes as text; bad UTF-8 becomes U+FFFD."""
+    return _valid_utf8(base64_bytes(run))
+
+
+def hex_bytes(run: Column) -> Column:
     """Hex digits only, taken in pairs from the front; an odd last digit is dropped."""
     digits = F.regexp_replace(run, "[^0-9a-fA-F]", "")
     even = F.length(digits) - F.length(digits) % 2
-    return _valid_utf8(F.unhex(F.substring(digits, F.lit(1), even)))
+    return F.unhex(F.substring(digits, F.lit(1), even))
+
+
+def decode_hex(run: Column) -> Column:
+    return _valid_utf8(hex_bytes(run))
 
 
 def instruction_like(text: Column) -> Column:
     return F.coalesce(text.rlike(P.INSTRUCTION), F.lit(False))
 
 
-def base64_is_payload(run: Column, max_run: float) -> Column:
-    return F.when(F.length(run) > F.lit(max_run), False).otherwise(
-        instruction_like(decode_base64(run))
-    )
+def base64_is_payload(run: Column, max_run: float | None = None) -> Column:
+    """Decodes to an instruction; a run of more than `max_run` characters counts as none."""
+    found = instruction_like(decode_base64(run))
+    return found if max_run is None else F.when(F.length(run) > F.lit(max_run), False).otherwise(found)
 
 
 def hex_is_payload(run: Column) -> Column:
@@ -92,21 +101,37 @@ def hex_is_payload(run: Column) -> Column:
 # --- links ---------------------------------------------------------------------
 
 
+def _percent_decoded(part: Column) -> Column:
+    """Escapes decoded; a percent sign that begins none stays as it is."""
+    safe = F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(F.replace(safe, F.lit("+"), F.lit("%2B"))), part)
+
+
 def _url_decoded(part: Column) -> Column:
-    return F.coalesce(F.try_url_decode(part), F.replace(part, F.lit("+"), F.lit(" ")))
+    """The same for a query, where a plus sign stands for a space."""
+    return _percent_decoded(F.replace(part, F.lit("+"), F.lit("%20")))
 
 
 def _is_absolute(url: Column) -> Column:
-    """Has a scheme and, for the web schemes, a non-empty host without forbidden characters."""
+    """Has a scheme and, for the web schemes, a valid host and a port of at most 65535."""
     authority = F.regexp_extract(url, r"(?i)^(?:https?|ftp|wss?):[/\\]*+([^/\\?#]*+)", 1)
-    host = F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), ":[0-9]*$", "")
+    place = F.regexp_replace(authority, "^.*@", "")
+    host = _percent_decoded(F.regexp_replace(place, r":[^:\]]*\z", ""))
+    port = F.regexp_extract(place, r":([^:\]]*)\z", 1)
+    valid = port.rlike(r"^[0-9]*\z") & (F.coalesce(F.regexp_replace(port, "^0+", "").try_cast("bigint"), F.lit(0)) <= 65535)
+    valid = valid & (F.length(F.regexp_replace(port, "^0+", "")) <= 5)
     return url.rlike("^[A-Za-z][A-Za-z0-9+.-]*+:") & (
-        ~url.rlike("(?i)^(?:https?|ftp|wss?):") | host.rlike(r"^[^\x00-\x20<>^|%]++$")
+        ~url.rlike("(?i)^(?:https?|ftp|wss?):") | (host.rlike(r"^[^\x00-\x20<>^|%\x7F#/:?@\[\\\]]++\z|^\[[0-9A-Fa-f:.]+\]\z") & valid)
     )
 
 
-def suspicious_url(url: Column) -> Column:
-    """Query values that look like smuggled data, tell-tale parameter names, or sheer length."""
+def suspicious_url(written: Column) -> Column:
+    """Query values that look like smuggled data, tell-tale parameter names, or sheer length.
+
+    A browser drops tabs and line ends anywhere in an address, and control characters and spaces around
+    it, before it reads the address; the length is that of the address as written.
+    """
+    url = F.regexp_replace(F.regexp_replace(written, r"^[\x00-\x20]++|[\x00-\x20]++\z", ""), r"[\t\n\r]", "")
     query = F.regexp_extract(url, r"^[^?#]*+\?([^#]*+)", 1)
     pairs = F.filter(F.split(query, "&", -1), lambda p: p != "")
 
@@ -120,7 +145,7 @@ def suspicious_url(url: Column) -> Column:
         )
 
     return F.coalesce(
-        _is_absolute(url) & (F.exists(pairs, tell_tale) | (F.length(url) > P.EXFIL_MAX_URL)),
+        _is_absolute(url) & (F.exists(pairs, tell_tale) | (F.length(written) > P.EXFIL_MAX_URL)),
         F.lit(False),
     )
 
@@ -187,37 +212,64 @@ def _all_parts(conjunctions: list[tuple[str, ...]]) -> str:
 # --- HTML entities and attributes -----------------------------------------------
 
 
-def _entity_names() -> str:
+def _frequent_names() -> str:
     names = {n: chr(cp) for n, cp in html.entities.name2codepoint.items()} | {"apos": "'"}
     return "\n".join(f"{n}\t{c}" for n, c in names.items())
 
 
+def _other_names() -> str:
+    """The rest of HTML5's names; a map is searched from its start, so the frequent ones have their own."""
+    names = {n.rstrip(";"): c for n, c in html.entities.html5.items() if c not in "\n\t"}
+    return "\n".join(f"{n}\t{c}" for n, c in sorted(names.items()) if n not in html.entities.name2codepoint)
+
+
+def _named(name: Column) -> Column:
+    """The characters of a name, NULL for an unknown one."""
+    return F.coalesce(
+        F.try_element_at(_lookup(_frequent_names()), name),
+        F.try_element_at(_lookup(_other_names()), name),
+        F.when(name == "NewLine", F.lit("\n")).when(name == "Tab", F.lit("\t")),
+    )
+
+
 def _cp1252_names() -> str:
     """Numeric references 128-159 mean Windows-1252, as in every browser."""
     rows = ((b, bytes([b]).decode("cp1252", "ignore")) for b in range(128, 160))
     return "\n".join(f"{b}\t{c}" for b, c in rows if c)
 
 
-def _entity(ref: Column) -> Column:
-    body = F.rtrim(F.substring(ref, 2, 64), F.lit(";"))
+def _entity(ref: Column, in_text: bool) -> Column:
+    body = F.rtrim(F.substr(ref, F.lit(2)), F.lit(";"))
+    # Any number of leading zeros; numbers of more digits than a code point has are invalid.
+    hex_digits = F.regexp_replace(body, "^#[xX]0*+", "")
+    digits = F.regexp_replace(body, "^#0*+", "")
     code = F.when(
-        body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 64), 16, 10).cast("bigint")
-    ).when(body.startswith("#"), F.substring(body, 2, 64).try_cast("bigint"))
+        body.rlike("^#[xX]"),
+        F.when(F.length(hex_digits) > 8, F.lit(0x110000)).otherwise(F.conv(F.concat(F.lit("0"), hex_digits), 16, 10).cast("bigint")),
+    ).when(
+        body.startswith("#"),
+        F.when(F.length(digits) > 10, F.lit(0x110000)).otherwise(F.concat(F.lit("0"), digits).try_cast("bigint")),
+    )
     remapped = F.try_element_at(_lookup(_cp1252_names()), code.cast("string"))
     invalid = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
     # U+FEFF alone would be read as a byte order mark and vanish.
     char = F.when(code == 0xFEFF, F.lit("\ufeff")).otherwise(
         F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     )
-    named = F.try_element_at(_lookup(_entity_names()), body)
+    # An unknown name may begin with one of the oldest, which need no semicolon; the longest counts.
+    old = F.regexp_extract(ref, f"^&({P.OLD_ENTITY})", 1)
+    begun = F.when((old != "") & F.lit(in_text), F.concat(_named(old), F.substr(ref, F.length(old) + 2)))
     return F.when(
         body.startswith("#"),
         F.when(invalid, F.lit("�")).otherwise(F.coalesce(remapped, char)),
-    ).otherwise(F.coalesce(named, ref))
+    ).otherwise(F.coalesce(_named(body), begun, ref))
 
 
 def decode_entities(text: Column, pattern: str = P.TEXT_ENTITY) -> Column:
-    return F.when(text.contains("&"), rewrite_matches(text, pattern, _entity)).otherwise(text)
+    """References of a text, or of an attribute's value with P.ATTRIBUTE_ENTITY."""
+    in_text = pattern == P.TEXT_ENTITY
+    decoded = rewrite_matches(text, pattern, lambda ref: _entity(ref, in_text))
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def attributes(open_tag: Column) -> Column:
@@ -226,7 +278,7 @@ def attributes(open_tag: Column) -> Column:
     def parse(raw: Column) -> Column:
         name = F.lower(F.regexp_extract(raw, f"^[^{P.HTML_WS}=]++", 0))
         value = F.regexp_extract(raw, f"(?s)^[^=]++=[{P.HTML_WS}]*+([\"']?)(.*?)\\1?$", 2)
-        return F.struct(name.alias("name"), decode_entities(value, P.ENTITY).alias("value"))
+        return F.struct(name.alias("name"), decode_entities(value, P.ATTRIBUTE_ENTITY).alias("value"))
 
     return F.transform(matches(F.regexp_replace(open_tag, P.TAG_NAME, ""), P.ATTRIBUTE), parse)
 

@@ -61,9 +61,9 @@ def base64_candidates(
     df: DataFrame, text: str = "text", options: SanitizeOptions = DEFAULTS
 ) -> DataFrame:
     """One row per base64 run: its place in the text, what it decodes to, and the verdict."""
-    decoded = F.when(
-        F.length("run") <= F.lit(options.max_base64_run), fn.decode_base64(F.col("run"))
-    )
+    decoded = fn.decode_base64(F.col("run"))
+    if options.max_base64_run is not None:
+        decoded = F.when(F.length("run") <= F.lit(options.max_base64_run), decoded)
     return _candidates(df, text, P.BASE64_RUN, decoded)
 
 
@@ -72,6 +72,11 @@ def hex_candidates(df: DataFrame, text: str = "text") -> DataFrame:
     return _candidates(df, text, P.HEX_RUN, fn.decode_hex(F.col("run")))
 
 
+def candidate_bytes(run: Column, base: int) -> Column:
+    """What a run decodes to, before it is read as text."""
+    return fn.base64_bytes(run) if base == 64 else fn.hex_bytes(run)
+
+
 def _candidates(df: DataFrame, text: str, pattern: str, decoded: Column) -> DataFrame:
     keys = [c for c in df.columns if c != text]
     df = df.filter(F.col(text).rlike(pattern))

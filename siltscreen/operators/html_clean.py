@@ -102,7 +102,7 @@ def page_structure(pages: DataFrame, html: str = "html", key: list[str] | None =
     flagged = flag_elements(html_tokens(pages, html, key))
     rendered = F.when(tag_in(ATTRIBUTED), F.col("attrs")).alias("attrs")
     slim = flagged.select(
-        *PAGE, "_page", "pos", "tok", "tag", "kind", rendered, "hidden", "off_screen", "same_color"
+        *PAGE, "_page", "pos", "tok", "tag", "kind", "self_closed", rendered, "hidden", "off_screen", "same_color"
     )
     return element_ends(slim)
 

@@ -39,21 +39,24 @@ def html_tokens(
     html: str = "html",
     key: list[str] | None = None,
     carry: tuple[str, ...] = (),
+    partitions: int | None = None,
 ) -> DataFrame:
     """One row per token: `pos, tok, kind, tag, head`; page columns ride on the first token.
 
     `key` names columns that spread the pages.  It need not be unique for right results, only
     for balance; the default is `_row_key` where the input has it, which also spreads many
     copies of one page, else the columns beside the html, else the html.  All of these are
-    deterministic, so a recomputed map task sends every page where it went before.  The
+    deterministic, so a recomputed map task sends every page where it went before (a MAP column
+    has no hash and is left out).  The
     columns in `carry` are repeated on every token.
     """
     others = [c for c in pages.columns if c not in (html, ROW_KEY)]
     place = [ROW_KEY] if ROW_KEY in pages.columns else []
-    route = F.xxhash64(*(key or place or others or [html]))
+    hashable = [c for c in others if "map<" not in pages.schema[c].dataType.simpleString()]
+    route = F.xxhash64(*(key or place or hashable or [html]))
     # A fixed number of partitions: tokenising costs far more than the shuffled bytes suggest,
-    # so AQE must not merge them.  Size `spark.sql.shuffle.partitions` to the corpus.
-    spread = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # so AQE must not merge them.  Pass `partitions`, or size `spark.sql.shuffle.partitions` to the corpus.
+    spread = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pages = (
         pages.withColumn("_route", route)
         .repartition(spread, "_route")
@@ -112,7 +115,7 @@ def classify(tokens: DataFrame) -> DataFrame:
         )
         .otherwise("decl")
     )
-    return tokens.withColumn("kind", kind)
+    return tokens.withColumns({"kind": kind, "self_closed": F.coalesce(F.col("head").endswith("/>"), F.lit(False))})
 
 
 def element_ends(tokens: DataFrame) -> DataFrame:
@@ -123,8 +126,16 @@ def element_ends(tokens: DataFrame) -> DataFrame:
     2. `depth` counts matched pairs only, so stray and unclosed tags do not disturb it.
     3. An element ends at its own end tag or where an element around it ends, whichever
        comes first; one without an end tag also ends where HTML lets its end tag be left out.
+    4. A paragraph ends before the first start tag that cannot stand in one, wherever its end tag is.
+    5. Inside svg and math, a start tag that ends with "/>" is a whole element.
     """
     kind, pos = F.col("kind"), F.col("pos")
+    whole = F.col("self_closed")
+    foreign = tag_in(P.FOREIGN_TAGS)
+    inside = F.when(foreign & (kind == "open") & ~whole, 1).when(foreign & (kind == "close"), -1).otherwise(0)
+    tokens = tokens.withColumn("_foreign", F.sum(inside).over(in_order()))
+    closed = (kind == "open") & whole & (foreign | (F.col("_foreign") > 0))
+    tokens = tokens.withColumn("kind", F.when(closed, "void").otherwise(kind)).drop("_foreign", "self_closed")
     opens, closes = kind == "open", kind == "close"
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
     t = tokens.withColumn("_level", F.sum(step).over(in_order("tag")) + F.when(closes, 1).otherwise(0))
@@ -171,6 +182,9 @@ def element_ends(tokens: DataFrame) -> DataFrame:
         siblings[f"_next_{family}"] = F.min(event).over(beside)
     t = t.withColumns(siblings)
 
+    later = Window.partitionBy(*PAGE).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    breaks = F.when(starts & tag_in(P.OPTIONAL_END["p"][1]), pos)
+    t = t.withColumn("_break", F.min(breaks).over(later))
     nearest = F.lit(None).cast("int")
     for family, (members, _, _) in P.OPTIONAL_END.items():
         nearest = F.when(tag_in(members), F.col(f"_next_{family}")).otherwise(nearest)
@@ -178,11 +192,12 @@ def element_ends(tokens: DataFrame) -> DataFrame:
     enclosing = F.coalesce(F.col("_enclosing"), F.lit(END_OF_PAGE + 1))
     end = (
         F.when(kind.isin("void", "raw", "rawtext"), pos)
+        .when(opens & (pair == 1) & (tag_in(["p"])) & (F.col("_break") < F.least(enclosing, "_close")), F.col("_break") - 1)
         .when(opens & (pair == 1) & (enclosing < F.col("_close")), enclosing - 1)
         .when(opens & (pair == 1), F.col("_close"))
         .when(opens, F.least(F.coalesce(sibling_end, enclosing), enclosing) - 1)
     )
     return t.withColumns({"end": end.cast("int"), "paired": pair != 0}).drop(
         "_level", "_next", "_prev", "_close", "_pair", "_depth", "_inner", "_outer",
-        "_enclosing", *siblings,
+        "_enclosing", "_break", *siblings,
     )

@@ -52,12 +52,13 @@ def session_sources(df: DataFrame, session: str, order: str, bucket: Column) ->
     A session may hold a third of all rows, so it is neither collected into one array nor
     ranked in one task: rows are ranked inside a `bucket` of the order column, and the counts
     of the earlier buckets, one row per (session, kind, bucket), are added.  `bucket` must not
-    decrease with `order`.
+    decrease with `order` (see `order_buckets`).  A row of another tool has the kind "other".
     """
     kind = (
         F.when(F.col("tool") == PAGE_TOOL, "urls")
         .when(F.col("tool") == FILE_TOOL, "files")
         .when(F.col("tool") == COMMAND_TOOL, "commands")
+        .otherwise("other")
     )
     keys = [session, "kind"]
     listed = df.select(session, kind.alias("kind"), order, "source", bucket.alias("_bucket"))
@@ -72,8 +73,25 @@ def session_sources(df: DataFrame, session: str, order: str, bucket: Column) ->
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .drop("_n")
     )
-    position = (F.col("_rank") + F.col("_before")).cast("bigint").alias("position")
-    return ranked.join(before, [*keys, "_bucket"]).select(*keys, position, "source")
+    # A session, or a place in it, may be NULL: such rows are a session of their own.
+    a, b = ranked.alias("a"), before.alias("b")
+    same = F.lit(True)
+    for name in (*keys, "_bucket"):
+        same = same & F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}"))
+    position = (F.col("a._rank") + F.col("b._before")).cast("bigint").alias("position")
+    return a.join(b, same).select(*[F.col(f"a.{k}") for k in keys], position, "a.source")
+
+
+def order_buckets(df: DataFrame, order: str, most: int = 64) -> Column:
+    """A bucket number that does not decrease with `order`, with about as many rows in each.
+
+    There are as many buckets as the root of the number of rows, up to `most`, so the table of counts
+    that `session_sources` sums up stays small while no bucket of a hot session holds more than its part.
+    """
+    wanted = max(1, min(most, int(df.count() ** 0.5)))
+    shares = [i / wanted for i in range(1, wanted)]
+    bounds = sorted(set(df.stat.approxQuantile(order, shares, 0.25 / wanted))) if shares else []
+    return F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x < F.col(order))) if bounds else F.lit(0)
 
 
 # --- the log ---------------------------------------------------------------------

@@ -16,20 +16,24 @@ def looks_like_html(content: Column, path: Column | None = None) -> Column:
     return F.coalesce(extension.isin(P.HTML_EXTENSIONS), F.lit(False)) | by_content
 
 
-def too_large(size: Column) -> Column:
-    return size > P.MAX_FILE_BYTES
+def too_large(size: Column, max_bytes: int | None = None) -> Column:
+    """Above `max_bytes`; without a limit nothing is."""
+    return F.lit(False) if max_bytes is None else F.coalesce(size > max_bytes, F.lit(False))
 
 
-def is_binary(text: Column) -> Column:
-    head = F.substring(text, 1, P.BINARY_SAMPLE_CHARS)
-    return F.coalesce(F.instr(head, "\0") > 0, F.lit(False))
+def is_binary(text: Column, within: int | None = None) -> Column:
+    """Has a NUL character, anywhere or among the first `within` characters."""
+    searched = text if within is None else F.substring(text, 1, within)
+    return F.coalesce(F.instr(searched, "\0") > 0, F.lit(False))
 
 
-def route_files(df: DataFrame, text: str = "text", path: str = "path", size: str = "length") -> DataFrame:
-    """Add `route`: too_large, binary, html or text, decided in this order."""
+def route_files(
+    df: DataFrame, text: str = "text", path: str = "path", size: str = "length", max_bytes: int | None = None
+) -> DataFrame:
+    """Add `route`: too_large (above `max_bytes`, if given), binary, html or text, decided in this order."""
     return df.withColumn(
         "route",
-        F.when(too_large(F.col(size)), "too_large")
+        F.when(too_large(F.col(size), max_bytes), "too_large")
         .when(is_binary(F.col(text)), "binary")
         .when(looks_like_html(F.col(text), F.col(path)), "html")
         .otherwise("text"),
@@ -44,12 +48,22 @@ def route_output(df: DataFrame, text: str = "text") -> DataFrame:
 # --- rejects ---------------------------------------------------------------------
 
 
-def file_rejects(df: DataFrame, path: str = "path", size: str = "length") -> DataFrame:
-    """Add `error` (NULL for accepted rows) to routed files."""
+def file_rejects(
+    df: DataFrame, path: str = "path", size: str = "length", max_bytes: int | None = None, failure: str | None = None
+) -> DataFrame:
+    """Add `error` (NULL for accepted rows) to routed files.
+
+    `failure` names a column with the reason why a file could not be read (NULL: it was read).
+    """
     megabytes = F.floor(F.col(size) / (1024 * 1024) + 0.5).cast("bigint").cast("string")
-    message = F.when(
+    limit = "" if max_bytes is None else f", max {max_bytes >> 20}MB"
+    message = F.when(F.lit(False), "")
+    if failure is not None:
+        reason = F.col(failure)
+        message = F.when(reason.isNotNull(), F.concat(F.lit("Error reading "), F.col(path), F.lit(": "), reason))
+    message = message.when(
         F.col("route") == "too_large",
-        F.concat(F.lit("File too large ("), megabytes, F.lit("MB, max 50MB): "), F.col(path)),
+        F.concat(F.lit("File too large ("), megabytes, F.lit(f"MB{limit}): "), F.col(path)),
     ).when(F.col("route") == "binary", F.concat(F.lit("Skipped binary file: "), F.col(path)))
     return df.withColumn("error", message).withColumn("is_error", F.col("error").isNotNull())
 
@@ -63,6 +77,16 @@ def page_rejects(df: DataFrame, url: str = "url", status: str = "status") -> Dat
     return df.withColumn("error", F.when(failed, message)).withColumn("is_error", failed)
 
 
+def command_rejects(df: DataFrame, command: str = "command", failure: str = "failure") -> DataFrame:
+    """Add `error` to command outputs: a command that could not be run has a reason and no output.
+
+    A command that ran and returned another code than 0 is data; its `exit_code` stays a column.
+    """
+    reason = F.col(failure)
+    message = F.when(reason.isNotNull(), F.concat(F.lit("Error executing "), F.col(command), F.lit(": "), reason))
+    return df.withColumn("error", message).withColumn("is_error", reason.isNotNull())
+
+
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted rows, rejected rows); only the first go on to be sanitised or counted."""
     return df.filter(~F.col("is_error")).drop("error", "is_error"), df.filter("is_error")

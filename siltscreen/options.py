@@ -8,7 +8,8 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class SanitizeOptions:
     allow_data_uris: bool = False
-    max_base64_decode_length: int = 500
+    #: Longest text, in characters, that a base64 run may stand for to be decoded; None decodes every run.
+    max_base64_decode_length: int | None = None
     custom_patterns: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
@@ -17,6 +18,6 @@ class SanitizeOptions:
             raise ValueError("a custom pattern must not be empty")
 
     @property
-    def max_base64_run(self) -> float:
-        """Longest base64 run, in characters, that is still decoded."""
-        return self.max_base64_decode_length * 1.4
+    def max_base64_run(self) -> float | None:
+        """Longest base64 run, in characters, that is still decoded; None without a limit."""
+        return None if self.max_base64_decode_length is None else self.max_base64_decode_length * 1.4

@@ -19,7 +19,7 @@ from siltscreen.plans import seeds
 from siltscreen.plans.html_path import sanitize_html
 from siltscreen.plans.routed import sanitize_routed
 from siltscreen.plans.text_path import sanitize_text
-from siltscreen.schema import COMMAND_TOOL, COUNTERS, FILE_TOOL, HTML_COUNTERS, PAGE_TOOL
+from siltscreen.schema import COMMAND_TOOL, COUNTERS, FILE_TOOL, HTML_COUNTERS, LOG_KEYS, PAGE_TOOL
 from siltscreen.sources import log as log_source
 from siltscreen.sources import tables
 from siltscreen.sources.scratch import scratch_dir
@@ -33,11 +33,11 @@ WITH_PHRASE = SanitizeOptions(custom_patterns=(seeds.PHRASE,))
 
 def documents(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     df = seeds.table(spark, sf_dir, "documents").select("doc_id", *keep, "text")
-    return seeds.seeded_text(tables.spread(df), "doc_id")
+    return seeds.seeded_text(df, "doc_id")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = tables.spread(seeds.table(spark, sf_dir, "conversations"))
+    df = seeds.table(spark, sf_dir, "conversations")
     return seeds.seeded_text(df.withColumn("_k", F.col("conv_id") * 7 + F.col("turn")), "_k").drop("_k")
 
 
@@ -72,17 +72,22 @@ def d08(spark, sf):
     return encoded.data_uris(documents(spark, sf))
 
 
-def _decodable(df: DataFrame) -> DataFrame:
-    whole = F.when(~F.col("decoded").contains("�"), F.col("decoded"))
-    return df.withColumn("decoded", whole).withColumn("run_no", F.col("run_no").cast("bigint"))
+#: The subject of d9 and d12: runs that stand for more text than this are not decoded.
+LIMITED = SanitizeOptions(max_base64_decode_length=500)
+
+
+def _as_bytes(df: DataFrame, base: int) -> DataFrame:
+    """The decoded bytes in hex: what a lenient reading as text makes of bad ones has no SQL form."""
+    raw = F.when(F.col("decoded").isNotNull(), F.hex(encoded.candidate_bytes(F.col("run"), base)))
+    return df.select("doc_id", F.col("run_no").cast("bigint").alias("run_no"), "run", raw.alias("decoded_hex"), "is_payload")
 
 
 def d09(spark, sf):
-    return _decodable(encoded.base64_candidates(documents(spark, sf)))
+    return _as_bytes(encoded.base64_candidates(documents(spark, sf), options=LIMITED), 64)
 
 
 def d10(spark, sf):
-    return _decodable(encoded.hex_candidates(documents(spark, sf)))
+    return _as_bytes(encoded.hex_candidates(documents(spark, sf)), 16)
 
 
 def d11(spark, sf):
@@ -92,7 +97,7 @@ def d11(spark, sf):
 
 
 def d12(spark, sf):
-    return encoded.base64_payloads(documents(spark, sf))
+    return encoded.base64_payloads(documents(spark, sf), options=LIMITED)
 
 
 def d13(spark, sf):
@@ -282,23 +287,33 @@ def a02(spark, sf):
 
 
 def outputs(spark, sf) -> DataFrame:
-    """Question and answer of a conversation as the two streams of a command."""
-    talk = conversations(spark, sf)
-    out = talk.filter("role = 'assistant'").select(
-        "conv_id", "turn", F.col("text").alias("stdout"), F.concat(F.lit("run "), F.col("conv_id").cast("string")).alias("command")
+    """Every turn as the output of a command: answers on stdout, questions on stderr, some answers with both."""
+    answer = F.col("role") == "assistant"
+    command = F.concat(F.lit("run "), F.col("conv_id").cast("string"))
+    return conversations(spark, sf).select(
+        "conv_id",
+        "turn",
+        command.alias("command"),
+        (F.col("turn") % 3).cast("int").alias("exit_code"),
+        F.when(F.col("turn") % 5 == 4, "timed out").alias("failure"),
+        F.when(answer, F.col("text")).otherwise("").alias("stdout"),
+        F.when(~answer, F.col("text")).when(F.col("turn") % 3 == 0, command).otherwise("").alias("stderr"),
     )
-    return out.withColumn("stderr", F.when(F.col("turn") % 3 == 0, F.col("command")).otherwise(""))
 
 
 def a03(spark, sf):
-    return tables.command_output(outputs(spark, sf)).select("conv_id", "turn", "text")
+    return tables.command_output(outputs(spark, sf)).select("conv_id", "turn", "command", "exit_code", "text")
 
 
 def a07(spark, sf):
-    files = routing.file_rejects(routing.route_files(mixed_files(spark, sf)))
+    """All four kinds: files too large or binary, files that could not be read, pages, commands."""
+    failure = F.when(F.col("id") % 23 == 0, F.lit("permission denied"))
+    files = routing.route_files(mixed_files(spark, sf).withColumn("failure", failure), max_bytes=P.MAX_FILE_BYTES)
+    files = routing.file_rejects(files, max_bytes=P.MAX_FILE_BYTES, failure="failure")
     bad_files = routing.split_rejects(files)[1].select(F.col("path").alias("source"), "error")
-    bad_pages = routing.split_rejects(routing.page_rejects(fetched(spark, sf)))[1]
-    return bad_files.unionByName(bad_pages.select(F.col("url").alias("source"), "error"))
+    bad_pages = routing.split_rejects(routing.page_rejects(fetched(spark, sf)))[1].select(F.col("url").alias("source"), "error")
+    bad_runs = routing.split_rejects(routing.command_rejects(outputs(spark, sf)))[1].select(F.col("command").alias("source"), "error")
+    return bad_files.unionByName(bad_pages).unionByName(bad_runs)
 
 
 def b01(spark, sf):
@@ -307,21 +322,22 @@ def b01(spark, sf):
 
 
 def b02(spark, sf):
-    return mixed_files(spark, sf).filter(routing.too_large(F.col("length"))).select("path", "length")
+    return mixed_files(spark, sf).filter(routing.too_large(F.col("length"), P.MAX_FILE_BYTES)).select("path", "length")
 
 
 def b03(spark, sf):
-    return mixed_files(spark, sf).select("path", routing.is_binary(F.col("text")).alias("is_binary"))
+    return mixed_files(spark, sf).select("path", routing.is_binary(F.col("text"), P.BINARY_SAMPLE_CHARS).alias("is_binary"))
 
 
 def b04(spark, sf):
-    return routing.route_files(mixed_files(spark, sf)).select("path", "route")
+    return routing.route_files(mixed_files(spark, sf), max_bytes=P.MAX_FILE_BYTES).select("path", "route")
 
 
 def b04_run(spark, sf):
-    """Both branches sanitised on their own path and put together."""
-    routed = routing.route_files(mixed_files(spark, sf))
-    return flat(sanitize_routed(routed, key=["path"], options=WITH_PHRASE), "path")
+    """Routed once and written by route; each branch reads its own part and goes its own path."""
+    folder = scratch_dir(spark, "routed")
+    routing.route_files(mixed_files(spark, sf), max_bytes=P.MAX_FILE_BYTES).write.partitionBy("route").parquet(folder)
+    return flat(sanitize_routed(tables.read_pages(spark, folder), options=WITH_PHRASE), "path")
 
 
 # --- reports -------------------------------------------------------------------------
@@ -369,21 +385,21 @@ def e05(spark, sf):
 
 
 def e05_sources(spark, sf):
-    bucket = F.floor(F.col("turn") / 4)
-    return reports.session_sources(session_rows(spark, sf), "conv_id", "turn", bucket)
+    rows = session_rows(spark, sf)
+    bucket = reports.order_buckets(seeds.table(spark, sf, "conversations"), "turn")
+    return reports.session_sources(rows, "conv_id", "turn", bucket)
 
 
 def log_rows(spark, sf) -> DataFrame:
-    """Log entries of the sanitised documents; times and durations come from `events`."""
-    clock = seeds.table(spark, sf, "events").select("event_id", "ts", "value")
-    rows = cleaned(spark, sf).join(clock, F.col("doc_id") == F.col("event_id"))
+    """Log entries of all sanitised documents; times and durations follow from the id."""
+    rows = cleaned(spark, sf)
     tool = F.when(F.col("doc_id") % 3 == 0, PAGE_TOOL).when(F.col("doc_id") % 3 == 1, FILE_TOOL).otherwise(COMMAND_TOOL)
     return reports.log_entries(
         rows,
         tool,
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")),
-        F.date_trunc("millisecond", F.col("ts").cast("timestamp")),
-        F.floor("value"),
+        F.timestamp_millis(F.lit(1704067200000) + F.col("doc_id") * 61007),
+        F.col("doc_id") * 7919 % 997,
         F.when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("read "), F.col("source"))),
     )
 
@@ -400,7 +416,7 @@ def _log_columns(log: DataFrame) -> DataFrame:
         "tool",
         "source",
         "description",
-        *[F.col("stripped")[k].alias(k) for k in ("zeroWidthChars", "llmDelimiters", "customPatterns")],
+        *[F.col("stripped")[k].alias(k) for k in LOG_KEYS.values()],
         F.col("inputSize").alias("input_size"),
         F.col("outputSize").alias("output_size"),
         F.col("reductionPercent").alias("reduction_percent"),
@@ -412,8 +428,8 @@ def a04(spark, sf):
     """Append twice: the second write adds to the first."""
     path = scratch_dir(spark, "log")
     entries = log_rows(spark, sf)
-    log_source.log_write(entries.filter("tool <> 'safe_exec'"), path)
-    log_source.log_write(entries.filter("tool = 'safe_exec'"), path)
+    log_source.log_write(entries.filter(F.col("tool") != COMMAND_TOOL), path)
+    log_source.log_write(entries.filter(F.col("tool") == COMMAND_TOOL), path)
     log = log_source.log_rows(log_source.log_scan(spark, path))
     return log.groupBy("tool").agg(F.count("*").alias("n"), F.sum("outputSize").alias("total_output"))
 
@@ -422,20 +438,31 @@ def a05(spark, sf):
     return _log_columns(log_source.log_rows(_written_log(spark, sf)))
 
 
+def a05_rejects(spark, sf):
+    """Rejected lines of a log with a line a document, a third of them with a bad number, a third cut off."""
+    number = F.col("doc_id").cast("string")
+    size = F.when(F.col("doc_id") % 3 == 1, F.lit('"bad"')).otherwise(number)
+    line = F.concat(F.lit('{"tool":"' + FILE_TOOL + '","source":"doc/'), number, F.lit('","inputSize":'), size, F.lit(',"outputSize":1,"durationMs":2}'))
+    line = F.when(F.col("doc_id") % 3 == 2, F.substr(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+    path = scratch_dir(spark, "log")
+    seeds.table(spark, sf, "documents").select(line.alias("value")).write.text(path)
+    return log_source.log_rejects(log_source.log_scan(spark, path)).withColumnRenamed("_corrupt_record", "line")
+
+
 def a06(spark, sf):
     return _log_columns(log_rows(spark, sf))
 
 
 def e06(spark, sf):
-    return reports.log_summary(log_source.log_rows(_written_log(spark, sf)))
+    return reports.log_summary(log_rows(spark, sf))
 
 
 def e07(spark, sf):
-    return reports.stripped_by_key(log_source.log_rows(_written_log(spark, sf)))
+    return reports.stripped_by_key(log_rows(spark, sf))
 
 
 def e08(spark, sf):
-    return reports.recent(log_source.log_rows(_written_log(spark, sf)))
+    return reports.recent(log_rows(spark, sf))
 
 
 def e09(spark, sf):
@@ -444,7 +471,7 @@ def e09(spark, sf):
 
 def e09_pages(spark, sf):
     done = sanitize_html(pages(spark, sf)).select("page_id", "content")
-    return lines.numbered(lines.line_table(done, offset=2, limit=5)).select("page_id", "line_no", "shown")
+    return lines.numbered(lines.line_table(done, offset=2, limit=5, max_line=2000)).select("page_id", "line_no", "shown")
 
 
 # --- streams ---------------------------------------------------------------------------
@@ -453,15 +480,12 @@ def e09_pages(spark, sf):
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A file stream over one table, whether the table is a folder or a single file."""
     schema = seeds.table(spark, sf_dir, name).schema
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    reader = spark.readStream.schema(schema)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
-        return reader.parquet(f"{sf_dir}/{name}.parquet")
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # A pattern, for a plain path must be a folder.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def h01(spark, sf):
-    source = tables.spread_stream(stream_table(spark, sf, "documents").select("doc_id", "text"))
+    source = stream_table(spark, sf, "documents").select("doc_id", "text")
     done = jobs.stream_sanitize(seeds.seeded_text(source, "doc_id"), options=WITH_PHRASE)
     out = scratch_dir(spark, "stream")
     jobs.write_stream(done, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
@@ -472,7 +496,6 @@ def h02(spark, sf):
     source = stream_table(spark, sf, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("tool"), F.col("props").alias("text")
     )
-    source = tables.spread_stream(source)
     totals = jobs.stream_totals(
         jobs.stream_sanitize(seeds.seeded_text(source, "event_id"), options=WITH_PHRASE), "ts", "tool"
     )
@@ -499,6 +522,7 @@ QUERIES = {
     "a3_command_output": a03,
     "a4_log_write": a04,
     "a5_log_scan": a05,
+    "a5_log_rejects": a05_rejects,
     "a6_log_entry": a06,
     "a7_rejects": a07,
     "b1_looks_like_html": b01,

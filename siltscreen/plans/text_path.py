@@ -23,6 +23,23 @@ def text_steps(df: DataFrame, text: str, options: SanitizeOptions) -> DataFrame:
     return sanitize_delimiters(df, text, options.custom_patterns)
 
 
+RESULTS = ["content", "stats", "input_size", "output_size"]
+
+
+def set_aside(df: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """The other columns under reserved names, so that no step meets a name of its own; and their names."""
+    others = [c for c in df.columns if c not in used]
+    if clash := {c.lower() for c in others} & set(RESULTS):
+        raise ValueError(f"rename the input columns {sorted(clash)}: results have these names")
+    names = {f"_other{i}": c for i, c in enumerate(others)}
+    quoted = [F.col("`" + c.replace("`", "``") + "`").alias(n) for n, c in names.items()]
+    return df.select(*quoted, *[u for u in used if u in df.columns]), names
+
+
+def brought_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(n).alias(c) for n, c in names.items()], *[c for c in df.columns if c not in names])
+
+
 def with_stats(df: DataFrame, content: str = "content") -> DataFrame:
     """Fold the counter columns into one `stats` struct and add the output size.
 
@@ -43,9 +60,10 @@ def sanitize_text(
     df: DataFrame, text: str = "text", options: SanitizeOptions = DEFAULTS
 ) -> DataFrame:
     """Replace `text` by `content, stats, input_size, output_size`; NULL text stays NULL."""
+    df, names = set_aside(df, text)
     df = df.withColumnRenamed(text, "content").withColumn(
         "input_size", F.octet_length("content").cast("bigint")
     )
     df = text_steps(df, "content", options)
     zero = F.when(F.col("content").isNotNull(), F.lit(0).cast("bigint"))
-    return with_stats(df.withColumns({c: zero for c in HTML_COUNTERS}))
+    return brought_back(with_stats(df.withColumns({c: zero for c in HTML_COUNTERS})), names)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +17,28 @@ def log_write(entries: DataFrame, path: str) -> None:
 def log_scan(spark: SparkSession, path: str) -> DataFrame:
     """Read lines back; older lines may carry `url` for `source` and no `tool`.
 
-    Unreadable lines do not stop the job: they keep their text in `_corrupt_record`.
+    Unreadable lines do not stop the job: they keep their text in `_corrupt_record`.  Every line is
+    parsed whole, whatever columns are asked for, so all reports reject the same lines.  A path that is
+    not there is a log without lines.
     """
-    lines = spark.read.schema(LOG_SCHEMA).option("mode", "PERMISSIVE").json(path)
+    try:
+        text = spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return _named(spark.createDataFrame([], LOG_SCHEMA))
+    return parse_lines(text)
+
+
+def parse_lines(text: DataFrame, line: str = "value") -> DataFrame:
+    """Log rows from a column of lines."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = F.from_json(F.col(line), LOG_SCHEMA, options)
+    # Out of a one-element `inline`, so that asking for fewer columns does not parse fewer.
+    return _named(text.filter(F.trim(F.col(line)) != "").select(F.inline(F.array(parsed))))
+
+
+def _named(lines: DataFrame) -> DataFrame:
     return lines.withColumns(
         {
             "source": F.coalesce("source", "url", F.lit("?")),

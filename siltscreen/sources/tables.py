@@ -5,16 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltscreen.functions import patterns as P
 from siltscreen.operators.html_tokens import ROW_KEY
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a scan that has fewer splits than cores (a file of one row group)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def with_row_key(scan: DataFrame) -> DataFrame:
     """Add `_row_key`, a hash of each row's file and place in it, to a parquet scan or stream.
 
@@ -29,27 +22,24 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return with_row_key(spark.read.parquet(path))
 
 
-def spread_stream(df: DataFrame) -> DataFrame:
-    """The same for a stream whose micro-batches arrive as a few large files."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def pages_scan(df: DataFrame) -> DataFrame:
     """Fetched pages that succeeded; the filter reaches the scan."""
     return df.filter(F.col("status").between(200, 299))
 
 
-def read_files(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """`path, length, content, too_large`; files above the size limit are listed, never read.
+def read_files(spark: SparkSession, path: str, max_bytes: int | None = None, **options: str) -> DataFrame:
+    """`path, length, text` of all files.
 
-    The two filters on `length` are pushed into the scan: the listing of oversized files does
-    not select `content`, so their bytes are not touched.
+    With `max_bytes`, larger files are listed with a NULL text, never read: the two filters on `length`
+    are pushed into the scan, and the listing of oversized files does not select `content`.
     """
     files = spark.read.format("binaryFile").options(**options).load(path)
-    small = files.filter(F.col("length") <= P.MAX_FILE_BYTES).select(
+    if max_bytes is None:
+        return files.select("path", "length", utf8(F.col("content")).alias("text"))
+    small = files.filter(F.col("length") <= max_bytes).select(
         "path", "length", utf8(F.col("content")).alias("text")
     )
-    large = files.filter(F.col("length") > P.MAX_FILE_BYTES).select(
+    large = files.filter(F.col("length") > max_bytes).select(
         "path", "length", F.lit(None).cast("string").alias("text")
     )
     return small.unionByName(large)

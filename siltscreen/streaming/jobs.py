@@ -12,6 +12,8 @@ from siltscreen.plans.text_path import sanitize_text
 from siltscreen.schema import COUNTERS
 
 DEFAULTS = SanitizeOptions()
+#: Work through what is there and stop; a job that goes on passes e.g. {"processingTime": "1 minute"}.
+ONCE = {"availableNow": True}
 
 
 def stream_sanitize(
@@ -22,7 +24,11 @@ def stream_sanitize(
 
 
 def stream_totals(sanitized: DataFrame, ts: str, *keys: str, lateness: str = "1 hour") -> DataFrame:
-    """Counter sums per key and hour; state is bounded by the watermark, late rows are dropped."""
+    """Counter sums per key and hour; state is bounded by the watermark, late rows are dropped.
+
+    What is late depends on the order in which files arrive: with several micro-batches, rows more than
+    `lateness` behind the latest time of earlier batches do not count.
+    """
     return (
         sanitized.withWatermark(ts, lateness)
         .groupBy(F.window(ts, "1 hour").alias("hour"), *keys)
@@ -37,6 +43,7 @@ def stream_html(
     html: str = "html",
     key: list[str] | None = None,
     options: SanitizeOptions = DEFAULTS,
+    trigger: dict = ONCE,
 ) -> StreamingQuery:
     """The HTML path per micro-batch.
 
@@ -51,23 +58,23 @@ def stream_html(
     return (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
-def write_stream(df: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def write_stream(df: DataFrame, target: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
     return (
         df.writeStream.format("parquet")
         .outputMode("append")
         .option("path", target)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
-def write_updates(df: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def write_updates(df: DataFrame, target: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
     """Changed groups of every micro-batch, one folder per batch (safe to replay)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -77,7 +84,7 @@ def write_updates(df: DataFrame, target: str, checkpoint: str) -> StreamingQuery
         df.writeStream.foreachBatch(write)
         .outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 

@@ -61,6 +61,36 @@ def test_session_sources_rank_across_buckets(spark):
         assert got == {k: list(enumerate(v, 1)) for k, v in want.items()}
 
 
+def test_session_sources_keep_every_row(spark):
+    rows = [(None, "safe_read", 1, "a"), ("s", "other_tool", 2, "b"), ("s", None, 3, "c"), ("s", "safe_exec", None, "d")]
+    df = spark.createDataFrame(rows, "session string, tool string, ts int, source string")
+    got = {(r.session, r.kind, r.position, r.source) for r in reports.session_sources(df, "session", "ts", reports.order_buckets(df, "ts")).collect()}
+    assert got == {(None, "files", 1, "a"), ("s", "other", 1, "b"), ("s", "other", 2, "c"), ("s", "commands", 1, "d")}
+
+
+def test_a_hot_session_is_spread_over_its_buckets(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 999)).alias("session"), "id")
+    loads = df.groupBy("session", reports.order_buckets(df, "id").alias("bucket")).count().collect()
+    assert max(r["count"] for r in loads) <= 2 * 10_000 / 64
+    assert len({r.bucket for r in loads}) >= 60
+
+
+def test_all_reports_reject_the_same_lines(spark, tmp_path):
+    good = '{"tool":"safe_read","source":"g","stripped":{"zeroWidthChars":2},"inputSize":4,"outputSize":2,"durationMs":1}'
+    (tmp_path / "log.json").write_text("\n".join([good, good.replace(":4", ':"bad"'), "[", "", good[:-1]]) + "\n")
+    log = log_source.log_scan(spark, str(tmp_path / "log.json"))
+    assert log_source.log_rejects(log).count() == 3
+    rows = log_source.log_rows(log)
+    assert rows.count() == reports.log_summary(rows).first().requests == reports.recent(rows).count() == 1
+    assert [(r.key, r.total) for r in reports.stripped_by_key(rows).collect()] == [("zeroWidthChars", 2)]
+
+
+def test_no_log_is_an_empty_log(spark, tmp_path):
+    log = log_source.log_scan(spark, str(tmp_path / "none"))
+    assert log_source.log_rows(log).count() == log_source.log_rejects(log).count() == 0
+    assert reports.log_summary(log_source.log_rows(log)).first().requests == 0
+
+
 def test_log_round_trip(spark, tmp_path):
     path = str(tmp_path / "log")
     done = sanitize_text(spark.createDataFrame([(1, "a​b"), (2, "[INST]x")], "id int, text string"))
@@ -74,7 +104,7 @@ def test_log_round_trip(spark, tmp_path):
         '"inputSize":10,"outputSize":5,"durationMs":4}\nnot json\n'
     )
     assert "description" not in spark.read.text(path).filter("value LIKE '%f1%'").first().value
-    log = log_source.log_scan(spark, path).cache()
+    log = log_source.log_scan(spark, path)
     assert [r[0] for r in log_source.log_rejects(log).collect()] == ["not json"]
     rows = log_source.log_rows(log)
     assert rows.count() == 5

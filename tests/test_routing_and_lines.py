@@ -41,14 +41,31 @@ def test_route_order_and_rejects(spark):
         ("c.html", 52428800, "x"),
         ("d.txt", 5, "x" * 8192 + "\0"),
     ]
-    df = routing.file_rejects(routing.route_files(spark.createDataFrame(rows, "path string, length bigint, text string")))
+    limit = 52428800
+    df = spark.createDataFrame(rows, "path string, length bigint, text string")
+    df = routing.file_rejects(routing.route_files(df, max_bytes=limit), max_bytes=limit)
     got = {r.path: (r.route, r.error) for r in df.collect()}
     assert got["a.html"] == ("too_large", "File too large (50MB, max 50MB): a.html")
     assert got["b.html"] == ("binary", "Skipped binary file: b.html")
     assert got["c.html"] == ("html", None)
-    assert got["d.txt"] == ("text", None)
+    # A NUL counts wherever it stands, unless only a prefix is asked about.
+    assert got["d.txt"] == ("binary", "Skipped binary file: d.txt")
     good, bad = routing.split_rejects(df)
-    assert (good.count(), bad.count()) == (2, 2)
+    assert (good.count(), bad.count()) == (1, 3)
+    prefix = spark.createDataFrame(rows, "path string, length bigint, text string").select("path", routing.is_binary(F.col("text"), 8192).alias("b"))
+    assert {r.path for r in prefix.collect() if r.b} == {"a.html", "b.html"}
+    # Without a limit no file is too large.
+    free = routing.route_files(spark.createDataFrame(rows, "path string, length bigint, text string"))
+    assert free.filter("route = 'too_large'").count() == 0
+
+
+def test_read_and_run_failures(spark):
+    files = spark.createDataFrame([("a", 1, "x", None), ("b", 1, None, "gone")], "path string, length bigint, text string, why string")
+    got = routing.file_rejects(routing.route_files(files), failure="why").collect()
+    assert [r.error for r in got] == [None, "Error reading b: gone"]
+    runs = spark.createDataFrame([("ls", 0, None), ("make", 2, None), ("nap", None, "timed out")], "command string, exit_code int, failure string")
+    got = routing.command_rejects(runs).collect()
+    assert [(r.exit_code, r.error) for r in got] == [(0, None), (2, None), (None, "Error executing nap: timed out")]
 
 
 def test_page_rejects(spark):
@@ -67,7 +84,7 @@ def test_files_scan(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"Hel\x00o")
     with open(tmp_path / "c.txt", "wb") as f:
         f.truncate(52428801)  # sparse
-    rows = {os.path.basename(r.path): r for r in routing.route_files(tables.read_files(spark, str(tmp_path))).collect()}
+    rows = {os.path.basename(r.path): r for r in routing.route_files(tables.read_files(spark, str(tmp_path), max_bytes=52428800), max_bytes=52428800).collect()}
     assert rows["a.txt"].text == "﻿ok � end" and rows["a.txt"].route == "text"
     assert rows["b.bin"].route == "binary"
     assert rows["c.txt"].route == "too_large" and rows["c.txt"].text is None
@@ -75,7 +92,7 @@ def test_files_scan(spark, tmp_path):
 
 def test_oversized_files_are_not_read(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x")
-    plan = tables.read_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    plan = tables.read_files(spark, str(tmp_path), max_bytes=52428800)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,52428800)" in plan and "GreaterThan(length,52428800)" in plan
 
 
@@ -95,7 +112,8 @@ def test_line_table(spark):
     everything = shown()
     assert everything["a"] == [f"     {i + 1}\t{c}" for i, c in enumerate(["a", "b", "c", "d", "e", ""])]
     assert everything["b"] == ["     1\t"]
-    assert everything["c"][0] == "     1\t" + "x" * 2000 + "..." and everything["c"][1] == "     2\t" + "y" * 2000
+    assert everything["c"] == ["     1\t" + "x" * 2500, "     2\t" + "y" * 2000]
+    assert shown(max_line=2000)["c"] == ["     1\t" + "x" * 2000 + "...", "     2\t" + "y" * 2000]
     assert shown(offset=3)["a"][0] == "     3\tc"
     assert len(shown(limit=2)["a"]) == 2
     assert shown(offset=2, limit=2)["a"] == ["     2\tb", "     3\tc"]
