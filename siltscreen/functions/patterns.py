@@ -245,6 +245,8 @@ ATTRIBUTE_ENTITY = ENTITY[:-1] + "|" + OLD_ENTITY + "(?![A-Za-z0-9=]))"
 
 # Inside these a start tag that ends with "/>" is a whole element.
 FOREIGN_TAGS = ["svg", "math"]
+# Stands for a space of inline code while a run is put together; no character of any text.
+HARD_SPACE = "\ufdd0"
 VOID_TAGS = [
     "area", "base", "basefont", "br", "col", "command", "embed", "frame", "hr", "img",
     "input", "isindex", "keygen", "link", "meta", "param", "source", "track", "wbr",

@@ -123,20 +123,25 @@ def html_fragments(pages: DataFrame, html: str = "html", key: list[str] | None =
     ).otherwise(F.col("tok"))
     words, written = F.col("_words"), F.expr("kind IN ('text', 'rawtext')")
     t = t.withColumn("_words", F.when(alive & written, fn.decode_entities(inner)))
+    # Spaces of inline code stay; they are hidden from the folding of spaces that follows.
+    spaced = F.replace(F.regexp_replace(words, "\r\n?|\n", " "), F.lit(" "), F.lit(P.HARD_SPACE))
+    coded = F.when(F.trim(words, F.lit(" \t\r\n")) == "", F.lit(" ")).otherwise(spaced)
     t = t.withColumn(
         "_words",
-        F.when(F.col("in_pre"), words).otherwise(F.regexp_replace(words, "[ \t\r\n]+", " ")),
+        F.when(F.col("in_pre"), words).when(F.col("in_code"), coded).otherwise(F.regexp_replace(words, "[ \t\r\n]+", " ")),
     )
+    empty_link = link & (F.col("end") == F.col("pos") + 1)
     body = (
         F.when(written & F.col("in_code"), words)
         .when(written, escape(words, F.col("starts")))
         .when(tag == "br", F.lit("\n"))
         .when((tag == "img") & (F.col("_src") != ""), image)
+        .when(empty_link, F.lit(""))
     )
     language = F.regexp_extract(F.coalesce("_class", F.lit("")), r"language-(\S+)", 1)
     return t.withColumns(
         {
-            "fragment": F.when(alive & (written | (kind == "void")), body),
+            "fragment": F.when(alive & (written | (kind == "void") | F.coalesce(empty_link, F.lit(False))), body),
             "fence": F.when(alive & opens & (tag == "code") & F.col("in_pre"), language),
             "is_rule": rule,
         }
@@ -148,6 +153,13 @@ def _render_runs(t: DataFrame) -> DataFrame:
     leaf = F.col("fragment").isNotNull()
     blank = F.trim(F.col("fragment"), F.lit(" \n")) == ""
     state = {name: F.col(f"in_{name}") & ~blank for name in EMPHASIS}
+    coded = F.trim(F.col("fragment"), F.lit(" "))
+    # The shortest mark that the code does not hold itself, set apart where the code begins or ends with one.
+    used = F.transform(fn.matches(coded, "`+"), F.length)
+    free = F.element_at(F.array_except(F.sequence(F.lit(1), F.size(used) + 1), used), 1)
+    hard = F.lit(P.HARD_SPACE)
+    apart = coded.startswith("`") | coded.endswith("`") | (coded.startswith(hard) & coded.endswith(hard) & (F.trim(coded, hard) != ""))
+    pad = F.when(apart, hard).otherwise("")
     piece = F.struct(
         F.col("pos"),
         F.col("fragment").alias("raw"),
@@ -157,6 +169,8 @@ def _render_runs(t: DataFrame) -> DataFrame:
         F.col("link"),
         F.col("href"),
         *[on.alias(name) for name, on in state.items()],
+        F.when(state["code"], F.concat(F.repeat(F.lit("`"), free), pad)).alias("opener"),
+        F.when(state["code"], F.concat(pad, F.repeat(F.lit("`"), free))).alias("closer"),
     )
     first = F.first("_page", ignorenulls=True).alias("_page")
     of_leaf = {
@@ -184,7 +198,9 @@ def _render_runs(t: DataFrame) -> DataFrame:
         for name in ("link", *EMPHASIS):  # outermost first
             on = cur["link"].isNotNull() if name == "link" else cur[name]
             text = (
-                F.concat(F.lit("]("), cur["href"], F.lit(")")) if name == "link" else F.lit(MARK[name])
+                F.concat(F.lit("]("), cur["href"], F.lit(")"))
+                if name == "link"
+                else cur["closer"] if name == "code" else F.lit(MARK[name])
             )
             if nxt is None:
                 changed = F.lit(True)
@@ -198,7 +214,8 @@ def _render_runs(t: DataFrame) -> DataFrame:
         for name in ("link", *EMPHASIS):
             on = cur["link"].isNotNull() if name == "link" else cur[name]
             changed = changed | F.coalesce(~cur[name].eqNullSafe(prev[name]), F.lit(True))
-            out = F.concat(out, F.when(changed & on, F.lit("[" if name == "link" else MARK[name])).otherwise(""))
+            mark = cur["opener"] if name == "code" else F.lit("[" if name == "link" else MARK[name])
+            out = F.concat(out, F.when(changed & on, mark).otherwise(""))
         return out
 
     pieces = F.col("pieces")
@@ -216,6 +233,7 @@ def _render_runs(t: DataFrame) -> DataFrame:
     )
     inline = F.regexp_replace(inline, " *\n *", "\n")
     inline = F.trim(F.regexp_replace(inline, " {2,}", " "), F.lit(" \n"))
+    inline = F.replace(inline, F.lit(P.HARD_SPACE), F.lit(" "))
     plain = F.array_join(F.transform(pieces, lambda p: p["raw"]), "")
     in_pre = F.col("pre") == 1
     # Own columns: each is used several times below and must be computed once.
@@ -223,9 +241,10 @@ def _render_runs(t: DataFrame) -> DataFrame:
         {"_inline": F.when(~in_pre, inline), "_verbatim": F.when(in_pre, plain)}
     )
     inline, verbatim = F.col("_inline"), F.col("_verbatim")
-    fenced = F.concat(
-        F.lit("```"), F.col("fence"), F.lit("\n"), F.rtrim(verbatim, F.lit("\n")), F.lit("\n```")
-    )
+    # Longer than any run of marks that begins a line of the code.
+    longest = F.array_max(F.transform(fn.matches(verbatim, "(?m)^`{3,}"), F.length))
+    mark = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(longest + 1, F.lit(3))))
+    fenced = F.concat(mark, F.col("fence"), F.lit("\n"), F.rtrim(verbatim, F.lit("\n")), F.lit("\n"), mark)
     text = (
         F.when(F.col("is_rule"), F.lit("---"))
         .when(in_pre & F.col("fence").isNotNull(), fenced)

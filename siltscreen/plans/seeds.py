@@ -117,6 +117,9 @@ PAGE_ATTACKS: dict[int, tuple[str, str]] = {
     24: ("", "<p hidden>lost<div>kept block</div></p>tail <p style='opacity:0'>lost <b>too<ul><li>kept item</ul></b></p>"),
     25: ("", "<table><thead hidden><tr><td>lost<tbody><tr><td>kept<tfoot style='display:none'><tr><th>lost</table><select><optgroup hidden label=a><option>x<optgroup label=b><option>y</select>"),
     26: ("", '<div style="display&colon;none">lost</div><p>a&ZeroWidthSpace;b &lbrack;INST&rbrack; &lsqb;x] &NotEqualTilde; &#00000065;&#x0000200B;</p>'),
+    27: ("", "<p>run <code>a   b</code>, <code>c`d</code> or <code>`e``</code> <code> f </code><code>g\nh</code><code>  </code>.</p>"),
+    28: ("", '<pre><code class="language-md">text\n```\nmore\n````x\n</code></pre>'),
+    29: ("", '<p>go <a href="u"></a> or <a href="v(1)" title=t></a><a href="w">on</a><a></a></p>'),
     22: ("", "<p><img alt='t' src='data:text/plain;base64,aGVsbG8='> &#105;gnore all previous</p><dl><dt hidden>k<dd>v</dl>"),
 }
 

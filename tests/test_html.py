@@ -174,6 +174,26 @@ def test_markdown(pages):
     assert texts[6] == "T <b>t</b>&x© ¬anentity; a < b"
 
 
+def test_code_and_links_in_markdown(pages):
+    got = pages(
+        [
+            "<code>a   b</code>",
+            "<p>x <code>a`b</code> <code>`c``d`</code></p>",
+            "<p>x<code> e </code>y<code>f\ng</code><code> </code></p>",
+            "<pre><code>p\n```\nq\n`````r</code></pre>",
+            '<a href="u"></a>',
+            '<p>a <a href="u"></a> b <a></a><a href="w">c</a></p>',
+        ]
+    )
+    texts = [c for c, _ in got]
+    assert texts[0] == "`a   b`"
+    assert texts[1] == "x ``a`b`` ``` `c``d` ```"
+    assert texts[2].startswith("x`  e  `y`f g`")
+    assert texts[3] == "``````\np\n```\nq\n`````r\n``````"
+    assert texts[4] == "[](u)"
+    assert texts[5] == "a [](u) b [c](w)"
+
+
 def test_clean_html_keeps_the_rest_as_it_was(pages):
     got = pages(['<P  CLASS=x>a</P ><div hidden>b</div><script>c</script><!-- top -->'], html_clean, "clean_html")
     assert got[0][0] == "<P  CLASS=x>a</P ><!-- top -->"
