@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltscreen.llm.common import STEP_BYTES, col, gather, lists, steps, stored, strings, with_text_columns, without
+from siltscreen.llm.common import STEP_BYTES, col, gather, lists, steps, stored, strings, tidy, with_text_columns, without
 from siltscreen.llm.lexicon import Lexicon, compiled
 from siltscreen.llm.words import run_hashes
 
@@ -468,5 +468,5 @@ def _with_list_columns(df: DataFrame, ids: str, make, made: T.StructType) -> Dat
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([*part.columns, *make(part.column(at))], names + results)
 
-    out = df.select(*[col(c).alias(n) for n, c in zip(names, keep, strict=True)]).mapInArrow(run, schema)
+    out = df.select(*[col(c).alias(n) for n, c in zip(names, keep, strict=True)]).mapInArrow(tidy(run), schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *[F.col(r).alias(f.name) for r, f in zip(results, made, strict=True)])

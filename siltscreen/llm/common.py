@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,7 +39,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
+        if folder is None and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siltscreen-"))
     return context.getCheckpointDir()
@@ -54,13 +56,46 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Rows of a narrow table (keys and a few numbers, under 100 bytes a row) that may be broadcast.
+#: Bytes of one Arrow batch between Spark and a Python worker, where the session sets no bound of its own.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: ten thousand rows, Spark's other bound, may be gigabytes of text."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(2**31 - 1))) >= 2**31 - 1:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, and at a task's end give freed memory back: the worker process waits idle for later stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
+#: Rows of a narrow table, and bytes of text and binary in it, that may be broadcast.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
+
+
+def is_small(table: DataFrame) -> bool:
+    """Whether a stored table of numbers and short texts may be broadcast, by counts of all of it."""
+    sized = [F.coalesce(F.octet_length(col(c)), F.lit(0)) for c, kind in table.dtypes if kind in ("string", "binary")]
+    row = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(sum(sized, F.lit(0)).cast("bigint")), F.lit(0)).alias("b")).first()
+    return row.n <= BROADCAST_ROWS and row.b <= BROADCAST_BYTES
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Join with a stored narrow table: broadcast if its counted rows are few, else by a shuffle of both."""
-    few = small.count() <= BROADCAST_ROWS
+def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join with a stored narrow table: broadcast if it is small as counted, else by a shuffle of both."""
+    few = is_small(small)
     return big.join(F.broadcast(small) if few else small.hint("merge"), on, how)
 
 
@@ -134,7 +169,8 @@ def with_text_columns(
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([*part.columns[n:], *make(*part.columns[:n])], names)
 
-    out = packed.mapInArrow(run, T.StructType(fields + results))
+    bounded_batches(df.sparkSession)
+    out = packed.mapInArrow(tidy(run), T.StructType(fields + results))
     return out.select(
         *[F.col(f.name).alias(c) for f, c in zip(fields, keep, strict=True)],
         *[F.col(r.name).alias(f.name) for r, f in zip(results, made, strict=True)],

@@ -25,7 +25,7 @@ WINDOW = 10
 #: Bytes of benchmark text in one block: the bound of what is broadcast at a time.
 BLOCK_BYTES = 16 << 20
 #: Text of a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Words that start an indexed suffix, at most; fewer where an item is shorter.
 LEAD = 3
 

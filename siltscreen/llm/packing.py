@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from siltscreen.llm.bpe import Encoder, encode_texts
-from siltscreen.llm.common import col, gather, steps, utf8
+from siltscreen.llm.common import bounded_batches, col, gather, steps, tidy, utf8
 
 LENGTH = 2048
 #: Tokens that are packed together: the bound of a task's memory beside its longest text.
@@ -147,7 +147,8 @@ def pack(docs: DataFrame, encoder: Encoder, text: str = "text", doc: str = "doc_
                     yield from flush()
         yield from flush()
 
-    return docs.select(col(doc).alias("_doc"), col(text).alias("_text")).mapInArrow(run, schema)
+    bounded_batches(docs.sparkSession)
+    return docs.select(col(doc).alias("_doc"), col(text).alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

@@ -55,7 +55,6 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.size(items).cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
-        F.array_max(F.transform("matches", lambda m: m["n_words"])).alias("longest_match"),
     )
 
 
@@ -206,3 +205,60 @@ hit AS (
 SELECT page_id, url, fetched_at, coalesce(n, 0) AS n_entries, coalesce(lists, '') AS lists, since AS listed_since, n IS NOT NULL AS blocked
 FROM parts LEFT JOIN hit USING (page_id)
 """
+
+
+# SQL for the operators that it can express: words, shingles and cosines; groups by recursion.
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+#: From `node(id)` and `link(x, y)` in both directions: the smallest id that each node reaches.
+_REACHED = """
+reach(root, node) AS (SELECT id, id FROM node UNION SELECT root, y FROM reach JOIN link ON node = x),
+low AS (SELECT root AS id, min(node) AS low FROM reach GROUP BY root),
+degree AS (SELECT x AS id, count(*) AS n FROM link GROUP BY x)
+"""
+
+ORACLE["op5_benchmark_decontamination"] = f"""
+WITH doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+item AS (SELECT item_id::VARCHAR AS item_id, {_WORDS} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS s
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM item WHERE len(w) > 0)),
+place AS (
+  SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM doc, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, k, n, item_id FROM place JOIN win USING (n, s)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLE["op4_jaccard_join"] = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM shared JOIN size a ON a.doc_id = x JOIN size b ON b.doc_id = y WHERE 10 * c >= 8 * (a.n + b.n - c)),
+node AS (SELECT doc_id AS id FROM documents), {_REACHED}
+SELECT id AS doc_id, coalesce(n, 0) AS n_links, low AS group_id, id = low AS kept FROM low LEFT JOIN degree USING (id)
+"""
+
+ORACLE["op2_embedding_near_dedup"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (
+  SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+node AS (SELECT vec_id AS id FROM embeddings), {_REACHED}
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, low AS component_id, id = low AS kept FROM low LEFT JOIN degree USING (id)
+"""

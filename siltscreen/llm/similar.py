@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltscreen.llm.common import stored
+from siltscreen.llm.common import bounded_batches, stored, tidy
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -70,7 +70,8 @@ def over_groups(df: DataFrame, keys: list[str], make: Callable[[pa.Table], pa.Re
                 ready, rows = [], 0
         yield from ready
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    bounded_batches(df.sparkSession)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), schema)
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltscreen.llm.common import BROADCAST_ROWS, col, stored, without
+from siltscreen.llm.common import col, is_small, stored, without
 
 #: Copies of the intervals, and parts of the captures of a key, where the intervals are too many to broadcast.
 SALTS = 32
@@ -101,14 +101,13 @@ def listed_captures(captures: DataFrame, entries: DataFrame, url: str = "url", f
     rows = captures.select(*[col(c).alias(n) for c, n in names.items()]).withColumns({"_url": place[url.lower()], "_at": place[fetched.lower()].cast("timestamp")})
     spans = stored(intervals(entries.withColumn("dated", F.col("dated").cast("timestamp"))))
     size = spans.agg(
-        F.count("*").alias("n"),
         F.max(F.when(F.col("kind") == "domain", F.size(F.split("value", r"\.")))).alias("labels"),
         F.max(F.when(F.col("kind") == "prefix", F.size(F.split("value", "/")) - 1)).alias("segments"),
     ).first()
     # A verdict depends on the address and the time only; partial sums leave one row of each a task.
     asked = rows.filter("_url is not null and _at is not null").select("_url", "_at").distinct()
     keyed = asked.select("_url", "_at", F.inline(candidate_keys(F.col("_url"), size.labels or 0, size.segments or 0)))
-    if size.n <= BROADCAST_ROWS:
+    if is_small(spans):
         joined = keyed.join(F.broadcast(spans), ["kind", "value"])
     else:
         salted = spans.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltscreen.llm.common import col, stored, without
+from siltscreen.llm.common import bounded_batches, col, stored, tidy, without
 from siltscreen.llm.similar import components, forest, in_blocks, over_groups
 
 THRESHOLD = 0.9
@@ -114,8 +114,9 @@ def links(
                 packed = [x[i, :n].tobytes() for i, n in enumerate(lengths.tolist())]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(packed, pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(list(codes), pa.list_(pa.int32()))], ["_id", "_x", "_codes", "_list"])
 
+    bounded_batches(vectors.sparkSession)
     schema = T.StructType().add("_id", T.LongType()).add("_x", T.BinaryType()).add("_codes", T.BinaryType()).add("_list", T.ArrayType(T.IntegerType()))
-    usable = keyed.filter("_id is not null and _v is not null").mapInArrow(hashed, schema)
+    usable = keyed.filter("_id is not null and _v is not null").mapInArrow(tidy(hashed), schema)
     # Equal vectors are one class, named by a digest; how many rows it has counts as links.
     usable = usable.withColumn("_key", F.unhex(F.md5("_x")))
     first = {c: F.any_value(c).alias(c) for c in ("_x", "_codes", "_list")}

@@ -24,7 +24,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = (np.full(n, b, np.uint64) for b in (BASE, INVERSE))
     up[0] = down[0] = 1
@@ -35,11 +35,13 @@ def run_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of units[start:end] for every run; units are bytes or code points."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = powers(1 << max(16, int(len(units)).bit_length()))
+    up, down = powers(1 << max(16, (len(units) - 1).bit_length()))
     total = np.zeros(len(units) + 1, np.uint64)
-    values = mixed(units.astype(np.uint64) + np.uint64(BASE))
-    values *= up[: len(units)]
-    np.cumsum(values, out=total[1:])
+    # A part at a time: the temporary arrays stay small.
+    for low in range(0, len(units), 1 << 18):
+        part = slice(low, low + (1 << 18))
+        np.cumsum(mixed(units[part].astype(np.uint64) + np.uint64(BASE)) * up[: len(units)][part], out=total[1:][part])
+        total[1:][part] += total[low]
     out = mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     for i in np.flatnonzero(ends - starts > LONG):
         digest = hashlib.blake2b(units[starts[i] : ends[i]].tobytes(), digest_size=8).digest()

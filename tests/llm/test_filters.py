@@ -264,7 +264,7 @@ def test_salted_join_gives_the_same(table, monkeypatch):
     entries = table("list string, kind string, value string, dated timestamp, listed boolean", [("l%d" % rng.randrange(3), "host", "h%d.example" % rng.randrange(4), at(rng.randrange(100)), rng.random() < 0.6) for _ in range(300)])
     captures = table("id int, url string, fetched_at timestamp", [(i, "http://h%d.example/" % rng.choice([0, 0, 0, 1, 2, 3, 4]), at(rng.randrange(110))) for i in range(200)])
     plain = sorted(map(str, urls.listed_captures(captures, entries).collect()))
-    monkeypatch.setattr(urls, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(urls, "is_small", lambda _: False)
     assert sorted(map(str, urls.listed_captures(captures, entries).collect())) == plain
 
 
