@@ -82,3 +82,10 @@ def test_copies_of_one_page_are_spread(spark, tmp_path):
     assert len(loads) == 8 and max(r["count"] for r in loads) < 1.5 * 3000 / 8
     done = sanitize_html(pages)
     assert "_row_key" not in done.columns and done.filter("content = 'same'").count() == 900
+
+
+def test_registered_text_queries_do_not_shuffle(spark):
+    from siltscreen.plans import catalog
+
+    for name in ("d22_sanitize_text", "d22_sanitize_text_chat", "d7_sanitize_unicode"):
+        assert "Exchange" not in plan(catalog.QUERIES[name](spark, SF)), name

@@ -1,5 +1,7 @@
 """Streams give the batch results."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from siltscreen import sanitize_html, sanitize_text
@@ -59,3 +61,22 @@ def test_totals_per_hour_and_late_rows(spark, tmp_path):
     spark.createDataFrame(more, schema).withColumn("ts", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(source)
     n, d = want[(3, "t1")]
     assert run() == {**want, (3, "t1"): (n + 1, d + 1)}
+
+
+def test_late_rows_of_later_batches_do_not_count(spark, tmp_path):
+    """Files are read one a batch, oldest first: a row behind the watermark is left out."""
+    schema = "ts timestamp, tool string, text string"
+    for k, hour in enumerate(["10:05", "15:00", "15:10", "10:30"]):
+        path = f"{tmp_path}/part{k}"
+        df = spark.sql(f"SELECT timestamp'2024-01-01 {hour}:00' AS ts, 't' AS tool, 'x' AS text")
+        df.coalesce(1).write.parquet(path)
+        file = next(f for f in os.listdir(path) if f.endswith(".parquet"))
+        os.makedirs(tmp_path / "in", exist_ok=True)
+        os.rename(f"{path}/{file}", tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    totals = jobs.stream_totals(jobs.stream_sanitize(stream), "ts", "tool")
+    query = jobs.write_updates(totals, f"{tmp_path}/out", f"{tmp_path}/ckpt", trigger={"availableNow": True})
+    query.awaitTermination()
+    rows = jobs.latest_updates(spark.read.parquet(f"{tmp_path}/out"), ["hour", "tool"]).collect()
+    assert sorted((r.hour.start.hour, r.total_requests) for r in rows) == [(10, 1), (15, 2)]
