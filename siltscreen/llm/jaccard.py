@@ -13,12 +13,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 from math import lgamma
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -332,15 +334,32 @@ def near_documents(docs: DataFrame, text: str = "text", row: str = "doc_id", **o
     return out.select(*[F.col(n).alias(c) for c, n in names.items()], F.coalesce("_links", F.lit(0)).cast("bigint").alias("n_links"), group.alias("group_id"), F.coalesce(ident == group, F.lit(True)).alias("kept"))
 
 
+def _placed(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns under their new names, and `_place`, which is the row's own and the same on every read.
+
+    Only filters and projections may lie between a scan and its use: other steps repeat a row's place.
+    """
+    renamed = [col(c).alias(n) for c, n in names.items()]
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() == "LogicalRelation":
+        with contextlib.suppress(AnalysisException):  # no file source, or one without row numbers
+            file = docs.metadataColumn("_metadata")
+            return docs.select(*renamed, F.struct(F.xxhash64(file["file_path"]).alias("f"), file["row_index"].alias("r")).alias("_place"))
+    return stored(docs.select(*renamed, F.monotonically_increasing_id().alias("_place")))
+
+
 def one_of_each(docs: DataFrame, text: str = "text", row: str = "doc_id", **options) -> DataFrame:
     """One document of each group, with its columns as they came: the smallest id, and of repeated rows one.
 
-    Rows are told apart by their place in the scan, so `docs` must be read from files (or be as stable).
-    Documents without words and with a null id stay: null ids come first in the order, by place.
+    Rows are told apart by their file and place in it where `docs` is a scan of files, however the files
+    are split; rows of any other table are numbered once and stored with their columns.  Documents
+    without words and with a null id stay: null ids come first in the order, by place.
     """
     names = docs.columns
     lower = [c.lower() for c in names]
-    bare = docs.select(*[col(c).alias(f"_d{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("_place"))
+    bare = _placed(docs, {c: f"_d{i}" for i, c in enumerate(names)})
     ident = F.struct(F.col(f"_d{lower.index(row.lower())}").alias("i"), F.col("_place").alias("p"))
     found = groups(bare.select(ident.alias("_row"), F.col(f"_d{lower.index(text.lower())}").alias("_t")), "_t", "_row", **options)
     gone = stored(found.filter("_id <> group_id").select(F.col("_id.p").alias("_place")))

@@ -101,6 +101,32 @@ def test_awkward_rows(awkward):
     assert jaccard.one_of_each(clash.limit(0)).collect() == []
 
 
+def test_rows_stay_the_same_when_files_are_split_anew(spark, table, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(60)) for _ in range(40)]
+    rows = [(i, texts[i % 40] + (" tail" if i >= 40 else "")) for i in range(80)]
+    for k in range(8):
+        part = rows[k::8] if k else [*rows[k::8], rows[0]]
+        table("doc_id bigint, text string", part).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    name = "spark.sql.files.minPartitionNum"
+    before, store = spark.conf.get(name, None), jaccard.stored
+
+    def lost_executors(df):
+        done = store(df)
+        spark.conf.set(name, "40")
+        return done
+
+    monkeypatch.setattr(jaccard, "stored", lost_executors)
+    docs = spark.read.parquet(str(tmp_path))
+    try:
+        for given in (docs, docs.filter("doc_id >= 0").select("doc_id", "text"), docs.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))):
+            spark.conf.set(name, "1")
+            kept = jaccard.one_of_each(given).collect()
+            assert sorted((r.doc_id, r.text) for r in kept) == rows[:40]
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def test_pruning_bounds_follow_the_posterior():
     from fractions import Fraction
 
