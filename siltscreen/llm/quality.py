@@ -101,10 +101,10 @@ def log_odds(model: Model, x: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id", label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most `rows` labelled documents, chosen by a hash of their id, held-out ones never among them.
 
-    Rows with a null id, label or text are not learned from; an id with several labels counts with each.
-    Only features come to the driver.
+    Rows with a null id, label or text are not learned from; an id with several labels counts with each,
+    once whatever the number of its rows (by the least of its features).  Only features come to the driver.
     """
-    known = labels.select(col(doc).alias("_doc"), col(label).cast("int").alias("_label")).filter("_doc is not null and _label in (0, 1)").filter(~held_out(F.col("_doc")))
+    known = labels.select(col(doc).alias("_doc"), col(label).cast("int").alias("_label")).filter("_doc is not null and _label in (0, 1)").filter(~held_out(F.col("_doc"))).distinct()
     chosen = known.orderBy(F.xxhash64("_doc"), "_doc", "_label").limit(rows)
     texts = docs.select(col(doc).alias("_doc"), col(text).alias("_text")).filter("_text is not null").join(F.broadcast(chosen), "_doc")
 
@@ -112,7 +112,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "do
         return [pa.array([r.tobytes() for r in features(column)], pa.binary())]
 
     found = with_text_columns(texts, "_text", make, T.StructType().add("_x", T.BinaryType()), ["_doc", "_label"])
-    sample = sorted(found.orderBy(F.xxhash64("_doc"), "_doc", "_label").limit(rows).collect(), key=lambda r: (r._doc, r._label, bytes(r._x)))
+    # One row of each id and label, so no more than were chosen, and copies displace no other label.
+    once = found.groupBy("_doc", "_label").agg(F.min("_x").alias("_x"))
+    sample = sorted(once.collect(), key=lambda r: (r._doc, r._label, bytes(r._x)))
     width = features(pa.array([""])).shape[1]
     x = np.frombuffer(b"".join(r._x for r in sample)).reshape(-1, width) if sample else np.zeros((0, width))
     return fit(x, np.array([r._label for r in sample], np.int64))

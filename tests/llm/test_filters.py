@@ -198,6 +198,21 @@ def test_query_op1_on_held_out_labels(spark):
     assert all(g for g, y in held if y == 1)
 
 
+def test_copies_of_one_id_displace_no_other_label(table, monkeypatch):
+    rows = [(i, f"Plain {i} sentence about gardens, rivers and towns." if i % 2 else f"VILE {i} TRASH!!! $$$ 000 |||", "en") for i in range(40)]
+    known = [(i, i % 2, 1 - i % 2) for i in range(40)]
+    first = min((r for r in table("doc_id bigint", [(i,) for i in range(40)]).select("doc_id", F.xxhash64("doc_id").alias("h"), quality.held_out(F.col("doc_id")).alias("o")).collect() if not r.o), key=lambda r: r.h).doc_id
+    docs = table("doc_id bigint, text string, lang string", rows + [rows[first]] * 30)
+    labels = table("doc_id bigint, quality int, toxic int", known + [known[first]] * 30)
+    plain = table("doc_id bigint, text string, lang string", rows), table("doc_id bigint, quality int, toxic int", known)
+    for module in (quality, toxicity):
+        learned = []
+        monkeypatch.setattr(module, "fit", lambda x, y, *more, seen=learned: seen.append(sorted(y.tolist())))
+        module.train(docs, labels, rows=25)
+        module.train(*plain, rows=25)
+        assert learned[0] == learned[1] and set(learned[0]) == {0, 1} and len(learned[0]) == 25
+
+
 def test_sites_are_shrunk_by_their_rows(table):
     rows = [("big", "p", 0.2)] * 400 + [("big", "q", 0.9)] * 100 + [("mid", "p", 0.8)] * 300 + [("tiny", "p", 0.05)]
     scored = table("_host string, _path string, _p double", rows)
