@@ -33,6 +33,8 @@ from siltscreen.llm.words import run_hashes
 
 #: Words of the lexicon: a bound of the driver's and each worker's memory, not of the result.
 LEXICON_WORDS = 1 << 16
+#: Bytes of a word of the lexicon: with their number, a bound of the bytes that come to the driver.
+LEXICON_BYTES = 64
 #: Words with more bytes are merged one at a time with a heap.
 BATCHED = 128
 NEVER = np.int32(2**31 - 1)
@@ -343,7 +345,9 @@ def decode_ids(ids: np.ndarray, bounds: np.ndarray, v: Vocabulary) -> tuple[np.n
 
 
 def lexicon_words(df: DataFrame, text: str, v: Vocabulary, size: int) -> list[str]:
-    """The most frequent words over all texts, counted by Spark: every word of at least such a count that at most `size` have it.
+    """The most frequent words of up to LEXICON_BYTES over all texts, counted by Spark: every word of at least such a count that at most `size` have it.
+
+    So at most `size * LEXICON_BYTES` bytes come to the driver; longer words are merged where they occur.
 
     The least count comes from a histogram of counts by powers of 2 ** (1 / 8), so no task sends the
     driver more than its own share of the chosen words.  Words that occur once are never among them.
@@ -361,7 +365,7 @@ def lexicon_words(df: DataFrame, text: str, v: Vocabulary, size: int) -> list[st
         return [lists(pairs, whole)]
 
     made = T.StructType().add("words", T.ArrayType(T.StructType().add("word", T.StringType()).add("n", T.LongType())))
-    counted = with_text_columns(df, text, count, made, []).select(F.inline("words"))
+    counted = with_text_columns(df, text, count, made, []).select(F.inline("words")).filter(F.octet_length("word") <= LEXICON_BYTES)
     step = F.floor(F.log2("n") * 8).cast("int")
     often = stored(counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").withColumn("step", step))
     least, room = 1 << 20, size

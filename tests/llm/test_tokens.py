@@ -98,6 +98,15 @@ def test_encode_and_decode_awkward_rows(awkward):
     assert bpe.encode(empty, bpe.make_encoder(empty, PATH)).collect() == []
 
 
+def test_long_words_stay_out_of_the_lexicon(table):
+    long, edge = "é" * 40 + "xyz" * 3000, "ab" * 32
+    docs = table("doc_id bigint, text string", [(i, f"{long} short {edge} {edge}c") for i in range(20)])
+    assert sorted(bpe.lexicon_words(docs, "text", V, 100)) == [edge, "short"]
+    encoder = bpe.make_encoder(docs, PATH)
+    assert encoder.parts()[1].longest == 64
+    assert all(r.ids == want(f"{long} short {edge} {edge}c") for r in bpe.encode(docs, encoder).collect())
+
+
 def test_query_op7(spark):
     texts = {r.doc_id: r.text for r in queries.table(spark, SF, "documents").collect()}
     rows = queries.QUERIES["op7_bpe_encode_decode"](spark, SF).collect()
