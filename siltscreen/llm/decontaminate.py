@@ -2,8 +2,10 @@
 
 The texts of each step of a task are a shard.  A shard's suffix array is sparse: it holds the suffixes
 that begin with a word n-gram of the benchmark, for no other suffix can match a benchmark window.  Every
-suffix of every benchmark item is binary-searched in every shard; the range of suffixes that share a
-whole window gives the hit words, and the neighbours give the longest verbatim match.  All of it is one
+different window of the benchmark is binary-searched in every shard; the range of suffixes that share it
+gives the hit words, and matches are the windows found, extended word by word.  So the longest match of an
+item's suffix is given only if it holds a whole window (ten words, or all of a shorter item): shorter
+matches are not searched, nor are the last nine suffixes of an item by themselves.  All of it is one
 narrow pass: nothing of the corpus is shuffled, and the benchmark goes to the tasks in blocks of
 bounded size, one pass a block.
 """
