@@ -142,9 +142,9 @@ def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_entries(pages: DataFrame, events: DataFrame) -> DataFrame:
-    """A dated list from the tables: every event is an entry about the address of the page of its number.
+    """A dated list from the tables: an event whose id is a page's number is an entry about its address.
 
-    The event's type picks list and kind, every third event takes its entry off the list again.
+    Other events are no entries, in the SQL as here.  The event's type picks list and kind, every third event takes its entry off the list again.
     """
     from siltscreen.llm import urls as u
 
