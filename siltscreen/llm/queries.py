@@ -262,3 +262,68 @@ link AS (
 node AS (SELECT vec_id AS id FROM embeddings), {_REACHED}
 SELECT id AS vec_id, coalesce(n, 0) AS n_links, low AS component_id, id = low AS kept FROM low LEFT JOIN degree USING (id)
 """
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from each source's documents at each step of all 120 orders."""
+    from siltscreen.llm import audit
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return audit.filter_audit(docs, table(spark, sf_dir, "labels"))
+
+
+#: Walks every document through every order, filter by filter, without coalitions.
+ORACLE["op13_filter_audit"] = r"""
+WITH doc AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+low AS (SELECT t, min(doc_id) AS first FROM doc GROUP BY t),
+mark AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS f
+  FROM doc JOIN low USING (t) LEFT JOIN mark USING (doc_id)),
+cell AS (SELECT part, f, good, toxic, count(*) AS n FROM failed GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+stage AS (SELECT filter_order, step, substr(filter_order, step, 1) AS x, substr(filter_order, 1, step - 1) AS past FROM (SELECT *, unnest(range(1, 6)) AS step FROM orders)),
+walk AS (
+  SELECT *, contains(f, x) AS bad, len(list_filter(string_split(past, ''), lambda p: p <> '' AND contains(f, p))) > 0 AS gone FROM stage, cell),
+counted AS (
+  SELECT part, filter_order, step, x, sum(CASE WHEN NOT gone AND NOT bad THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND bad THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone AND bad THEN n ELSE 0 END) AS redundant, sum(CASE WHEN f = x THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT gone AND bad THEN n * good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND bad THEN n * toxic ELSE 0 END) AS toxic_lost
+  FROM walk GROUP BY ALL),
+share AS (SELECT part, x, sum(removed) AS shapley FROM counted GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, shapley::BIGINT AS shapley
+FROM counted JOIN share USING (part, x)
+"""
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    from siltscreen.llm import search
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.ranked(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+ORACLE["op11_lexical_search"] = f"""
+WITH doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+total AS (SELECT count(*) AS n_docs, sum(len(w)) AS n_terms FROM doc WHERE len(w) > 0),
+asked AS (SELECT DISTINCT item_id, unnest(w) AS t FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+wanted AS (SELECT DISTINCT t FROM asked),
+place AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM doc) JOIN wanted USING (t) GROUP BY ALL),
+weight AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM place, total GROUP BY t, n_docs),
+size AS (SELECT doc_id, (10 + (90 * len(w) * n_docs) // n_terms)::BIGINT AS m FROM doc, total WHERE len(w) > 0),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN place USING (t) JOIN weight USING (t) JOIN size USING (doc_id) GROUP BY ALL),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scored WHERE score > 0)
+SELECT item_id, r::INT AS rank, doc_id, score FROM ranks WHERE r <= 10
+"""
