@@ -327,3 +327,14 @@ scored AS (
 ranks AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scored WHERE score > 0)
 SELECT item_id, r::INT AS rank, doc_id, score FROM ranks WHERE r <= 10
 """
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest learned language of every document; far ones are marked, not renamed."""
+    from siltscreen.llm import language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs)
+    done = language.identify(docs, model, reject=False, keep=["doc_id"])
+    return done.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
