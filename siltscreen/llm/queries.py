@@ -142,9 +142,9 @@ def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_entries(pages: DataFrame, events: DataFrame) -> DataFrame:
-    """A dated list from the tables: an event whose id is a page's number is an entry about its address.
+    """A dated list from the tables: every event is an entry about the page whose number is its id modulo their count.
 
-    Other events are no entries, in the SQL as here.  The event's type picks list and kind, every third event takes its entry off the list again.
+    Page ids are 0, 1, 2 and so on.  The event's type picks list and kind, every third event takes its entry off the list again.
     """
     from siltscreen.llm import urls as u
 
@@ -155,7 +155,8 @@ def url_entries(pages: DataFrame, events: DataFrame) -> DataFrame:
     entry = lambda name, about, value: F.struct(F.lit(name).alias("list"), F.lit(about).alias("kind"), value.alias("value"))
     plan = F.when(kind == "click", entry("adverts", "host", u.url_host(url))).when(kind == "view", entry("spam", "domain", top))
     plan = plan.when(kind == "error", entry("malware", "url", u.whole_url(url))).otherwise(entry("abuse", "prefix", first))
-    joined = events.join(pages, events["event_id"] == pages["page_id"])
+    about = F.pmod(events["event_id"], F.lit(max(pages.count(), 1)))
+    joined = events.join(pages, about == pages["page_id"])
     return joined.select(plan.alias("_e"), F.col("ts").alias("dated"), (F.col("event_id") % 3 != 0).alias("listed")).select("_e.*", "dated", "listed")
 
 
@@ -185,7 +186,7 @@ entry AS (
          CASE event_type WHEN 'click' THEN host WHEN 'view' THEN array_to_string(l[-2:], '.') WHEN 'error' THEN host || rest
               ELSE host || '/' || string_split(path, '/')[1] END AS value,
          epoch_us(ts) AS dated, bool_or(event_id % 3 <> 0) AS listed
-  FROM events JOIN addr ON event_id = page_id GROUP BY 1, 2, 3, 4),
+  FROM events JOIN addr ON event_id % (SELECT count(*) FROM pages) = page_id GROUP BY 1, 2, 3, 4),
 state AS (
   SELECT *, lead(dated) OVER (PARTITION BY list, kind, value ORDER BY dated) AS until,
          lag(listed, 1, false) OVER (PARTITION BY list, kind, value ORDER BY dated) AS was FROM entry),

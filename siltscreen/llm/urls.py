@@ -1,8 +1,10 @@
 """URL filters by a temporal list join: was a capture's address listed when it was fetched?
 
 Dated list entries (added, removed) become validity intervals; each capture's address gives the keys that
-an entry could have (the address, its host, its domains, its path prefixes), and an as-of join keeps the
-entries whose interval holds the fetch time.  DataFrame functions only.
+an entry could have (the address, its host, its domains, its path prefixes), and an as-of join gives every
+capture the last interval of each key and list that began before it; it counts if it has not ended.
+The join is one window over starts and captures in order of time, cut into hours, with the state at an
+hour's begin carried over from earlier hours.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -10,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltscreen.llm.common import col, is_small, stored, without
+from siltscreen.llm.common import col, join_checked, stored, without
 
-#: Copies of the intervals, and parts of the captures of a key, where the intervals are too many to broadcast.
-SALTS = 32
-#: Entries and gaps of a key are ordered day by day, so no task holds all entries of a key.
-DAY = "day"
+#: Captures of a key in one hour, from which on they are dealt over several tasks, each with the hour's starts.
+PART_ROWS = 200_000
+#: Entries, gaps and captures of a key are ordered hour by hour, so no task holds all of a key.
+SLOT = "hour"
 KINDS = ("url", "host", "domain", "prefix")
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
@@ -41,17 +43,17 @@ def whole_url(url: Column) -> Column:
 def _neighbour(df: DataFrame, keys: list[str], time: str, value: Column, back: bool, name: str) -> DataFrame:
     """Add the value of the row before (or after) each row of its keys in time; times are different.
 
-    Rows are ordered within a day; over days, one row each is.  So a key with any number of rows is
-    split by days, and what is ordered as a whole has at most a row a day.
+    Rows are ordered within an hour; over hours, one row each is.  So a key with any number of rows is
+    split by hours, and what is ordered as a whole has at most a row an hour.
     """
-    df = df.withColumn("_day", F.date_trunc(DAY, time)).withColumn("_value", value)
-    inner = Window.partitionBy(*keys, "_day").orderBy(time)
+    df = df.withColumn("_slot", F.date_trunc(SLOT, time)).withColumn("_value", value)
+    inner = Window.partitionBy(*keys, "_slot").orderBy(time)
     edge = F.max_by("_value", time) if back else F.min_by("_value", time)
-    days = df.groupBy(*keys, "_day").agg(edge.alias("_edge"))
-    outer = Window.partitionBy(*keys).orderBy("_day")
+    slots = df.groupBy(*keys, "_slot").agg(edge.alias("_edge"))
+    outer = Window.partitionBy(*keys).orderBy("_slot")
     step = F.lag if back else F.lead
-    days = days.withColumn("_other", step("_edge").over(outer)).drop("_edge")
-    return df.withColumn("_near", step("_value").over(inner)).join(days, [*keys, "_day"]).withColumn(name, F.coalesce("_near", "_other")).drop("_near", "_other", "_value", "_day")
+    slots = slots.withColumn("_other", step("_edge").over(outer)).drop("_edge")
+    return df.withColumn("_near", step("_value").over(inner)).join(slots, [*keys, "_slot"]).withColumn(name, F.coalesce("_near", "_other")).drop("_near", "_other", "_value", "_slot")
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -85,6 +87,34 @@ def candidate_keys(url: Column, labels: int, segments: int) -> Column:
     return F.when(host != "", every).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
 
 
+def as_of(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """`asked` (`list, kind, value, _url, _at`) with the `since` of the interval that holds `_at`; others go.
+
+    Starts and captures of a key are walked together in order of time within an hour.  The last start of
+    earlier hours goes in front, found on one row a key and hour.  An hour with many captures of one key
+    is dealt over tasks by the captures' hash, with the starts in each.  So work is that of a sort,
+    whatever the number of intervals of a key.
+    """
+    keys = ["list", "kind", "value"]
+    by_hour = [*keys, "_slot"]
+    asked = asked.withColumn("_slot", F.date_trunc(SLOT, "_at"))
+    starts = spans.select(*keys, F.struct("since", "until").alias("_state"), F.date_trunc(SLOT, "since").alias("_slot"))
+    counts = asked.groupBy(*by_hour).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("_parts"), F.lit(None).cast(starts.schema["_state"].dataType).alias("_last"))
+    lasts = starts.groupBy(*by_hour).agg(F.lit(None).cast("int").alias("_parts"), F.max("_state").alias("_last"))
+    hours = counts.unionByName(lasts).groupBy(*by_hour).agg(F.max("_parts").alias("_parts"), F.max("_last").alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    needed = stored(hours.withColumn("_state", F.last("_last", ignorenulls=True).over(earlier)).filter("_parts is not null").drop("_last"))
+    busy = stored(needed.filter("_parts > 1").drop("_state"))
+    part = F.pmod(F.xxhash64("_url", "_at"), F.coalesce("_parts", F.lit(1))).cast("int")
+    captures = join_checked(asked, busy, by_hour, "left").select(*by_hour, part.alias("_part"), F.col("_at").alias("_time"), "_url", "_at", F.lit(None).cast(starts.schema["_state"].dataType).alias("_state"))
+    states = needed.filter("_state is not null").unionByName(starts.join(needed.drop("_state"), by_hour))
+    copies = states.select(*by_hour, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("_state.since").alias("_time"), "_state")
+    both = captures.unionByName(copies, allowMissingColumns=True)
+    walk = Window.partitionBy(*by_hour, "_part").orderBy("_time", F.col("_state").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = both.withColumn("_now", F.last("_state", ignorenulls=True).over(walk)).filter("_url is not null and _now is not null and (_now.until is null or _at < _now.until)")
+    return held.select(*keys, "_url", "_at", F.col("_now.since").alias("since"))
+
+
 def listed_captures(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """Add `n_entries`, `lists`, `listed_since` and `blocked` to each capture.
 
@@ -107,12 +137,9 @@ def listed_captures(captures: DataFrame, entries: DataFrame, url: str = "url", f
     # A verdict depends on the address and the time only; partial sums leave one row of each a task.
     asked = rows.filter("_url is not null and _at is not null").select("_url", "_at").distinct()
     keyed = asked.select("_url", "_at", F.inline(candidate_keys(F.col("_url"), size.labels or 0, size.segments or 0)))
-    if is_small(spans):
-        joined = keyed.join(F.broadcast(spans), ["kind", "value"])
-    else:
-        salted = spans.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("_salt", F.pmod(F.xxhash64("_url", "_at"), F.lit(SALTS)).cast("int")).join(salted, ["kind", "value", "_salt"])
-    active = joined.filter("since <= _at and (until is null or _at < until)")
+    # Only keys that are in a list, once for each list that ever had them.
+    heads = stored(spans.select("list", "kind", "value").distinct())
+    active = as_of(join_checked(keyed, heads, ["kind", "value"]).select("list", "kind", "value", "_url", "_at"), spans)
     found = active.groupBy("_url", "_at").agg(F.count("*").alias("n_entries"), F.array_sort(F.collect_set("list")).alias("lists"), F.min("since").alias("listed_since"))
     out = rows.join(found, ["_url", "_at"], "left")
     count = F.coalesce("n_entries", F.lit(0))

@@ -274,13 +274,53 @@ def test_listed_captures(table):
     assert urls.listed_captures(captures.limit(0), entries).collect() == []
 
 
-def test_salted_join_gives_the_same(table, monkeypatch):
+def brute_lists(entries, captures):
+    """(address, time) -> lists that hold the host then, by walking all entries in order."""
+    out = {}
+    for url, when in set(captures):
+        state = {}
+        for name, _, host, dated, listed in sorted(entries, key=lambda e: (e[3], e[4])):
+            if dated <= when and url == f"http://{host}/":
+                state[name] = listed
+        out[url, when] = sorted(k for k, v in state.items() if v)
+    return out
+
+
+def test_as_of_join_equals_brute_force(table, monkeypatch):
     rng = random.Random(1)
-    entries = table("list string, kind string, value string, dated timestamp, listed boolean", [("l%d" % rng.randrange(3), "host", "h%d.example" % rng.randrange(4), at(rng.randrange(100)), rng.random() < 0.6) for _ in range(300)])
-    captures = table("id int, url string, fetched_at timestamp", [(i, "http://h%d.example/" % rng.choice([0, 0, 0, 1, 2, 3, 4]), at(rng.randrange(110))) for i in range(200)])
-    plain = sorted(map(str, urls.listed_captures(captures, entries).collect()))
-    monkeypatch.setattr(urls, "is_small", lambda _: False)
-    assert sorted(map(str, urls.listed_captures(captures, entries).collect())) == plain
+    entries = [("l%d" % rng.randrange(3), "host", "h%d.example" % rng.randrange(4), at(rng.randrange(100)), rng.random() < 0.6) for _ in range(300)]
+    asked = [("http://h%d.example/" % rng.choice([0, 0, 0, 1, 2, 3, 4]), at(rng.randrange(110))) for i in range(400)]
+    want = brute_lists(entries, asked)
+    captures = table("url string, fetched_at timestamp", asked)
+    dated = table("list string, kind string, value string, dated timestamp, listed boolean", entries)
+    for rows, small in ((200_000, True), (3, True), (1, False)):
+        monkeypatch.setattr(urls, "PART_ROWS", rows)
+        if not small:
+            monkeypatch.setattr("siltscreen.llm.common.is_small", lambda _: False)
+        found = urls.listed_captures(captures, dated).collect()
+        assert len(found) == 400 and all(r.lists == want[r.url, r.fetched_at] for r in found)
+
+
+def test_a_key_with_many_states(spark, table):
+    """One host changes state 100,000 times; no window of the join sees more than an hour of it."""
+    n = 100_000
+    entries = spark.range(n).selectExpr("'l' list", "'host' kind", "'h.example' value", "timestamp_seconds(1700000000 + id * 7) dated", "id % 2 = 0 listed")
+    captures = spark.range(500).selectExpr("id", "'http://h.example/x' url", "timestamp_seconds(1700000003 + id * 1387) fetched_at")
+    found = urls.listed_captures(captures, entries)
+    for r in found.collect():
+        state = (r.id * 1387 + 3) // 7
+        assert r.blocked == (state % 2 == 0) and r.n_entries == r.blocked, r
+    windows = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window " in line]
+    assert all("_slot" in line for line in windows)
+    hours = urls.intervals(entries).groupBy(F.date_trunc(urls.SLOT, "since")).count().agg(F.max("count")).first()[0]
+    assert hours <= 515
+
+
+def test_every_event_is_an_entry(spark):
+    pages, events = queries.table(spark, SF, "pages"), queries.table(spark, SF, "events")
+    entries = queries.url_entries(pages.select("page_id", "url"), events)
+    assert entries.count() == events.count()
+    assert urls.intervals(entries).groupBy("list", "kind", "value").count().filter("count > 1 and kind = 'url'").count() > 0
 
 
 def test_op3_runs_without_python(spark):

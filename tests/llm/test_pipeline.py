@@ -148,7 +148,7 @@ def test_sql_gives_the_same(spark, name):
 
 def test_every_operator_is_registered_once():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_nothing_of_the_corpus_is_copied_to_one_place():
