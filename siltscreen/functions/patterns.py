@@ -211,7 +211,9 @@ _IN_TAG = (
     f'(?:=[{HTML_WS}]*+"[^"]*+(?:"|\\z)|=[{HTML_WS}]*+\'[^\']*+(?:\'|\\z)|[^>=]++|=)*+'
 )
 RAW_ELEMENTS = ["script", "style"]
-TEXT_ELEMENTS = ["title", "textarea"]
+TEXT_ELEMENTS = ["title", "textarea", "xmp", "iframe", "noembed", "noframes"]
+# Those of them whose text has character references.
+ENTITY_ELEMENTS = ["title", "textarea"]
 
 
 def _whole_element(tag: str) -> str:
@@ -258,6 +260,39 @@ BLOCK_TAGS = [
     "isindex", "li", "main", "menu", "nav", "noframes", "noscript", "ol", "output", "p",
     "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 ]
+HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
+# Start tags that end an open paragraph.
+CLOSES_P = [
+    "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
+    "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "listing",
+    "main", "menu", "nav", "ol", "p", "plaintext", "pre", "search", "section", "summary", "table", "ul", "xmp",
+]
+# Elements that end tags of other elements do not reach across.
+SCOPE_TAGS = ["applet", "caption", "html", "marquee", "object", "table", "td", "template", "th"]
+# Elements whose begin and end set formatting apart.
+MARKER_TAGS = ["applet", "caption", "marquee", "object", "td", "template", "th"]
+FORMATTING_TAGS = ["a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u"]
+SPECIAL_TAGS = [
+    "address", "applet", "area", "article", "aside", "base", "basefont", "bgsound", "blockquote", "body", "br", "button",
+    "caption", "center", "col", "colgroup", "dd", "details", "dir", "div", "dl", "dt", "embed", "fieldset", "figcaption",
+    "figure", "footer", "form", "frame", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr",
+    "html", "iframe", "img", "input", "keygen", "li", "link", "listing", "main", "marquee", "menu", "meta", "nav", "noembed",
+    "noframes", "noscript", "object", "ol", "p", "param", "plaintext", "pre", "script", "search", "section", "select",
+    "source", "style", "summary", "table", "tbody", "td", "template", "textarea", "tfoot", "th", "thead", "title", "tr",
+    "track", "ul", "wbr", "xmp",
+]
+# Parts of a table, and what each may stand in.
+TABLE_PARENTS = {
+    "caption": ["table"],
+    "colgroup": ["table"],
+    "col": ["colgroup", "table"],
+    "thead": ["table"],
+    "tbody": ["table"],
+    "tfoot": ["table"],
+    "tr": ["thead", "tbody", "tfoot", "table"],
+    "td": ["tr", "thead", "tbody", "tfoot", "table"],
+    "th": ["tr", "thead", "tbody", "tfoot", "table"],
+}
 # Elements whose end tag may be left out: family -> (members, start tags that end them,
 # open children that the same start tags end as well).
 OPTIONAL_END = {

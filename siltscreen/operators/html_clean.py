@@ -5,23 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltscreen.functions import elements
 from siltscreen.functions import text as fn
-from siltscreen.operators.html_tokens import PAGE, element_ends, html_tokens, in_order, tag_in
+from siltscreen.operators.html_tokens import ATTRIBUTED, ROW_KEY, tag_in, token_rows, with_elements
 from siltscreen.schema import HTML_COUNTERS
 
-# Phases that can remove more than their own token, in order.
-SPANNING = ["hidden", "off_screen", "same_color", "noscript"]
-# Elements that go whole and hold no other element.
-STRIPPED = ["script", "style", "meta", "link"]
-
-
-# Start tags whose attributes are read when a page is rendered.
-ATTRIBUTED = ["a", "img", "code", "ol"]
-
-
-def _element() -> Column:
-    return F.expr("kind IN ('open', 'void', 'raw', 'rawtext')")
-
 
 def flag_elements(tokens: DataFrame) -> DataFrame:
     """Add `attrs, style, hidden, off_screen, same_color` (flags are false off start tags)."""
@@ -39,93 +27,76 @@ def flag_elements(tokens: DataFrame) -> DataFrame:
     )
 
 
-def mark_removed(tokens: DataFrame, extra_spans: dict[str, Column] | None = None) -> DataFrame:
-    """Add `in_<phase>` per token and `alive`, false for every removed token.
-
-    A running maximum of element ends per phase tells whether a token lies inside something
-    the phase removes (the matching token itself included).  `extra_spans` adds further
-    `in_<name>` columns: is the token inside an element for which the condition holds?
-    """
-    kind, pos, so_far = F.col("kind"), F.col("pos"), in_order()
-    phases = {name: F.col(name) for name in SPANNING[:3]}
-    phases["noscript"] = _element() & (F.col("tag") == "noscript")
-    spans = {**phases, "element": _element(), **(extra_spans or {})}
-    t = tokens.withColumns(
-        {
-            f"in_{name}": F.coalesce(
-                F.max(F.when(cond, F.col("end"))).over(so_far) >= pos, F.lit(False)
-            )
-            for name, cond in spans.items()
-        }
-    )
-    inside = F.lit(False)
-    for name in SPANNING:
-        inside = inside | F.col(f"in_{name}")
-    alone = (_element() & tag_in(STRIPPED)) | ((kind == "comment") & F.col("in_element"))
-    return t.withColumn("alive", ~(inside | F.coalesce(alone, F.lit(False))))
+def alive(kind: Column, tag: Column, inside: Column) -> Column:
+    """False for every token that some phase removes: in a removed element, gone whole, or a comment in an element."""
+    gone = inside.bitwiseAND(elements.REMOVED | elements.STRIPPED) != 0
+    return ~(gone | F.coalesce((kind == "comment") & (inside != 0), F.lit(False)))
 
 
-def token_counters() -> dict[str, Column]:
-    """The eight counters of one marked token.
+def counted(kind: Column, tag: Column, bits: Column, inside: Column, again: Column) -> dict[str, Column]:
+    """The eight counters of one token.
 
     A match inside a subtree that an earlier phase removed is not counted; one inside a
-    subtree of its own phase is.
+    subtree of its own phase is.  `again` adds elements that were opened anew at the token.
     """
-    tag = F.col("tag")
-    after_hidden = ~F.col("in_hidden")
-    after_off_screen = after_hidden & ~F.col("in_off_screen")
-    after_same_color = after_off_screen & ~F.col("in_same_color")
-    after_noscript = after_same_color & ~F.col("in_noscript")
+    has = lambda bit: bits.bitwiseAND(bit) != 0
+    outside = lambda mask: inside.bitwiseAND(mask) == 0
+    anew = lambda k: F.call_function("shiftright", again, F.lit(elements.COUNT_BITS * k)).bitwiseAND(F.lit((1 << elements.COUNT_BITS) - 1).cast("bigint"))
+    first = elements.HIDDEN | elements.OFF_SCREEN | elements.SAME_COLOR
+    element = kind.isin("open", "void", "raw", "rawtext")
     found = {
-        "hidden_elements": F.col("hidden"),
-        "html_comments": (F.col("kind") == "comment") & F.col("in_element") & after_noscript,
-        "script_tags": _element() & (tag == "script") & after_same_color,
-        "style_tags": _element() & (tag == "style") & after_same_color,
-        "noscript_tags": _element() & (tag == "noscript") & after_same_color,
-        "meta_tags": _element() & tag_in(["meta", "link"]) & after_noscript,
-        "off_screen_elements": F.col("off_screen") & after_hidden,
-        "same_color_text": F.col("same_color") & after_off_screen,
+        "hidden_elements": has(elements.HIDDEN),
+        "html_comments": (kind == "comment") & (inside != 0) & outside(elements.REMOVED),
+        "script_tags": element & (tag == "script") & outside(first),
+        "style_tags": element & (tag == "style") & outside(first),
+        "noscript_tags": element & has(elements.NOSCRIPT) & outside(first),
+        "meta_tags": element & tag.isin("meta", "link") & outside(elements.REMOVED),
+        "off_screen_elements": has(elements.OFF_SCREEN) & outside(elements.HIDDEN),
+        "same_color_text": has(elements.SAME_COLOR) & outside(elements.HIDDEN | elements.OFF_SCREEN),
     }
-    return {name: F.when(hit, 1).otherwise(0).cast("bigint") for name, hit in found.items()}
+    ones = {name: F.when(F.coalesce(hit, F.lit(False)), 1).otherwise(0).cast("bigint") for name, hit in found.items()}
+    for k, name in enumerate(("hidden_elements", "off_screen_elements", "same_color_text")):
+        ones[name] = ones[name] + F.coalesce(anew(k), F.lit(0))
+    return ones
 
 
-def counter_sums() -> list[Column]:
-    return [F.sum(hit).alias(name) for name, hit in token_counters().items()]
+def token_counters() -> dict[str, Column]:
+    return counted(*(F.col(c) for c in ("kind", "tag", "bits", "inside", "again")))
 
 
-def page_structure(pages: DataFrame, html: str = "html", key: list[str] | None = None) -> DataFrame:
-    """Tokens with phase flags and element ends: the common base of counters and content.
+def page_counters(tokens: str = "_tokens") -> Column:
+    """The eight counters of a page as one struct, from its array of tokens."""
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in HTML_COUNTERS])
 
-    Flags come first, so that the sorts of the windows move short rows: the start tag is
-    reduced to booleans and to the attributes rendering needs.
-    """
-    flagged = flag_elements(html_tokens(pages, html, key))
-    rendered = F.when(tag_in(ATTRIBUTED), F.col("attrs")).alias("attrs")
-    slim = flagged.select(
-        *PAGE, "_page", "pos", "tok", "tag", "kind", "self_closed", rendered, "hidden", "off_screen", "same_color"
-    )
-    return element_ends(slim)
+    def add(total: Column, t: Column) -> Column:
+        own = t["_tokens"]
+        # Most tokens are text outside everything that counts: one test tells.
+        counts = (own["kind"] == "comment") | (own["bits"] != 0) | (t["again"] != 0)
+        ones = counted(own["kind"], own["tag"], own["bits"], t["inside"], t["again"])
+        return F.when(counts, F.struct(*[(total[c] + ones[c]).alias(c) for c in HTML_COUNTERS])).otherwise(total)
 
+    return F.coalesce(F.aggregate(tokens, zero, add), zero)
 
-def html_stats(pages: DataFrame, html: str = "html", key: list[str] | None = None) -> DataFrame:
-    """The eight counters per page, beside the page's other columns."""
-    marked = mark_removed(page_structure(pages, html, key))
-    return fold_pages(marked, counter_sums(), HTML_COUNTERS)
 
+def _counted_pages(pages: DataFrame, html: str, reopens: bool, more: dict[str, Column]) -> DataFrame:
+    others = [c for c in pages.columns if c not in (html, ROW_KEY)]
+    size = F.octet_length("_html").cast("bigint").alias("input_size")
+    cut = with_elements(pages.select(F.struct(*others, F.lit(0).alias("_none")).alias("_page"), F.col(html).alias("_html")), "_html", reopens)
+    done = cut.select("_page", size, page_counters().alias("_counters"), *[c.alias(n) for n, c in more.items()])
+    return done.select(*[F.col("_page").getField(c).alias(c) for c in others], "input_size", "_counters.*", *more)
 
-def html_clean(pages: DataFrame, html: str = "html", key: list[str] | None = None) -> DataFrame:
-    """The page as markup with everything dangerous cut out, plus the eight counters."""
-    marked = mark_removed(page_structure(pages, html, key))
-    kept = F.array_sort(F.collect_list(F.when(F.col("alive"), F.struct("pos", "tok"))))
-    clean = F.when(
-        F.max("_page.input_size").isNotNull(),
-        F.array_join(F.transform(kept, lambda x: x["tok"]), ""),
-    )
-    sums = [*counter_sums(), clean.alias("clean_html")]
-    return fold_pages(marked, sums, [*HTML_COUNTERS, "clean_html"])
+
+def html_stats(pages: DataFrame, html: str = "html", reopens: bool = False) -> DataFrame:
+    """The eight counters per page, beside the page's other columns; narrow, the same plan for batch and stream."""
+    return _counted_pages(pages, html, reopens, {})
+
+
+def html_clean(pages: DataFrame, html: str = "html", reopens: bool = False) -> DataFrame:
+    """The page as markup with everything dangerous cut out, plus the eight counters; narrow."""
+    kept = F.filter("_tokens", lambda t: alive(t["_tokens"]["kind"], t["_tokens"]["tag"], t["inside"]))
+    return _counted_pages(pages, html, reopens, {"clean_html": F.array_join(F.transform(kept, lambda t: t["_tokens"]["tok"]), "")})
 
 
-def fold_pages(tokens: DataFrame, aggregates: list[Column], names: list[str]) -> DataFrame:
-    """Back to one row per page; the page's own columns are taken from its first token."""
-    first = F.first("_page", ignorenulls=True).alias("_page")
-    return tokens.groupBy(*PAGE).agg(first, *aggregates).select("_page.*", *names)
+def page_structure(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = (), reopens: bool = False) -> DataFrame:
+    """One row per token with the elements around it, and `alive`."""
+    return token_rows(pages, html, carry, reopens).withColumn("alive", alive(F.col("kind"), F.col("tag"), F.col("inside")))

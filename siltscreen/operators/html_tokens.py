@@ -1,39 +1,41 @@
-"""A page as a table of tokens, and the extent of every element.
+"""A page as tokens, and what every token stands in.
 
-A page arrives as one row.  The only exchange of the HTML path spreads whole pages by a
-hash of their key before they are cut into tokens; `_row` then numbers the rows inside each
-shuffled partition, so two pages with the same key stay apart and every later window and
-group-by on (`_route`, `_row`, ...) is satisfied by that one exchange.
+A page arrives as one row and stays one: `with_elements` adds its tokens as one array, with the elements
+around each, and counters, removal and rendering are expressions on that array.  Nothing of it needs an
+exchange.  `dealt` spreads whole pages over tasks by a hash of their key, since a table of few large
+splits would leave cores idle; `html_tokens` gives one row a token.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltscreen.functions import elements
 from siltscreen.functions import patterns as P
 from siltscreen.functions import text as fn
 
 PAGE = ["_route", "_row"]
-END_OF_PAGE = 2**31 - 1
 # Optional input column: a hash of the row's place in its file (see `sources.tables`).
 ROW_KEY = "_row_key"
 
 
-def in_order(*keys: str):
-    """From the start of the page (or of the page's `keys`) up to this token."""
-    return (
-        Window.partitionBy(*PAGE, *keys)
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-
-
 def tag_in(tags: list[str]) -> Column:
     names = ", ".join(f"'{t}'" for t in tags)
     return F.expr(f"tag IN ({names})")
 
 
+def dealt(pages: DataFrame, key: list[str], partitions: int | None = None) -> DataFrame:
+    """Whole pages spread by a hash of `key`, numbered by `_row`.
+
+    A fixed number of partitions: tokenising costs far more than the shuffled bytes suggest, so AQE must
+    not merge them.  Pass `partitions`, or size `spark.sql.shuffle.partitions` to the corpus.
+    """
+    spread = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    routed = pages.withColumn("_route", F.xxhash64(*key)).repartition(spread, "_route")
+    return routed.withColumn("_row", F.monotonically_increasing_id())
+
+
 def html_tokens(
     pages: DataFrame,
     html: str = "html",
@@ -53,15 +55,7 @@ def html_tokens(
     others = [c for c in pages.columns if c not in (html, ROW_KEY)]
     place = [ROW_KEY] if ROW_KEY in pages.columns else []
     hashable = [c for c in others if "map<" not in pages.schema[c].dataType.simpleString()]
-    route = F.xxhash64(*(key or place or hashable or [html]))
-    # A fixed number of partitions: tokenising costs far more than the shuffled bytes suggest,
-    # so AQE must not merge them.  Pass `partitions`, or size `spark.sql.shuffle.partitions` to the corpus.
-    spread = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pages = (
-        pages.withColumn("_route", route)
-        .repartition(spread, "_route")
-        .withColumn("_row", F.monotonically_increasing_id())
-    )
+    pages = dealt(pages, key or place or hashable or [html], partitions)
     size = F.octet_length(html).cast("bigint").alias("input_size")
     tokens = pages.select(
         *PAGE,
@@ -75,129 +69,148 @@ def html_tokens(
     )
 
 
-def classify(tokens: DataFrame) -> DataFrame:
-    """kind: text, comment, decl, open, close, void, raw (script, style), rawtext (title, ...).
-
-    The first characters decide; a regex reads only the name of a tag.
-    """
-    tok, tag = F.col("tok"), F.col("tag")
-    second = F.substring(tok, 2, 1)
-    third = F.substring(tok, 3, 1)
+def tag_of(tok: Column) -> Column:
+    """The name of a start or end tag in lower case, else NULL; the first characters decide."""
+    second, third = F.substring(tok, 2, 1), F.substring(tok, 3, 1)
 
     def letter(c: Column) -> Column:
         return c.between("a", "z") | c.between("A", "Z")
 
-    is_tag = tok.startswith("<") & letter(second)
-    is_end = tok.startswith("</") & letter(third)
-    tokens = tokens.withColumn(
-        "tag", F.when(is_tag | is_end, F.lower(F.regexp_extract(tok, P.TAG_NAME, 1)))
-    )
-    # The start tag alone; '' when the page ends inside it.
-    whole = tag_in(P.RAW_ELEMENTS + P.TEXT_ELEMENTS)
-    head = F.when(whole, F.regexp_extract(tok, P.OPEN_TAG, 0)).otherwise(
-        F.when(tok.endswith(">"), tok).otherwise("")
-    )
-    tokens = tokens.withColumn("head", F.when(tag.isNotNull() & (second != "/"), head))
-    started = F.col("head").isNotNull()
-    kind = (
+    is_tag = (tok.startswith("<") & letter(second)) | (tok.startswith("</") & letter(third))
+    return F.when(is_tag, F.lower(F.regexp_extract(tok, P.TAG_NAME, 1)))
+
+
+def head_of(tok: Column, tag: Column) -> Column:
+    """The start tag alone; '' when the page ends inside it, NULL for everything else."""
+    whole = tag.isin(P.RAW_ELEMENTS + P.TEXT_ELEMENTS)
+    head = F.when(whole, F.regexp_extract(tok, P.OPEN_TAG, 0)).otherwise(F.when(tok.endswith(">"), tok).otherwise(""))
+    return F.when(tag.isNotNull() & (F.substring(tok, 2, 1) != "/"), head)
+
+
+def kind_of(tok: Column, tag: Column, head: Column) -> Column:
+    """text, comment, decl, open, close, void, raw (script, style), rawtext (title, ...)."""
+    started = head.isNotNull()
+    return (
         F.when(tok.isNull() | ~tok.startswith("<") | (tok == "<"), "text")
-        .when(F.col("head") == "", "decl")
-        .when(started & tag_in(P.RAW_ELEMENTS), "raw")
-        .when(started & tag_in(P.TEXT_ELEMENTS), "rawtext")
-        .when(started & tag_in(P.VOID_TAGS), "void")
+        .when(head == "", "decl")
+        .when(started & tag.isin(P.RAW_ELEMENTS), "raw")
+        .when(started & tag.isin(P.TEXT_ELEMENTS), "rawtext")
+        .when(started & tag.isin(P.VOID_TAGS), "void")
         .when(started, "open")
         .when(tag.isNotNull(), "close")
         .when(
             tok.startswith("<!--")
             | tok.startswith("<![CDATA[")
-            | (tok.startswith("</") & (third != ">")),
+            | (tok.startswith("</") & (F.substring(tok, 3, 1) != ">")),
             "comment",
         )
         .otherwise("decl")
     )
-    return tokens.withColumns({"kind": kind, "self_closed": F.coalesce(F.col("head").endswith("/>"), F.lit(False))})
-
 
-def element_ends(tokens: DataFrame) -> DataFrame:
-    """Add `end`, the position of the last token inside each element (NULL for non-elements).
 
-    1. A start tag and an end tag match when they are neighbours on one nesting level of
-       their own tag name.
-    2. `depth` counts matched pairs only, so stray and unclosed tags do not disturb it.
-    3. An element ends at its own end tag or where an element around it ends, whichever
-       comes first; one without an end tag also ends where HTML lets its end tag be left out.
-    4. A paragraph ends before the first start tag that cannot stand in one, wherever its end tag is.
-    5. Inside svg and math, a start tag that ends with "/>" is a whole element.
+def classify(tokens: DataFrame) -> DataFrame:
+    tok, tag, head = F.col("tok"), F.col("tag"), F.col("head")
+    tokens = tokens.withColumn("tag", tag_of(tok))
+    tokens = tokens.withColumn("head", head_of(tok, tag))
+    return tokens.withColumn("kind", kind_of(tok, tag, head))
+
+
+# Start tags whose attributes are read when a page is rendered.
+ATTRIBUTED = ["a", "img", "code", "ol"]
+#: What the elements around a token tell about it, beside the removing phases: bits of `inside`.
+INLINE = {
+    "bold": (32, ["b", "strong"]),
+    "em": (64, ["em", "i"]),
+    "code": (128, ["code"]),
+    "pre": (256, ["pre"]),
+    "heading": (512, P.HEADINGS),
+    "item": (1024, ["li"]),
+    "link": (2048, ["a"]),
+}
+
+
+def bits_of(token: Column) -> Column:
+    """The flags of a start tag as bits: removing phases, elements that go whole, inline state."""
+    tag, style = token["tag"], token["style"]
+    started = token["head"] != ""
+    bits = [
+        (elements.HIDDEN, fn.style_is_hidden(style) | token["bare"]),
+        (elements.OFF_SCREEN, fn.style_is_off_screen(style)),
+        (elements.SAME_COLOR, fn.style_is_same_color(style)),
+        (elements.NOSCRIPT, tag == "noscript"),
+        (elements.STRIPPED, tag.isin("script", "style", "meta", "link")),
+    ]
+    styled = sum((F.when(hit, bit).otherwise(0) for bit, hit in bits[:3]), F.lit(0))
+    total = F.when(style.isNotNull() | token["bare"], styled).otherwise(0)
+    for bit, hit in bits[3:]:
+        total = total + F.when(hit, bit).otherwise(0)
+    named = F.lit(0)
+    for name, (bit, tags) in INLINE.items():
+        hit = tag.isin(tags) & (fn.attribute(token["attrs"], "href") != "") if name == "link" else tag.isin(tags)
+        named = F.when(hit, bit).otherwise(named)
+    return F.when(started, total + named).otherwise(0)
+
+
+#: What the replay is told of a token by its first character.
+MARKS = {"open": "+", "void": "*", "raw": "=", "rawtext": "=", "close": "-", "comment": "!", "decl": "?"}
+
+
+def with_elements(pages: DataFrame, html: str = "html", reopens: bool = False) -> DataFrame:
+    """`pages` and `_tokens`: an array of `tok, kind, tag, attrs, bits`, and of what `functions.elements` finds:
+
+    `end` (last token of an element), `inside` (bits of the elements around, own ones included), `again`
+    (counts of elements opened anew), `nth` and `up` (number among its parent's elements, the parent),
+    `place` (the table it moves before, or itself), `last` (1 for the last element of a list item), `run` (number of the stretch between blocks), `heading` (its level), `path`
+    (quotes and list items around, and whether another block is in them) and `marks` (inline elements
+    around that markdown writes).  Narrow.  NULL html has a NULL array.
+
+    `reopens`: formatting elements that a block's end closes are opened anew after it, as a browser does.
     """
-    kind, pos = F.col("kind"), F.col("pos")
-    whole = F.col("self_closed")
-    foreign = tag_in(P.FOREIGN_TAGS)
-    inside = F.when(foreign & (kind == "open") & ~whole, 1).when(foreign & (kind == "close"), -1).otherwise(0)
-    tokens = tokens.withColumn("_foreign", F.sum(inside).over(in_order()))
-    closed = (kind == "open") & whole & (foreign | (F.col("_foreign") > 0))
-    tokens = tokens.withColumn("kind", F.when(closed, "void").otherwise(kind)).drop("_foreign", "self_closed")
-    opens, closes = kind == "open", kind == "close"
-    step = F.when(opens, 1).when(closes, -1).otherwise(0)
-    t = tokens.withColumn("_level", F.sum(step).over(in_order("tag")) + F.when(closes, 1).otherwise(0))
-
-    level = Window.partitionBy(*PAGE, "tag", "_level").orderBy("pos")
-    t = t.withColumns(
-        {
-            "_next": F.when(F.lead("kind").over(level) == "close", F.lead("pos").over(level)),
-            "_prev": F.lag("kind").over(level),
-        }
-    )
-    t = t.withColumns(
-        {
-            "_close": F.when(opens, F.col("_next")),
-            "_pair": F.when(opens & F.col("_next").isNotNull(), 1)
-            .when(closes & (F.col("_prev") == "open"), -1)
-            .otherwise(0),
-        }
-    )
-    pair = F.col("_pair")
-    t = t.withColumn("_depth", F.sum(pair).over(in_order()))
-    # Level at which the token stands inside its element / beside its siblings.
-    t = t.withColumns(
-        {
-            "_inner": F.col("_depth") + F.when(pair == -1, 1).otherwise(0),
-            "_outer": F.col("_depth") + F.when(pair == -1, 1).otherwise(0) - F.when(pair == 1, 1).otherwise(0),
-        }
-    )
 
-    # Running frames over descending positions: "the nearest one after this token".
-    def after(level: str):
-        later = Window.partitionBy(*PAGE, level).orderBy(F.desc("pos"))
-        return later.rowsBetween(Window.unboundedPreceding, -1)
-
-    t = t.withColumn("_enclosing", F.min(F.when(pair == -1, pos)).over(after("_inner")))
-    unclosed = opens & (pair == 0)
-    # The nearest later sibling start tag that matters to a family, and what it means:
-    # even codes end the element, odd ones (an unclosed element of another kind) shield it.
-    starts, beside = opens | (kind == "void"), after("_outer")
-    siblings = {}
-    for family, (_, enders, ended_too) in P.OPTIONAL_END.items():
-        shields = unclosed & ~tag_in(ended_too) if ended_too else unclosed
-        event = F.when(starts & tag_in(enders), pos * 2).when(shields, pos * 2 + 1)
-        siblings[f"_next_{family}"] = F.min(event).over(beside)
-    t = t.withColumns(siblings)
-
-    later = Window.partitionBy(*PAGE).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    breaks = F.when(starts & tag_in(P.OPTIONAL_END["p"][1]), pos)
-    t = t.withColumn("_break", F.min(breaks).over(later))
-    nearest = F.lit(None).cast("int")
-    for family, (members, _, _) in P.OPTIONAL_END.items():
-        nearest = F.when(tag_in(members), F.col(f"_next_{family}")).otherwise(nearest)
-    sibling_end = F.when(nearest % 2 == 0, (nearest / 2).cast("int"))
-    enclosing = F.coalesce(F.col("_enclosing"), F.lit(END_OF_PAGE + 1))
-    end = (
-        F.when(kind.isin("void", "raw", "rawtext"), pos)
-        .when(opens & (pair == 1) & (tag_in(["p"])) & (F.col("_break") < F.least(enclosing, "_close")), F.col("_break") - 1)
-        .when(opens & (pair == 1) & (enclosing < F.col("_close")), enclosing - 1)
-        .when(opens & (pair == 1), F.col("_close"))
-        .when(opens, F.least(F.coalesce(sibling_end, enclosing), enclosing) - 1)
+    def each(column: str, step) -> Column:
+        return F.transform(F.col(column), step)
+
+    def more(token: Column, **made: Column) -> Column:
+        return F.struct(*[token[c].alias(c) for c in kept], *[v.alias(k) for k, v in made.items()])
+
+    # One step an attribute: a lambda evaluates what it mentions as often as it mentions it.
+    df = pages.withColumn("_tokens", F.transform(fn.matches(F.col(html), P.TOKEN), lambda t: F.struct(t.alias("tok"), tag_of(t).alias("tag"))))
+    kept = ["tok", "tag"]
+    df = df.withColumn("_tokens", each("_tokens", lambda t: more(t, head=head_of(t["tok"], t["tag"]))))
+    kept = ["tok", "tag", "head"]
+    wanted = lambda t: (t["head"] != "") & (t["tag"].isin(ATTRIBUTED) | t["head"].rlike("(?i)style|hidden"))
+    df = df.withColumn("_tokens", each("_tokens", lambda t: more(t, kind=kind_of(t["tok"], t["tag"], t["head"]), attrs=F.when(wanted(t), fn.attributes(t["head"])))))
+    kept = ["tok", "tag", "head", "kind", "attrs"]
+    bare = lambda t: F.coalesce(F.exists(t["attrs"], lambda a: a["name"] == "hidden"), F.lit(False))
+    df = df.withColumn("_tokens", each("_tokens", lambda t: more(t, style=fn.attribute(t["attrs"], "style"), bare=bare(t))))
+    shown = lambda t: F.when(t["tag"].isin(ATTRIBUTED), t["attrs"])
+    df = df.withColumn(
+        "_tokens",
+        each("_tokens", lambda t: F.struct(t["tok"].alias("tok"), t["tag"].alias("tag"), t["kind"].alias("kind"), shown(t).alias("attrs"), F.coalesce(bits_of(t), F.lit(0)).alias("bits"), t["head"].endswith("/>").alias("whole"))),
     )
-    return t.withColumns({"end": end.cast("int"), "paired": pair != 0}).drop(
-        "_level", "_next", "_prev", "_close", "_pair", "_depth", "_inner", "_outer",
-        "_enclosing", "_break", *siblings,
-    )
+
+    def name(t: Column) -> Column:
+        mark = F.lit("")
+        for kind, sign in MARKS.items():
+            mark = F.when(t["kind"] == kind, sign).otherwise(mark)
+        mark = F.when((t["kind"] == "open") & t["whole"], "/").otherwise(mark)
+        return F.when(t["kind"] == "text", F.when(t["tok"].rlike(f"[^{P.HTML_WS}]"), "").otherwise(" ")).otherwise(F.concat(mark, F.coalesce(t["tag"], F.lit(""))))
+
+    df = df.withColumn("_replay", (elements.replay_reopening if reopens else elements.replay)(each("_tokens", name), each("_tokens", lambda t: t["bits"])))
+    found = [F.col(f"_replay.{n}").alias(n) for n in elements.NUMBERS]
+    return df.withColumn("_tokens", F.when(F.col("_tokens").isNotNull(), F.arrays_zip("_tokens", *found))).drop("_replay")
+
+
+def list_item(token: Column, parent: Column) -> Column:
+    """A list item's marker, its list, and whether the list ends the item around it."""
+    start = fn.attribute(parent["_tokens"]["attrs"], "start")
+    number = F.when(F.coalesce(start, F.lit("")) != "", F.coalesce(start.try_cast("int"), F.lit(1))).otherwise(1) + token["nth"]
+    marker = F.when(parent["_tokens"]["tag"] == "ol", F.concat(number.cast("string"), F.lit(".  "))).otherwise("-   ")
+    return F.struct(marker.alias("marker"), token["up"].alias("list"), (parent["last"] == 1).alias("tight"))
+
+
+def token_rows(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = (), reopens: bool = False) -> DataFrame:
+    """One row per token with the columns of `with_elements`, beside the columns in `carry`; narrow."""
+    cut = with_elements(pages.select(*carry, F.col(html).alias("_html")), "_html", reopens)
+    rows = cut.select(*carry, F.posexplode("_tokens").alias("pos", "_t"))
+    return rows.select(*carry, "pos", *[F.col(f"_t._tokens.{c}").alias(c) for c in ("tok", "tag", "kind", "attrs", "bits")], *[F.col(f"_t.{n}").alias(n) for n in elements.NUMBERS])

@@ -11,6 +11,8 @@ class SanitizeOptions:
     #: Longest text, in characters, that a base64 run may stand for to be decoded; None decodes every run.
     max_base64_decode_length: int | None = None
     custom_patterns: tuple[str, ...] = ()
+    #: Open bold, italics, links and the like anew after a block that ended before them, as a browser does.
+    reopen_formatting: bool = False
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "custom_patterns", tuple(self.custom_patterns))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltscreen.functions import patterns as P
 from siltscreen.functions import text as fn
+from siltscreen.functions import elements
 from siltscreen.operators import delimiters, encoded, exfiltration, html_clean, html_tokens, lines
 from siltscreen.operators import markdown, reports, routing, unicode
 from siltscreen.operators.html_tokens import ROW_KEY
@@ -207,22 +208,18 @@ def c07(spark, sf):
     return html_clean.html_stats(pages(spark, sf)).select("page_id", "html_comments")
 
 
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_clean.page_structure(pages(spark, sf_dir).drop(ROW_KEY), carry=("page_id",)).withColumn("pos", F.col("pos").cast("bigint"))
+
+
 def c08(spark, sf):
-    ends = html_tokens.element_ends(_tokens(spark, sf))
-    flagged = html_clean.flag_elements(ends).filter(
-        F.col("hidden") | F.col("off_screen") | F.col("same_color") | (F.col("tag") == "noscript")
-    )
-    return flagged.filter(F.col("end").isNotNull()).select(
-        "page_id", F.col("pos").cast("bigint").alias("pos"), "tag", F.col("end").cast("bigint").alias("end_pos")
-    )
+    removes = (F.col("bits").bitwiseAND(elements.REMOVED) != 0) & (F.col("end") >= 0)
+    return _elements(spark, sf).filter(removes).select("page_id", "pos", "tag", F.col("end").cast("bigint").alias("end_pos"))
 
 
 def c09(spark, sf):
-    ends = html_tokens.element_ends(_tokens(spark, sf))
-    marked = html_clean.mark_removed(html_clean.flag_elements(ends))
-    gone = marked.filter(~F.col("alive"))
     counters = [hit.alias(name) for name, hit in html_clean.token_counters().items()]
-    return gone.select("page_id", F.col("pos").cast("bigint").alias("pos"), *counters)
+    return _elements(spark, sf).filter(~F.col("alive")).select("page_id", "pos", *counters)
 
 
 def c10(spark, sf):

@@ -24,6 +24,6 @@ def sanitize_html(
     known = F.col("content").isNotNull()
     df, names = set_aside(df, html, ROW_KEY)
     reserved = {c: n for n, c in names.items()}
-    df = html_to_markdown(df, html, [reserved.get(k, k) for k in key] if key else None)
+    df = html_to_markdown(df, html, [reserved.get(k, k) for k in key] if key else None, options.reopen_formatting)
     df = df.withColumns({c: F.when(known, F.col(c)) for c in HTML_COUNTERS})
     return brought_back(with_stats(text_steps(df, "content", options)), names)

@@ -166,7 +166,7 @@ def test_markdown(pages):
     )
     texts = [c for c, _ in got]
     assert texts[0] == "a **b** _c **d**_ `e*f`" or texts[0] == "a **b** _c_ **_d_** `e*f`"
-    assert texts[1] == "3.  x\n4.  y\n\n    z\n    -   n\n\ntail"
+    assert texts[1] == "3.  x\n4.  y\n    \n    z\n    \n    -   n\n\ntail"
     assert texts[2] == "> q1\n> \n> q2\n\n---\n\nr"
     assert texts[3] == "\\# h\n\n1\\. x\n\na \\* b \\_ c \\` \\[d\\] \\\\\n\n\\- e\n\n\\> f"
     assert texts[4] == '[go](http://x/\\(a\\) "t \\"q\\"") plain ![z](a.png)'
@@ -194,6 +194,91 @@ def test_code_and_links_in_markdown(pages):
     assert texts[5] == "a [](u) b [c](w)"
 
 
+def test_quotes_and_lists_in_each_other(pages):
+    got = pages(
+        [
+            "<ul><li>a<p>b</p><blockquote>c</blockquote></ul>",
+            "<blockquote>q<ul><li>x<blockquote><p>y</p><ol><li>z<li>w</ol></blockquote><li>v</ul></blockquote>end",
+            "<ol start=9><li>n<ul><li>m</ul><li><p>l</p><li>k</ol>",
+            "<ul><li>a<ul><li>b</ul></ul><p>c</p>",
+            "<ul><li>one<br>two<li><pre>x\n y</pre></ul>",
+            "<blockquote>a<blockquote>b</blockquote></blockquote><blockquote>c</blockquote>",
+            "<ul><li>a</ul><ul><li>b</ul>",
+            "<ol><li hidden>gone<li>a<li>b</ol>",
+        ]
+    )
+    texts = [c for c, _ in got]
+    assert texts[0] == "-   a\n    \n    b\n    \n    > c"
+    assert texts[1] == "> q\n> \n> -   x\n>     \n>     > y\n>     > \n>     > 1.  z\n>     > 2.  w\n>     \n> -   v\n\nend"
+    assert texts[2] == "9.  n\n    -   m\n10.  l\n     \n11.  k"
+    assert texts[3] == "-   a\n    -   b\n\nc"
+    assert texts[4] == "-   one  \n    two\n-   x\n     y"
+    assert texts[5] == "> a\n> \n> > b\n\n> c"
+    assert texts[6] == "-   a\n\n-   b"
+    assert texts[7] == "1.  a\n2.  b"
+
+
+def test_marks_nest_as_their_elements_do(pages):
+    got = pages(
+        [
+            "<b>a<b>b</b></b>c",
+            "<i>x <b>y</b></i> <b><i>z</i></b>",
+            '<b><a href=u>k</a> l</b><a href=v><em>m</em></a>',
+            "<p><b>one<br>two</b></p><b> </b><p><b>three<p>four</b>five</p>six",
+            "<ul><li><b>p<li>q</ul>r",
+        ]
+    )
+    texts = [c for c, _ in got]
+    assert texts[0] == "**a**b****c"
+    assert texts[1] == "_x **y**_ **_z_**"
+    assert texts[2] == "**[k](u) l**[_m_](v)"
+    assert texts[3] == "**one  \ntwo**\n\n**three**\n\n**four**five\n\nsix"
+    assert texts[4] == "-   **p**\n-   **q**\n\nr"
+
+
+def test_raw_text_buttons_and_tables(pages):
+    got = pages(
+        [
+            "<iframe><p hidden>i</p></iframe>x",
+            "<xmp><b>raw &amp;</b></xmp>",
+            "<noembed><i hidden></noembed><noframes><i hidden></noframes>y",
+            "<button hidden>lost<button>kept</button>",
+            "<table><tr><td>cell</td></tr>text in table</table>",
+            "a<table><tr hidden>out<td>in</td></tr> <tr><td>c</td></tr></table>",
+            "<b hidden><p>lost</b>kept?</p>after",
+            "<td hidden>gone without a table</td>",
+        ]
+    )
+    texts = [c for c, _ in got]
+    assert [s.get("hidden_elements", 0) for _, s in got] == [0, 0, 0, 1, 0, 1, 1, 1]
+    assert texts[0].endswith("x") and texts[1] == "<b>raw &amp;</b>" and texts[3] == "kept"
+    assert texts[4] == "text in table\n\ncell"
+    assert texts[5] == "aout\n\nc"
+    assert texts[6] == "kept?\n\nafter" and texts[7] == ""
+
+
+def test_reopened_formatting(spark):
+    """With the option, formatting elements go on after a block that ended before them, and count again."""
+    rows = [
+        ("<b hidden><p>lost</b>kept?</p>after", "kept?\n\nafter", 2),
+        ("<div hidden><p>gone <b>bold</div><p>kept</p>", "**kept**", 1),
+        ("<p><i hidden>x</p><p>y</i>z</p>", "z", 2),
+        ("<a hidden>x<a>y</a>", "y", 1),
+        ("<b><i>x</b>y</i>z", "**_x_**_y_z", 0),
+        ("<table><tr><td><b>c</td></tr></table>d", "**c**\n\nd", 0),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "id int, html string")
+    done = sanitize_html(df, options=SanitizeOptions(reopen_formatting=True)).collect()
+    got = {r.id: (r.content, r.stats.hidden_elements) for r in done}
+    assert got == {i: r[1:] for i, r in enumerate(rows)}
+
+
+def test_deep_and_crossing_pages_stay_linear(pages):
+    deep = "<div>" * 20_000 + "x" + "<p><b>" * 5_000 + "</i></b></p>" * 5_000
+    (content, stats), = pages([deep + "<div hidden>z</div>"])
+    assert stats == {"hidden_elements": 1} and content.startswith("x")
+
+
 def test_clean_html_keeps_the_rest_as_it_was(pages):
     got = pages(['<P  CLASS=x>a</P ><div hidden>b</div><script>c</script><!-- top -->'], html_clean, "clean_html")
     assert got[0][0] == "<P  CLASS=x>a</P ><!-- top -->"

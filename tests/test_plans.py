@@ -29,9 +29,17 @@ def test_text_path_does_not_shuffle(spark):
 def test_html_path_shuffles_once_before_the_tokens(spark):
     text = plan(sanitize_html(pages(spark)))
     assert text.count("Exchange") == 1
-    # The exchange moves whole pages: it stands below the generator that cuts them up.
-    assert text.index("Generate posexplode") < text.index("Exchange")
-    assert "Join" not in text
+    # The exchange moves whole pages: what cuts them up stands above it, and stays one row a page.
+    assert text.index("regexp_extract_all") < text.index("Exchange")
+    assert not any(node in text for node in ("Join", "Sort", "Window", "Aggregate", "posexplode"))
+
+
+def test_counters_and_clean_markup_need_no_exchange(spark):
+    from siltscreen.operators.html_clean import html_clean, html_stats
+
+    for run in (html_stats, html_clean):
+        text = plan(run(pages(spark)))
+        assert not any(node in text for node in ("Exchange", "Sort ", "Window", "Aggregate"))
 
 
 def test_totals_add_one_exchange_after_partial_sums(spark):
