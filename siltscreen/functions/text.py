@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltscreen.functions import patterns as P
+from siltscreen.functions.hosts import valid_host
 
 
 def count_matches(text: Column, pattern: str) -> Column:
@@ -121,7 +122,7 @@ def _is_absolute(url: Column) -> Column:
     valid = port.rlike(r"^[0-9]*\z") & (F.coalesce(F.regexp_replace(port, "^0+", "").try_cast("bigint"), F.lit(0)) <= 65535)
     valid = valid & (F.length(F.regexp_replace(port, "^0+", "")) <= 5)
     return url.rlike("^[A-Za-z][A-Za-z0-9+.-]*+:") & (
-        ~url.rlike("(?i)^(?:https?|ftp|wss?):") | (host.rlike(r"^[^\x00-\x20<>^|%\x7F#/:?@\[\\\]]++\z|^\[[0-9A-Fa-f:.]+\]\z") & valid)
+        ~url.rlike("(?i)^(?:https?|ftp|wss?):") | (valid_host(host) & valid)
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltscreen.functions import patterns as P
+from siltscreen.functions.phrases import remove_phrases
 
 
 def literal_pattern(phrase: str) -> str:
@@ -44,13 +45,35 @@ def llm_delimiters(df: DataFrame, text: str = "text") -> DataFrame:
     return _strip(df, P.DELIMITERS, P.ANY_DELIMITER, "llm_delimiters", text)
 
 
+#: More phrases than these are looked for by one automaton instead of a pattern each; the result is the same.
+FEW_PHRASES = 16
+#: Phrases of a table and their characters, at most: they go along with every task.
+MOST_PHRASES, MOST_CHARACTERS = 1_000_000, 64 << 20
+
+
+def phrase_list(table: DataFrame, phrase: str = "phrase", rank: str = "rank") -> tuple[str, ...]:
+    """The phrases of a table in order of their rank, equal ranks by phrase; null and repeated ones once or not at all.
+
+    The table's size is counted first: more than MOST_PHRASES rows or MOST_CHARACTERS is an error.
+    """
+    rows = table.select(F.col(phrase).alias("_phrase"), F.col(rank).alias("_rank")).filter("_phrase is not null and _phrase != ''")
+    rows = rows.groupBy("_phrase").agg(F.min("_rank").alias("_rank"))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("_phrase")), F.lit(0)).alias("c")).first()
+    if size.n > MOST_PHRASES or size.c > MOST_CHARACTERS:
+        raise ValueError(f"{size.n} phrases of {size.c} characters are more than go along with a task")
+    return tuple(r["_phrase"] for r in rows.orderBy("_rank", "_phrase").toLocalIterator())
+
+
 def custom_patterns(df: DataFrame, phrases: tuple[str, ...], text: str = "text") -> DataFrame:
-    """User phrases as case-insensitive literals, in list order."""
+    """User phrases as case-insensitive literals, in list order; `phrase_list` gives those of a table."""
     if any(p == "" for p in phrases):
         raise ValueError("a custom pattern must not be empty")
     if not phrases:
         zero = F.when(F.col(text).isNotNull(), F.lit(0).cast("bigint"))
         return df.withColumn("custom_patterns", zero)
+    if len(phrases) > FEW_PHRASES:
+        df = df.withColumn("_done", remove_phrases(F.col(text), tuple(phrases)))
+        return df.withColumns({"custom_patterns": F.col("_done.n"), text: F.col("_done.text")}).drop("_done")
     patterns = [literal_pattern(p) for p in phrases]
     gate = "|".join(f"(?:{p})" for p in patterns)
     return _strip(df, patterns, gate, "custom_patterns", text)

@@ -168,6 +168,20 @@ def _tokens(spark, sf) -> DataFrame:
     return html_tokens.html_tokens(pages(spark, sf), carry=("page_id",))
 
 
+def phrase_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two neighbouring words of the benchmark as a phrase, ranked by item and place."""
+    words = seeds.table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    pairs = words.filter("size(w) > 1").select("item_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.concat_ws(" ", F.slice("w", k, 2)))).alias("k", "phrase"))
+    return pairs.select("phrase", (F.col("item_id") * 1_000_000 + F.col("k")).alias("rank"))
+
+
+def d19_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the phrases of a table, some thousands of them, one after the other."""
+    docs = seeds.table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("n_chars"))
+    done = delimiters.custom_patterns(docs, delimiters.phrase_list(phrase_table(spark, sf_dir)))
+    return done.select("doc_id", F.md5("text").alias("content_md5"), (F.col("n_chars") - F.length("text")).cast("bigint").alias("removed_chars"))
+
+
 def _elements(spark, sf) -> DataFrame:
     return html_clean.flag_elements(_tokens(spark, sf)).withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -208,6 +222,20 @@ def c07(spark, sf):
     return html_clean.html_stats(pages(spark, sf)).select("page_id", "html_comments")
 
 
+def phrase_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two neighbouring words of the benchmark as a phrase, ranked by item and place."""
+    words = seeds.table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    pairs = words.filter("size(w) > 1").select("item_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.concat_ws(" ", F.slice("w", k, 2)))).alias("k", "phrase"))
+    return pairs.select("phrase", (F.col("item_id") * 1_000_000 + F.col("k")).alias("rank"))
+
+
+def d19_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the phrases of a table, some thousands of them, one after the other."""
+    docs = seeds.table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("n_chars"))
+    done = delimiters.custom_patterns(docs, delimiters.phrase_list(phrase_table(spark, sf_dir)))
+    return done.select("doc_id", F.md5("text").alias("content_md5"), (F.col("n_chars") - F.length("text")).cast("bigint").alias("removed_chars"))
+
+
 def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_clean.page_structure(pages(spark, sf_dir).drop(ROW_KEY), carry=("page_id",)).withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -527,6 +555,7 @@ QUERIES = {
     "b3_is_binary": b03,
     "b4_route": b04,
     "b4_routed_run": b04_run,
+    "d19_phrase_table": d19_phrases,
     "c1_html_tokens": c01,
     "c2_hidden_elements": c02,
     "c3_offscreen_elements": c03,
