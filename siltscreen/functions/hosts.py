@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ FORBIDDEN = r"[\x00-\x20<>^|%\x7F#/:?@\[\\\]]"
 BASE, T_MIN, T_MAX, SKEW, DAMP, BIAS, FIRST = 36, 1, 26, 38, 700, 72, 128
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once: inside a lambda a repeated expression is evaluated every time."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _number(part: Column) -> Column:
     """An IPv4 part: decimal, octal after 0, hexadecimal after 0x; NULL for none, 2**40 for one too large."""
     hexa = F.regexp_replace(F.substr(part, F.lit(3)), "^0+", "")
@@ -28,12 +35,14 @@ def _number(part: Column) -> Column:
 def valid_ipv4(host: Column) -> Column:
     """One to four numbers; all but the last fit a byte, the last fills the rest. One dot may end them."""
     parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.", -1)
-    numbers = F.transform(parts, _number)
-    size = F.size(parts)
-    last = F.element_at(numbers, -1)
-    front = F.slice(numbers, F.lit(1), F.greatest(size - 1, F.lit(0)))
-    room = F.when(size == 1, F.lit(1 << 32)).when(size == 2, 1 << 24).when(size == 3, 1 << 16).otherwise(256)
-    return F.coalesce((size <= 4) & F.forall(numbers, lambda n: n.isNotNull()) & F.forall(front, lambda n: n < 256) & (last < room), F.lit(False))
+
+    def fit(numbers: Column) -> Column:
+        size = F.size(numbers)
+        front = F.slice(numbers, F.lit(1), F.greatest(size - 1, F.lit(0)))
+        room = F.when(size == 1, F.lit(1 << 32)).when(size == 2, 1 << 24).when(size == 3, 1 << 16).otherwise(256)
+        return (size <= 4) & F.forall(numbers, lambda n: n.isNotNull()) & F.forall(front, lambda n: n < 256) & (F.element_at(numbers, -1) < room)
+
+    return F.coalesce(let(F.transform(parts, _number), fit), F.lit(False))
 
 
 def valid_ipv6(host: Column) -> Column:
@@ -56,7 +65,7 @@ def _adapted(delta: Column, size: Column, first: Column) -> Column:
     # Numbers here stay under 2**32, so a few divisions by 35 are all there can be.
     step = lambda s, _: F.when(s["d"] > limit, F.struct(F.floor(s["d"] / (BASE - T_MIN)).cast("bigint").alias("d"), (s["k"] + BASE).alias("k"))).otherwise(s)
     end = F.aggregate(F.sequence(F.lit(1), F.lit(7)), start, step)
-    return F.transform(F.array(end), lambda e: e["k"] + F.floor((BASE - T_MIN + 1) * e["d"] / (e["d"] + SKEW)).cast("bigint"))[0]
+    return let(end, lambda e: e["k"] + F.floor((BASE - T_MIN + 1) * e["d"] / (e["d"] + SKEW)).cast("bigint"))
 
 
 def decoded_label(label: Column) -> Column:
@@ -86,7 +95,7 @@ def decoded_label(label: Column) -> Column:
 
     end = F.aggregate(F.filter(digits, lambda c: c != ""), start, step)
     # A number that stops half way, and nothing but ASCII, are no Bootstring.
-    return F.transform(F.array(end), lambda e: F.when(e["ok"] & (e["w"] == 1) & (e["k"] == BASE) & F.exists(e["out"], lambda n: n > 127), e["out"]))[0]
+    return let(end, lambda e: F.when(e["ok"] & (e["w"] == 1) & (e["k"] == BASE) & F.exists(e["out"], lambda n: n > 127), e["out"]))
 
 
 def valid_label(label: Column) -> Column:
@@ -99,13 +108,15 @@ def valid_label(label: Column) -> Column:
 
 def valid_host(host: Column) -> Column:
     """Whether an address with this host can be read: no forbidden character, valid numbers, valid labels."""
-    name = F.regexp_replace(host, IGNORED, "")
-    labels = F.split(F.regexp_replace(name, r"\.$", ""), r"\.", -1)
-    numeric = F.element_at(labels, -1).rlike("^(?:[0-9]+|0[xX][0-9A-Fa-f]*)$")
-    return (
-        F.when(host.startswith("["), valid_ipv6(host))
-        .when((name == "") | name.rlike(FORBIDDEN), False)
-        .when(numeric, valid_ipv4(name))
-        .when(name.rlike("(?i)(?:^|[.])xn--"), F.forall(labels, valid_label))
-        .otherwise(True)
-    )
+
+    def named(name: Column) -> Column:
+        bare = F.regexp_replace(name, r"\.$", "")
+        numeric = bare.rlike(r"(?:^|\.)(?:[0-9]+|0[xX][0-9A-Fa-f]*)$")
+        return (
+            F.when(name.rlike(f"^$|{FORBIDDEN}"), False)
+            .when(numeric, valid_ipv4(name))
+            .when(name.rlike("(?i)(?:^|[.])xn--"), F.forall(F.split(bare, r"\.", -1), valid_label))
+            .otherwise(True)
+        )
+
+    return let(host, lambda h: F.when(h.startswith("["), valid_ipv6(h)).otherwise(let(F.regexp_replace(h, IGNORED, ""), named)))

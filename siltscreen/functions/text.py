@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltscreen.functions import patterns as P
-from siltscreen.functions.hosts import valid_host
+from siltscreen.functions.hosts import let, valid_host
 
 
 def count_matches(text: Column, pattern: str) -> Column:
@@ -132,23 +132,21 @@ def suspicious_url(written: Column) -> Column:
     A browser drops tabs and line ends anywhere in an address, and control characters and spaces around
     it, before it reads the address; the length is that of the address as written.
     """
-    url = F.regexp_replace(F.regexp_replace(written, r"^[\x00-\x20]++|[\x00-\x20]++\z", ""), r"[\t\n\r]", "")
-    query = F.regexp_extract(url, r"^[^?#]*+\?([^#]*+)", 1)
-    pairs = F.filter(F.split(query, "&", -1), lambda p: p != "")
 
     def tell_tale(pair: Column) -> Column:
         name = _url_decoded(F.element_at(F.split(pair, "=", 2), 1))
         value = _url_decoded(F.coalesce(F.get(F.split(pair, "=", 2), F.lit(1)), F.lit("")))
-        return (
-            (F.length(value) > P.EXFIL_MAX_VALUE)
-            | value.rlike(P.EXFIL_VALUE)
-            | name.isin(P.EXFIL_PARAMS)
-        )
+        told = lambda v: (F.length(v) > P.EXFIL_MAX_VALUE) | v.rlike(P.EXFIL_VALUE)
+        return let(value, told) | name.isin(P.EXFIL_PARAMS)
 
-    return F.coalesce(
-        _is_absolute(url) & (F.exists(pairs, tell_tale) | (F.length(written) > P.EXFIL_MAX_URL)),
-        F.lit(False),
-    )
+    def read(url: Column) -> Column:
+        query = F.regexp_extract(url, r"^[^?#]*+\?([^#]*+)", 1)
+        pairs = F.filter(F.split(query, "&", -1), lambda p: p != "")
+        # The cheap tests first: few addresses have anything to tell.
+        return F.when(F.exists(pairs, tell_tale) | (F.length(written) > P.EXFIL_MAX_URL), _is_absolute(url)).otherwise(False)
+
+    url = F.regexp_replace(F.regexp_replace(written, r"^[\x00-\x20]++|[\x00-\x20]++\z", ""), r"[\t\n\r]", "")
+    return F.coalesce(let(url, read), F.lit(False))
 
 
 def trim_ws(text: Column) -> Column:

@@ -10,11 +10,11 @@ from siltscreen.sources import tables
 
 def test_looks_like_html(spark):
     cases = [
-        ("plain text", "/tmp/page.html", True),
-        ("plain text", "/tmp/page.htm", True),
-        ("plain text", "/tmp/page.xhtml", True),
-        ("plain text", "/tmp/icon.svg", True),
-        ("plain text", "/tmp/page.HTML", True),
+        ("tide table", "pier/may.html", True),
+        ("tide table", "pier/old/may.htm", True),
+        ("tide table", "may.v2.xhtml", True),
+        ("tide table", "/pier/buoy.svg", True),
+        ("tide table", "s3a://pier/MAY.HtMl", True),
         ("<!DOCTYPE html><html>", None, True),
         ("<html><body>hi", None, True),
         ("  \n  <!doctype html>", None, True),
