@@ -236,18 +236,18 @@ def d19_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.md5("text").alias("content_md5"), (F.col("n_chars") - F.length("text")).cast("bigint").alias("removed_chars"))
 
 
-def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_clean.page_structure(pages(spark, sf_dir).drop(ROW_KEY), carry=("page_id",)).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def c08(spark, sf):
     removes = (F.col("bits").bitwiseAND(elements.REMOVED) != 0) & (F.col("end") >= 0)
-    return _elements(spark, sf).filter(removes).select("page_id", "pos", "tag", F.col("end").cast("bigint").alias("end_pos"))
+    return _structure(spark, sf).filter(removes).select("page_id", "pos", "tag", F.col("end").cast("bigint").alias("end_pos"))
 
 
 def c09(spark, sf):
     counters = [hit.alias(name) for name, hit in html_clean.token_counters().items()]
-    return _elements(spark, sf).filter(~F.col("alive")).select("page_id", "pos", *counters)
+    return _structure(spark, sf).filter(~F.col("alive")).select("page_id", "pos", *counters)
 
 
 def c10(spark, sf):
