@@ -46,7 +46,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write `df` to the shared folder and read it from there; Spark removes it when it is no longer used."""
+    """Cut the lineage: write `df` to the shared folder and read it from there.
+
+    Spark removes it after use only with spark.cleaner.referenceTracking.cleanCheckpoints; else the folder is the caller's to empty.
+    """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
