@@ -1,9 +1,11 @@
 """Token counts that follow edits: a segment tree over each document's pre-tokens.
 
-A leaf is a stretch of text of some dozen words that begins at a space (or at the text's start), where no
-word, contraction or composed character can cross.  Inner nodes hold the characters and tokens below
-them.  An edit is located by descending the tree; the leaves it touches, and the one before where it
-removes their leading space, are encoded again, and the sums on the paths above them are updated.
+A leaf is a stretch of text of some dozen words that begins at the text's start, at white space, or at
+East Asian punctuation after a letter or digit: no word, contraction or composed character crosses there.
+Inner nodes hold the characters and tokens below them.  An edit is located by descending the tree; the
+leaves it touches, and the one before where it changes their first character, are encoded again, and the
+sums on the paths above them are updated.  A touched stretch that has grown is cut into leaves again, so
+leaves stay short however many edits follow; only a single word may be longer than that.
 """
 
 from __future__ import annotations
@@ -15,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from siltscreen.llm.bpe import Encoder, Vocabulary, encode_texts
+from siltscreen.llm.bpe import SPACES, Encoder, Vocabulary, encode_texts
 from siltscreen.llm.common import strings, with_text_columns, without
 from siltscreen.llm.lexicon import Lexicon
 
-#: Characters of a leaf, at least, unless the text ends or has no space.
+#: Characters of a leaf, at least, unless the text ends; a touched stretch of twice as many is cut again.
 LEAF = 256
-#: White space that leaves may begin with.
-BREAK = re.compile("[ \t\n\r]")
+#: What leaves may begin with.
+BREAK = re.compile("[" + "".join(map(chr, SPACES)) + r"]|(?<=[^\W_])[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f]")
 
 TREE = T.StructType().add("chars", T.ArrayType(T.IntegerType())).add("tokens", T.ArrayType(T.IntegerType()))
 EDIT = T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType()).add("text", T.StringType())
@@ -121,6 +123,47 @@ def edited(text: str, chars: np.ndarray, edits: list[dict]) -> tuple[str, list[R
     return "".join(out), made
 
 
+def pieces(region: Region) -> list[str]:
+    """The leaves that a region becomes: itself, or its parts if it has grown."""
+    if len(region.text) <= 2 * LEAF:
+        return [region.text]
+    cuts = [*leaves(region.text), len(region.text)]
+    return [region.text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def renewed(chars: np.ndarray, tokens: np.ndarray, regions: list[tuple[Region, list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """The tree with each region's leaves replaced by ones of the given characters and tokens.
+
+    Regions of one leaf each are written into its first leaf, the others become empty and only the paths
+    above change.  Where a region is several leaves, or half of all leaves are empty, the sums are made
+    anew from the leaves, and neighbours that fit into one become one; nothing is encoded for that.
+    """
+    half = len(chars) // 2
+    if all(len(c) == 1 for _, c, _ in regions):
+        for r, c, t in regions:
+            for tree, value in ((chars, c[0]), (tokens, t[0])):
+                update(tree, half + r.low, value)
+                for leaf in range(r.low + 1, r.high + 1):
+                    update(tree, half + leaf, 0)
+        if 4 * np.count_nonzero(chars[half:]) >= half:
+            return chars, tokens
+        regions = []
+    found: list[tuple[list[int], list[int]]] = []
+    at = 0
+    for r, c, t in regions:
+        found += [(chars[half + at : half + r.low].tolist(), tokens[half + at : half + r.low].tolist()), (c, t)]
+        at = r.high + 1
+    found.append((chars[half + at :].tolist(), tokens[half + at :].tolist()))
+    new: list[list[int]] = []
+    for c, t in ((c, t) for cs, ts in found for c, t in zip(cs, ts, strict=True) if c):
+        if new and new[-1][0] + c <= LEAF:
+            new[-1] = [new[-1][0] + c, new[-1][1] + t]
+        else:
+            new.append([c, t])
+    leaf = np.array(new or [[0, 0]], np.int32)
+    return build(leaf[:, 0], leaf[:, 1])
+
+
 def _before(chars: np.ndarray, node: int) -> int:
     total = 0
     while node > 1:
@@ -164,28 +207,24 @@ def apply_edits(docs: DataFrame, encoder: Encoder, text: str = "text", edits: st
     """Apply each row's `edits` (array of start, stop, text) to its text, tree and count.
 
     Adds `n_encoded`, the characters that were encoded again.  Null edits leave the row as it is.  See
-    `edited` for places beyond the text and overlaps.
+    `edited` for places beyond the text and overlaps.  A null text counts as empty and becomes empty; an
+    empty table gives an empty one; columns named like the results give way to them.
     """
 
     def make(texts: pa.Array, changes: pa.Array, trees: pa.Array) -> list[pa.Array]:
         v, lexicon = encoder.parts()
         old = [(np.array(t["chars"], np.int32), np.array(t["tokens"], np.int32)) for t in trees.to_pylist()]
         results = [edited(t or "", c, e or []) for t, (c, _), e in zip(texts.to_pylist(), old, changes.to_pylist(), strict=True)]
-        counts = iter(_count([r.text for _, regions in results for r in regions], v, lexicon).tolist())
-        encoded = []
-        for (chars, tokens), (_, regions) in zip(old, results, strict=True):
-            half = len(chars) // 2
-            for r in regions:
-                update(chars, half + r.low, len(r.text))
-                update(tokens, half + r.low, next(counts))
-                # The region's text now counts in its first leaf; the others are empty.
-                for leaf in range(r.low + 1, r.high + 1):
-                    update(chars, half + leaf, 0)
-                    update(tokens, half + leaf, 0)
+        parts = [[pieces(r) for r in regions] for _, regions in results]
+        counts = iter(_count([p for row in parts for own in row for p in own], v, lexicon).tolist())
+        new, encoded = [], []
+        for (chars, tokens), (_, regions), row in zip(old, results, parts, strict=True):
+            known = [(r, [len(p) for p in own], [next(counts) for _ in own]) for r, own in zip(regions, row, strict=True)]
+            new.append(renewed(chars, tokens, known) if known else (chars, tokens))
             encoded.append(sum(len(r.text) for r in regions))
         raw = [t.encode() for t, _ in results]
         data = np.frombuffer(b"".join(raw), np.uint8)
-        return [strings(data, np.cumsum([0, *map(len, raw)])), _tree_array(old), pa.array([int(t[1]) for _, t in old], pa.int64()), pa.array(encoded, pa.int64())]
+        return [strings(data, np.cumsum([0, *map(len, raw)])), _tree_array(new), pa.array([int(t[1]) for _, t in new], pa.int64()), pa.array(encoded, pa.int64())]
 
     made = T.StructType().add(text, T.StringType()).add(tree, TREE).add(count, T.LongType()).add("n_encoded", T.LongType())
     return with_text_columns(docs, text, make, made, without(docs, text, edits, tree, count), (edits, tree))

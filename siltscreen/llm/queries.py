@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
@@ -101,6 +101,15 @@ def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, bpe.vocabulary_encoder(spark, tokenizer_path()))
 
 
+def planned_edits() -> Column:
+    """Three edits of a document at places that follow from its id: a replacement, a deletion and an insertion of its own words."""
+    size = F.coalesce(F.length("text"), F.lit(0))
+    place = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), (size + 1).cast("bigint")).cast("int")
+    cut = lambda k: F.coalesce(F.substr("text", place(k) + 1, F.lit(24)), F.lit(""))
+    change = lambda start, n, new: F.struct(start.alias("start"), (start + n).alias("stop"), new.alias("text"))
+    return F.array(change(place(1), 12, cut(4)), change(place(2), 9, F.lit("")), change(place(3), 0, cut(5)))
+
+
 @query
 def op8_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents before and after three edits each, by segment trees."""
@@ -108,13 +117,7 @@ def op8_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoder = bpe.make_encoder(docs, tokenizer_path())
-    # Places follow from the id: a replacement, a deletion and an insertion of the text's own words.
-    size = F.coalesce(F.length("text"), F.lit(0))
-    place = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), (size + 1).cast("bigint")).cast("int")
-    cut = lambda k: F.coalesce(F.substr("text", place(k) + 1, F.lit(24)), F.lit(""))
-    change = lambda start, n, new: F.struct(start.alias("start"), (start + n).alias("stop"), new.alias("text"))
-    planned = F.array(change(place(1), 12, cut(4)), change(place(2), 9, F.lit("")), change(place(3), 0, cut(5)))
-    counted = edits.count_trees(docs.withColumn("edits", planned), encoder)
+    counted = edits.count_trees(docs.withColumn("edits", planned_edits()), encoder)
     before = counted.withColumn("n_tokens_before", F.col("n_tokens"))
     done = edits.apply_edits(before, encoder)
     return done.select("doc_id", "n_tokens_before", "n_tokens", "n_encoded", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))

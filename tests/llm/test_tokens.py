@@ -224,10 +224,65 @@ def test_second_edits_use_the_updated_tree(awkward):
         assert r.text == text and r.n_tokens == len(want(text)) and r.n_encoded == 0
 
 
+def tree_after(text, chars, tokens, changes):
+    new, regions = edits.edited(text, chars, [{"start": a, "stop": b, "text": t} for a, b, t in changes])
+    known = []
+    for r in regions:
+        own = edits.pieces(r)
+        known.append((r, [len(p) for p in own], [len(want(p)) for p in own]))
+    assert new == apply_plainly(text, changes)
+    return new, *edits.renewed(chars, tokens, known)
+
+
+def first_tree(text):
+    cuts = [*edits.leaves(text), len(text)]
+    return edits.build(np.diff(cuts), np.array([len(want(text[a:b])) for a, b in zip(cuts, cuts[1:])]))
+
+
+def test_leaves_stay_short_under_many_edits():
+    rng = random.Random(6)
+    text = "some words of a text, and more. " * 80
+    chars, tokens = first_tree(text)
+    for k in range(3000):
+        at = rng.randrange(len(text) + 1) if k % 3 else 700  # every third one meets the same place
+        text, chars, tokens = tree_after(text, chars, tokens, [(at, at + (k % 11 == 0) * 30, rng.choice(["x", " y", "it's ", "\u3000"]))])
+        assert chars[len(chars) // 2 :].max() < 1024
+    assert chars[1] == len(text) and tokens[1] == len(want(text))
+    paste = "pasted words " * 30_000
+    text, chars, tokens = tree_after(text, chars, tokens, [(900, 900, paste)])
+    assert chars[len(chars) // 2 :].max() < 1024 and tokens[1] == len(want(text))
+    text, chars, tokens = tree_after(text, chars, tokens, [(300, len(text) - 300, "")])
+    assert len(chars) <= 64 and tokens[1] == len(want(text))
+
+
+def test_leaves_of_a_text_without_ascii_white_space():
+    rng = random.Random(7)
+    text = "".join(rng.choice("\u4f60\u597d\u518d\u89c1e\u0301s'1_\u3002\uff0c\uff01") for _ in range(12_000))
+    chars, tokens = first_tree(text)
+    assert np.count_nonzero(chars[len(chars) // 2 :]) > 20 and tokens[1] == len(want(text))
+    for _ in range(300):
+        at = rng.randrange(len(text) + 1)
+        text, chars, tokens = tree_after(text, chars, tokens, [(at, at + rng.choice([0, 1, 2, 40]), rng.choice(["", "\u3002", "\uff01a", "\u0301", "'s"]))])
+        assert chars[1] == len(text) and tokens[1] == len(want(text))
+        assert chars[len(chars) // 2 :].max() < 1024
+
+
+def test_edits_of_no_rows(awkward):
+    encoder = bpe.make_encoder(awkward, PATH)
+    none = F.lit(None).cast("array<struct<start:int,stop:int,text:string>>")
+    empty = edits.count_trees(awkward.limit(0).withColumn("edits", none), encoder)
+    assert edits.apply_edits(empty, encoder).collect() == []
+
+
 def test_query_op8(spark):
     rows = queries.QUERIES["op8_edited_token_counts"](spark, SF).collect()
-    texts = {r.doc_id: r.text for r in queries.table(spark, SF, "documents").collect()}
-    assert len(rows) == len(texts)
-    assert all(r.n_tokens_before == len(want(texts[r.doc_id])) for r in rows)
+    docs = queries.table(spark, SF, "documents").select("doc_id", "text").withColumn("edits", queries.planned_edits()).collect()
+    assert len(rows) == len(docs)
+    plain = {r.doc_id: (r.text or "", [tuple(e) for e in r.edits]) for r in docs}
+    for r in rows:
+        text, changes = plain[r.doc_id]
+        after = apply_plainly(text, changes)
+        assert (r.n_tokens_before, r.n_tokens, r.n_chars) == (len(want(text)), len(want(after)), len(after))
+        assert r.text_sha256 == hashlib.sha256(after.encode()).hexdigest()
     # Short texts are one leaf; of long ones a part is encoded.
     assert all(r.n_encoded < r.n_chars / 2 for r in rows if r.n_chars > 8000)
