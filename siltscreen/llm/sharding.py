@@ -1,7 +1,7 @@
 """Histogram sort into shards: exact counts below key boundaries, refined until splitters are close enough.
 
 Rows are ordered by a hash of their text, then by a hash of their id, so equal texts lie together and yet
-a group of any size can be cut.  Each round counts bytes and rows between evenly spaced boundaries inside
+a group of any size can be cut; between shards it is cut only where it is larger than that can bear.  Each round counts bytes and rows between evenly spaced boundaries inside
 the intervals that still hold a cut, all partitions at once, until every cut is within the tolerance of
 its ideal place.  Then one exchange brings every row to its range; a row's slot is the exact number of
 rows before its range plus its place there.  DataFrame functions only.
@@ -23,9 +23,15 @@ ROW_BYTES = 8
 RANGE_BYTES = 32 << 20
 #: How far a cut may be from its ideal place, as a share of a range.
 TOLERANCE = 0.002
-#: Boundaries that one round counts at, at most: the bound of what comes to the driver.
+#: How far a cut between shards may be from there to leave equal texts together, as a share of a shard.
+GROUP_TOLERANCE = 0.025
+#: Ranges, at most; of a larger table they are larger.  Splitters and offsets are this many small rows.
+RANGES = 1 << 16
+#: Boundaries that one round counts at, at most: the bound of what comes to the driver.  A round narrows no more
+#: intervals than there are ranges, so it always has bits to count.
 PROBES = 1 << 20
 KEY_BITS = 128
+TEXT_BITS = 64
 FIRST_BITS = 16
 SIGN = -(1 << 63)
 
@@ -57,7 +63,7 @@ class Cuts:
 
 
 def _numbers(spark: SparkSession, rows: list[tuple[int, ...]], names: list[str]) -> DataFrame:
-    """A small table of integers, made from one literal."""
+    """A small table of integers (of at most RANGES rows), made from one literal."""
     if not rows:
         return spark.range(0).select(*[F.lit(None).cast("bigint").alias(n) for n in names])
     text = ";".join(",".join(map(str, r)) for r in rows)
@@ -66,7 +72,14 @@ def _numbers(spark: SparkSession, rows: list[tuple[int, ...]], names: list[str])
     return made.select(*[F.element_at(values, i + 1).cast("bigint").alias(n) for i, n in enumerate(names)])
 
 
-def find_cuts(keys: DataFrame, ranges: int | None, shards: int, range_bytes: int = RANGE_BYTES, tolerance: float = TOLERANCE) -> Cuts:
+def number_of_ranges(total_bytes: int, shards: int, range_bytes: int) -> int:
+    """A whole number for each shard, of about `range_bytes` unless that would be more than RANGES."""
+    if not 1 <= shards <= RANGES:
+        raise ValueError(f"shards must be from 1 to {RANGES}")
+    return shards * max(1, min(-(-total_bytes // (shards * range_bytes)), RANGES // shards))
+
+
+def find_cuts(keys: DataFrame, shards: int, range_bytes: int = RANGE_BYTES, tolerance: float = TOLERANCE, group_tolerance: float = GROUP_TOLERANCE) -> Cuts:
     """Splitters between ranges of near equal bytes, for rows `_high, _low, _size`."""
     spark = keys.sparkSession
     depth, width = 0, FIRST_BITS
@@ -95,8 +108,8 @@ def find_cuts(keys: DataFrame, ranges: int | None, shards: int, range_bytes: int
             by_node.setdefault(prefixes[r._node], []).append((r._digit, r.b, r.n))
         if depth == 0:
             total, rows = sum(r.b for r in found), sum(r.n for r in found)
-            if ranges is None:
-                ranges = shards * max(1, -(-total // (shards * range_bytes)))
+            ranges = number_of_ranges(total, shards, range_bytes)
+            each = ranges // shards
             ideal = total / ranges
             wanted = {0: list(range(1, ranges))}
         following: dict[int, tuple[int, int]] = {}
@@ -116,7 +129,9 @@ def find_cuts(keys: DataFrame, ranges: int | None, shards: int, range_bytes: int
                 shift = KEY_BITS - depth - width
                 options = [(abs(edges[at][0] - place), lower << shift, edges[at][1]), (abs(edges[at + 1][0] - place), (lower + 1) << shift, edges[at + 1][1])]
                 distance, splitter, below = min(options)
-                if distance <= tolerance * ideal or shift == 0:
+                # At this depth the boundaries on both sides lie between different texts.
+                apart = shift == KEY_BITS - TEXT_BITS and cut % each == 0 and distance <= group_tolerance * each * ideal
+                if distance <= tolerance * ideal or apart or shift == 0:
                     done[cut] = (splitter, below)
                 else:
                     following[lower] = edges[at]
@@ -124,7 +139,7 @@ def find_cuts(keys: DataFrame, ranges: int | None, shards: int, range_bytes: int
         depth += width
         open_nodes, wanted = following, waiting
         room = max(1, PROBES // max(1, len(open_nodes))).bit_length() - 1
-        width = min(max(4, min(16, room)), (64 if depth < 64 else KEY_BITS) - depth) if depth < KEY_BITS else 0
+        width = min(max(1, min(16, room)), (TEXT_BITS if depth < TEXT_BITS else KEY_BITS) - depth)
     order = [done[c] for c in sorted(done)]
     return Cuts([s for s, _ in order], [n for _, n in order], rows, total, rounds)
 
@@ -169,8 +184,9 @@ def with_keys(docs: DataFrame, text: Column, row: Column) -> DataFrame:
 def shard(docs: DataFrame, text: str = "text", row: str = "doc_id", shards: int = SHARDS, range_bytes: int = RANGE_BYTES, tolerance: float = TOLERANCE) -> DataFrame:
     """Add `size`, `shard` and `slot`: shards hold near equal bytes, slots are gapless from 0 in each.
 
-    Null texts have no bytes (a row still counts ROW_BYTES).  Equal texts are neighbours, so they share
-    a shard except where a cut must go through their group.  Rows that are equal in text and id have one
+    Null texts have no bytes (a row still counts ROW_BYTES).  Equal texts are neighbours, and a
+    shard ends before or after them where that moves its end by no more than GROUP_TOLERANCE of a shard; only
+    larger groups are cut.  Rows that are equal in text and id have one
     key and stay together; their order among themselves is free.  An empty table gives an empty one.
     Columns named like the results give way to them.
     """
@@ -179,7 +195,7 @@ def shard(docs: DataFrame, text: str = "text", row: str = "doc_id", shards: int
     place = {c.lower(): F.col(n) for c, n in names.items()}
     keyed = with_keys(docs.select(*[col(c).alias(n) for c, n in names.items()]), place[text.lower()], place[row.lower()])
     # The rounds read keys and sizes only, which are written once.
-    cuts = find_cuts(stored(keyed.select("_high", "_low", "_size")), None, shards, range_bytes, tolerance)
+    cuts = find_cuts(stored(keyed.select("_high", "_low", "_size")), shards, range_bytes, tolerance)
     ranges = len(cuts.splitters) + 1
     each = max(1, ranges // shards)
     starts = [0, *cuts.rows_below]

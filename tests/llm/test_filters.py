@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from siltscreen.llm import decontaminate, quality, queries, sharding, toxicity, urls
@@ -364,6 +365,63 @@ def test_a_hot_text_is_cut_and_small_groups_are_not(table):
     assert sum(len(s) > 1 for t, s in cut.items() if t.startswith("text")) <= 7
 
 
+def key_of(text, row):
+    """The 128-bit key as two signed numbers, by the xxhash library; Spark's hash starts from 42 and passes nulls by."""
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    high = 42 if text is None else signed(xxhash.xxh64_intdigest(text.encode(), 42))
+    low = 42 if row is None else xxhash.xxh64_intdigest(str(row).encode(), 42)
+    return high, signed(xxhash.xxh64_intdigest(b"row", low))
+
+
+@pytest.mark.parametrize(("sf", "shards"), [(SF, 5), (LARGER, 24)])
+def test_shards_equal_brute_force(spark, sf, shards):
+    docs = queries.table(spark, sf, "documents").select("doc_id", "text")
+    found = sorted((r.shard, r.slot, key_of(r.text, r.doc_id), r.size, r.text) for r in sharding.shard(docs, shards=shards).collect())
+    keys = [f[2] for f in found]
+    assert keys == sorted(key_of(r.text, r.doc_id) for r in docs.collect())  # the order of shards and slots is that of the keys
+    total = sum(f[3] for f in found)
+    ends = np.cumsum([f[3] for f in found])
+    edges = np.append(0, ends)
+    differ = np.array([True, *[a[2][0] != b[2][0] for a, b in zip(found, found[1:])], True])
+    for cut in range(1, shards):
+        at = sum(f[0] < cut for f in found)
+        place = cut * total / shards
+        assert differ[at]  # no text's rows are in two shards: no group is large here
+        nearest = np.abs(edges[differ] - place).min()
+        assert abs(edges[at] - place) <= max(nearest, sharding.TOLERANCE * total / shards) + 1e-6
+
+
+def test_small_groups_share_a_shard_and_large_ones_are_cut(table):
+    docs = [(i, f"pair {i // 2} " + "x" * 200) for i in range(2000)] + [(5000 + i, "hot " * 50) for i in range(900)]
+    rows = sharding.shard(table("doc_id bigint, text string", docs), shards=6).collect()
+    where = {}
+    for r in rows:
+        where.setdefault(r.text, set()).add(r.shard)
+    assert len(where.pop("hot " * 50)) >= 2 and all(len(s) == 1 for s in where.values())
+    sizes = spread(rows, 6)
+    assert max(sizes) - min(sizes) <= 0.1 * sum(sizes) / 6
+
+
+def test_ranges_and_probes_are_bounded(table, monkeypatch):
+    tera = 100 << 40
+    assert sharding.number_of_ranges(tera, 24, sharding.RANGE_BYTES) == sharding.RANGES // 24 * 24
+    assert sharding.number_of_ranges(tera, 100, 1 << 30) == 65_500 and sharding.number_of_ranges(0, 24, 10) == 24
+    with pytest.raises(ValueError, match="shards"):
+        sharding.number_of_ranges(tera, 100_000, 1 << 30)
+    # With few ranges and probes allowed, every round still counts at no more places than that.
+    monkeypatch.setattr(sharding, "RANGES", 64)
+    monkeypatch.setattr(sharding, "PROBES", 256)
+    monkeypatch.setattr(sharding, "FIRST_BITS", 8)
+    df = table("doc_id bigint, text string", [(i, f"text {i}") for i in range(3000)])
+    seen = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    rows = sharding.shard(df, shards=8, range_bytes=10).collect()
+    assert len(seen) > 2 and max(map(len, seen[:-1])) <= 256
+    sizes = spread(rows, 8)
+    assert max(sizes) - min(sizes) <= 2 * max(r.size for r in rows)
+
+
 def test_shards_of_awkward_rows(awkward):
     rows = sharding.shard(awkward.withColumn("size", F.lit("old")), shards=3).collect()
     assert len(rows) == 8
