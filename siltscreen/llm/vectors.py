@@ -1,13 +1,18 @@
 """Near-duplicate vectors: Euclidean p-stable hashing in several tables, then exact cosines.
 
 Normalised vectors are projected on random directions; a table's bucket is the floor of a few shifted
-projections.  Vectors that share a bucket of any table are compared in double precision.  A bucket of
+projections.  The number of projections grows with the logarithm of the number of vectors, so a bucket holds
+about as many unrelated ones whatever their number, and tables are added to keep the chance of a miss
+(`plan`).  Vectors that share a bucket of any table are compared in double precision.  A bucket of
 any size is compared block by block, and a pair counts in the first table that it shares, so partner
 counts add up without a list of pairs.  Blocks return one count per vector and a spanning forest.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,20 +23,36 @@ from siltscreen.llm.common import bounded_batches, col, stored, tidy, without
 from siltscreen.llm.similar import components, forest, in_blocks, over_groups
 
 THRESHOLD = 0.9
-TABLES = 24
+#: Projections at least; more are taken while a bucket would hold more than LOAD unrelated vectors.
 PROJECTIONS = 8
+LOAD = 32
+#: Chance, at most, that a pair exactly at the threshold shares no bucket.
+MISS = 0.005
 WIDTH = 2.0
 BLOCK = 1024
 SEED = 20
 
 
-def missed(threshold: float = THRESHOLD, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH) -> float:
+def agreement(cosine: float, width: float = WIDTH) -> float:
+    """Chance that one quantised projection of two unit vectors is the same."""
+    r = width / math.sqrt(2 - 2 * cosine)
+    return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+def missed(tables: int, projections: int, threshold: float = THRESHOLD, width: float = WIDTH) -> float:
     """Chance that a pair exactly at the threshold shares no bucket."""
-    from math import erf, exp, pi, sqrt
+    return (1 - agreement(threshold, width) ** projections) ** tables
 
-    r = width / sqrt(2 - 2 * threshold)
-    one = erf(r / sqrt(2)) - 2 / (sqrt(2 * pi) * r) * (1 - exp(-r * r / 2))
-    return (1 - one**projections) ** tables
+
+def plan(vectors: int, threshold: float = THRESHOLD, width: float = WIDTH, load: float = LOAD, miss: float = MISS) -> tuple[int, int]:
+    """Tables and projections for a number of vectors.
+
+    Unrelated vectors are taken to be at right angles.  With p and q the chances of one projection for linked
+    and unrelated pairs, tables grow as the number of vectors to the power log(p) / log(q), 0.28 here.
+    """
+    needed = math.log(max(1.0, vectors / load)) / -math.log(agreement(0.0, width))
+    projections = max(PROJECTIONS, math.ceil(needed))
+    return math.ceil(math.log(miss) / math.log1p(-(agreement(threshold, width) ** projections))), projections
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +98,8 @@ def _buckets(x: np.ndarray, lengths: np.ndarray, tables: int, projections: int,
 def _compare(group: pa.Table, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of a pair of blocks: links whose first shared table is this one."""
     ids = np.array(group.column("_key").to_pylist(), object)
-    packed = group.column("_x").to_pylist()
-    # A bucket's code holds the length; should two lengths ever share one, the shorter are filled with zeros.
-    longest = max(map(len, packed))
-    x = np.frombuffer(b"".join(p.ljust(longest, b"\0") for p in packed), np.float64).reshape(len(ids), -1)
+    x, usable = _matrix(group.column("_v").combine_chunks())
+    assert len(usable) == len(ids)
     codes = np.frombuffer(b"".join(group.column("_codes").to_pylist()), np.int32).reshape(len(ids), -1)
     side, same = group.column("_side").to_numpy(zero_copy_only=False), group.column("_a")[0].as_py() == group.column("_b")[0].as_py()
     left = np.arange(len(ids)) if same else np.flatnonzero(~side)
@@ -99,31 +118,52 @@ def _compare(group: pa.Table, table: int, threshold: float) -> tuple[np.ndarray,
 
 
 def links(
-    vectors: DataFrame, vec: str = "embedding", row: str = "vec_id", threshold: float = THRESHOLD, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, block: int = BLOCK
+    vectors: DataFrame,
+    vec: str = "embedding",
+    row: str = "vec_id",
+    threshold: float = THRESHOLD,
+    tables: int | None = None,
+    projections: int | None = None,
+    width: float = WIDTH,
+    block: int = BLOCK,
 ) -> DataFrame:
     """`row`, `n_links`, `component_id`, `kept` for every id; see `near_vectors`."""
-    keyed = vectors.select(col(row).alias("_id"), col(vec).cast("array<double>").alias("_v"))
+    kind = vectors.select(col(vec)).schema[0].dataType.elementType
+    # Single precision travels as it is; everything is computed in double precision.
+    kind = kind if isinstance(kind, T.FloatType) else T.DoubleType()
+    keyed = vectors.select(col(row).alias("_id"), col(vec).cast(T.ArrayType(kind)).alias("_v")).filter("_id is not null and _v is not null")
 
-    def hashed(batches):
+    def usable_rows(batches):
         for batch in batches:
-            for low in range(0, len(batch), 4096):
-                part = batch.slice(low, 4096)
+            for low in range(0, len(batch), 1024):
+                part = batch.slice(low, 1024)
                 x, rows = _matrix(part.column(1))
-                lengths = part.column(1).value_lengths().to_numpy(zero_copy_only=False)[rows].astype(np.int64)
-                codes = _buckets(x, lengths, tables, projections, width)
-                packed = [x[i, :n].tobytes() for i, n in enumerate(lengths.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(packed, pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(list(codes), pa.list_(pa.int32()))], ["_id", "_x", "_codes", "_list"])
+                lengths = part.column(1).value_lengths().to_numpy(zero_copy_only=False)[rows]
+                keys = [hashlib.md5(x[i, :n].tobytes()).digest() for i, n in enumerate(lengths.tolist())]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in part.columns), pa.array(keys, pa.binary())], ["_id", "_v", "_key"])
 
     bounded_batches(vectors.sparkSession)
-    schema = T.StructType().add("_id", T.LongType()).add("_x", T.BinaryType()).add("_codes", T.BinaryType()).add("_list", T.ArrayType(T.IntegerType()))
-    usable = keyed.filter("_id is not null and _v is not null").mapInArrow(tidy(hashed), schema)
-    # Equal vectors are one class, named by a digest; how many rows it has counts as links.
-    usable = usable.withColumn("_key", F.unhex(F.md5("_x")))
-    first = {c: F.any_value(c).alias(c) for c in ("_x", "_codes", "_list")}
-    classes = stored(usable.groupBy("_key").agg(F.min("_id").alias("_low"), F.count("*").alias("_n"), *first.values()))
+    schema = T.StructType([*keyed.schema.fields, T.StructField("_key", T.BinaryType())])
+    usable = keyed.mapInArrow(tidy(usable_rows), schema)
+    # Equal directions are one class, named by a digest; how many rows it has counts as links.
+    distinct = stored(usable.groupBy("_key").agg(F.min("_id").alias("_low"), F.count("*").alias("_n"), F.any_value("_v").alias("_v")))
+    best = plan(distinct.count(), threshold, width)
+    tables, projections = tables or best[0], projections or best[1]
+
+    def hashed(batches):
+        for batch in batches:
+            for low in range(0, len(batch), 1024):
+                part = batch.slice(low, 1024)
+                x, _ = _matrix(part.column(3))
+                lengths = part.column(3).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                codes = _buckets(x, lengths, tables, projections, width)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(list(codes), pa.list_(pa.int32()))], [*part.schema.names, "_codes", "_list"])
+
+    schema = T.StructType([*distinct.schema.fields, T.StructField("_codes", T.BinaryType()), T.StructField("_list", T.ArrayType(T.IntegerType()))])
+    classes = stored(distinct.mapInArrow(tidy(hashed), schema))
     entries = classes.select("_key", F.posexplode("_list").alias("_table", "_bucket"))
     sizes = entries.groupBy("_table", "_bucket").agg(F.count("*").alias("_size")).filter("_size > 1")
-    placed = in_blocks(entries, sizes, ["_table", "_bucket"], "_key", block).join(classes.select("_key", "_n", "_x", "_codes"), "_key")
+    placed = in_blocks(entries, sizes, ["_table", "_bucket"], "_key", block).join(classes.select("_key", "_n", "_v", "_codes"), "_key")
 
     def compare(group: pa.Table) -> pa.RecordBatch:
         ids, a, b = _compare(group, int(group.column("_table")[0].as_py()), threshold)
@@ -138,7 +178,7 @@ def links(
         return pa.RecordBatch.from_arrays([pa.array(ids[hit].tolist(), pa.binary()), pa.array(found[hit]), pa.array(parent[hit].tolist(), pa.binary())], ["_key", "_found", "_parent"])
 
     made = T.StructType().add("_key", T.BinaryType()).add("_found", T.LongType()).add("_parent", T.BinaryType())
-    found = stored(over_groups(placed.select("_table", "_bucket", "_a", "_b", "_side", "_key", "_n", "_x", "_codes"), ["_table", "_bucket", "_a", "_b"], compare, made))
+    found = stored(over_groups(placed.select("_table", "_bucket", "_a", "_b", "_side", "_key", "_n", "_v", "_codes"), ["_table", "_bucket", "_a", "_b"], compare, made))
     counts = found.groupBy("_key").agg(F.sum("_found").alias("_found"))
     roots = components(found.select(F.col("_key").alias("a"), F.col("_parent").alias("b"))).withColumnRenamed("node", "_key")
     by_class = stored(classes.select("_key", "_low", "_n").join(counts, "_key", "left").join(roots, "_key", "left").withColumn("component", F.coalesce("component", "_key")))
@@ -155,8 +195,11 @@ def near_vectors(vectors: DataFrame, vec: str = "embedding", row: str = "vec_id"
     `component_id` is the smallest id reachable by links, and `kept` marks the row of that id.  A vector
     that is null, zero, or holds a null or non-finite component links with nothing; so does a row whose id
     is null (component null, not kept).  Rows that repeat an id with an equal vector link with each other.
-    Columns named like the results give way to them; ids are integers.
+    Columns named like the results give way to them; an empty table gives an empty one.  Ids are integers
+    and vectors arrays of numbers; other types are an error.
     """
+    if not isinstance(vectors.select(col(row)).schema[0].dataType, T.IntegralType):
+        raise TypeError(f"{row} must be a column of integers")
     keep = without(vectors, "n_links", "component_id", "kept")
     names = {c: f"_d{i}" for i, c in enumerate(keep)}
     bare = vectors.select(*[col(c).alias(n) for c, n in names.items()])

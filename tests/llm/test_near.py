@@ -210,8 +210,49 @@ def test_vectors_equal_brute_force(table, points, block):
     assert sum(f[0] for f in found.values()) >= 0.99 * sum(w[0] for w in want.values())
 
 
-def test_chance_of_a_miss_at_the_threshold():
-    assert vectors.missed() < 0.01
+def test_chance_of_a_miss_and_load_at_every_size():
+    shares = []
+    for n in (0, 100, 2000, 50_000, 10**6, 10**8, 10**10):
+        tables, projections = vectors.plan(n)
+        assert vectors.missed(tables, projections) <= 0.005
+        load = n * vectors.agreement(0.0) ** projections
+        assert load <= vectors.LOAD
+        shares.append(tables * load / max(n, 1))
+    assert shares[2:] == sorted(shares[2:], reverse=True) and shares[-2] < 1e-4  # what is compared falls with the number
+
+
+def test_agreement_of_projections():
+    rng = np.random.default_rng(3)
+    for cosine in (0.0, 0.9):
+        distance = math.sqrt(2 - 2 * cosine)
+        a = rng.uniform(0, vectors.WIDTH, 200_000)
+        b = a + rng.normal(size=len(a)) * distance
+        same = np.floor(a / vectors.WIDTH) == np.floor(b / vectors.WIDTH)
+        assert abs(same.mean() - vectors.agreement(cosine)) < 0.01
+
+
+def test_links_between_many_vectors(table):
+    """More vectors than the fewest projections are for: planted links are found and unrelated vectors stay apart."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(16_000, 48))
+    near = x[:2000] + rng.normal(size=(2000, 48)) * 0.3
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(np.concatenate([x, near]).astype(np.float32))]
+    assert vectors.plan(18_000)[1] > vectors.PROJECTIONS
+    found = {r.vec_id: r for r in vectors.near_vectors(table("vec_id bigint, embedding array<float>", rows)).collect()}
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    linked = [k for k in range(2000) if unit[k] @ unit[16_000 + k] >= 0.9]
+    assert len(linked) > 1900
+    assert sum(found[16_000 + k].component_id == k for k in linked) >= 0.99 * len(linked)
+    assert all(found[k].n_links == 0 and found[k].kept for k in range(2000, 16_000))
+
+
+def test_vectors_of_very_different_length_and_ids_of_another_type(table):
+    long = [0.5, -1.0] * 5000
+    df = table("vec_id bigint, embedding array<double>", [(1, long), (2, [1.0]), (3, [2.0]), (4, long[:-1] + [0.0]), (5, [1.0, 0.0])])
+    assert {(r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(df).collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 2), (4, 1, 1), (5, 0, 5)}
+    with pytest.raises(TypeError, match="integers"):
+        vectors.near_vectors(df.withColumn("vec_id", F.col("vec_id").cast("string")))
 
 
 def test_vector_ids_that_are_null_or_repeat(table):
