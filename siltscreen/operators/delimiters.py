@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltscreen.functions import patterns as P
+from siltscreen.functions.hosts import let
 from siltscreen.functions.phrases import remove_phrases
 
 
@@ -18,14 +20,16 @@ def literal_pattern(phrase: str) -> str:
 def _remove_in_order(text: Column, patterns: list[str]) -> Column:
     """Delete each pattern from what the one before left; a struct of the text and the count."""
 
-    def step(state: Column, pattern: Column) -> Column:
-        return F.struct(
-            F.regexp_replace(state["text"], pattern, F.lit("")).alias("text"),
-            (state["n"] + F.regexp_count(state["text"], pattern)).alias("n"),
-        )
+    def step(pattern: str) -> Callable[[Column], Column]:
+        # The pattern is a literal, so it is compiled once, not once a row.
+        found = lambda state: F.regexp_count(state["text"], F.lit(pattern))
+        left = lambda state: F.regexp_replace(state["text"], pattern, "")
+        return lambda state: F.struct(left(state).alias("text"), (state["n"] + found(state)).alias("n"))
 
-    start = F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("n"))
-    return F.aggregate(F.array(*[F.lit(p) for p in patterns]), start, step)
+    state = F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("n"))
+    for pattern in patterns:
+        state = let(state, step(pattern))
+    return state
 
 
 def _strip(df: DataFrame, patterns: list[str], gate: str, counter: str, text: str) -> DataFrame:

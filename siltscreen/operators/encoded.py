@@ -38,7 +38,7 @@ def base64_payloads(
     def replace(run: Column) -> Column:
         return _unless(run, fn.base64_is_payload(run, options.max_base64_run))
 
-    return rewrite_matches(df, P.BASE64_RUN, replace, "base64_payloads", text)
+    return rewrite_matches(df, P.BASE64_RUN, replace, "base64_payloads", text, P.BASE64_GATE)
 
 
 def hex_payloads(df: DataFrame, text: str = "text") -> DataFrame:
@@ -64,12 +64,12 @@ def base64_candidates(
     decoded = fn.decode_base64(F.col("run"))
     if options.max_base64_run is not None:
         decoded = F.when(F.length("run") <= F.lit(options.max_base64_run), decoded)
-    return _candidates(df, text, P.BASE64_RUN, decoded)
+    return _candidates(df, text, P.BASE64_RUN, decoded, P.BASE64_GATE)
 
 
 def hex_candidates(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per hex run: its place in the text, what it decodes to, and the verdict."""
-    return _candidates(df, text, P.HEX_RUN, fn.decode_hex(F.col("run")))
+    return _candidates(df, text, P.HEX_RUN, fn.decode_hex(F.col("run")), P.HEX_GATE)
 
 
 def candidate_bytes(run: Column, base: int) -> Column:
@@ -77,9 +77,9 @@ def candidate_bytes(run: Column, base: int) -> Column:
     return fn.base64_bytes(run) if base == 64 else fn.hex_bytes(run)
 
 
-def _candidates(df: DataFrame, text: str, pattern: str, decoded: Column) -> DataFrame:
+def _candidates(df: DataFrame, text: str, pattern: str, decoded: Column, gate: str) -> DataFrame:
     keys = [c for c in df.columns if c != text]
-    df = df.filter(F.col(text).rlike(pattern))
+    df = df.filter(F.col(text).rlike(gate))
     return (
         df.select(*keys, F.posexplode(fn.matches(F.col(text), pattern)).alias("run_no", "run"))
         .withColumn("decoded", decoded)
