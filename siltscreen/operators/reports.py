@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltscreen.schema import COMMAND_TOOL, COUNTERS, FILE_TOOL, LABELS, LOG_KEYS, PAGE_TOOL, SESSION_COUNTERS
+from siltscreen.sources.scratch import scratch_dir
 
 
 def threat_labels(stats: Column) -> Column:
@@ -46,13 +47,15 @@ def session_report(df: DataFrame, session: str) -> DataFrame:
     )
 
 
-def session_sources(df: DataFrame, session: str, order: str, bucket: Column) -> DataFrame:
+def session_sources(df: DataFrame, session: str, order: str, bucket: Column | None = None) -> DataFrame:
     """What a session processed, in order: one row per source with its `kind` and `position`.
 
-    A session may hold a third of all rows, so it is neither collected into one array nor
-    ranked in one task: rows are ranked inside a `bucket` of the order column, and the counts
-    of the earlier buckets, one row per (session, kind, bucket), are added.  `bucket` must not
-    decrease with `order` (see `order_buckets`).  A row of another tool has the kind "other".
+    `order` may be of any type that sorts; equal places are ordered by the source, a NULL comes first.  A
+    session may hold a third of all rows, so it is neither collected into one array nor ranked in one
+    task: rows are ranked inside a bucket, and the counts of the earlier buckets, one row per (session,
+    kind, bucket), are added.  Without a `bucket`, the buckets are the partitions of a range exchange
+    (see `ranged_sources`); a `bucket` given must not decrease with `order` and saves that exchange.  A
+    row of another tool has the kind "other".  A NULL session is a session; no rows give no rows.
     """
     kind = (
         F.when(F.col("tool") == PAGE_TOOL, "urls")
@@ -60,33 +63,70 @@ def session_sources(df: DataFrame, session: str, order: str, bucket: Column) ->
         .when(F.col("tool") == COMMAND_TOOL, "commands")
         .otherwise("other")
     )
-    keys = [session, "kind"]
-    listed = df.select(session, kind.alias("kind"), order, "source", bucket.alias("_bucket"))
-    in_bucket = Window.partitionBy(*keys, "_bucket").orderBy(order, "source")
-    ranked = listed.withColumn("_rank", F.row_number().over(in_bucket))
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    names = {"_session": F.col(session), "_kind": kind, "_order": F.col(order), "_source": F.col("source")}
+    listed = df.select(*[c.alias(name) for name, c in names.items()], *([] if bucket is None else [bucket.alias("_bucket")]))
+    if bucket is None:
+        listed = ranged_sources(listed)
+    else:
+        listed = listed.withColumn("_n", F.lit(1).cast("bigint"))
+    keys = ["_session", "_kind"]
+    in_bucket = Window.partitionBy(*keys, "_bucket").orderBy("_order", "_source").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = listed.withColumn("_rank", F.coalesce(F.sum("_n").over(in_bucket), F.lit(0)))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         listed.groupBy(*keys, "_bucket")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
+        .agg(F.sum("_n").alias("_all"))
+        .withColumn("_before", F.coalesce(F.sum("_all").over(earlier), F.lit(0)))
+        .drop("_all")
     )
     # A session, or a place in it, may be NULL: such rows are a session of their own.
     a, b = ranked.alias("a"), before.alias("b")
     same = F.lit(True)
     for name in (*keys, "_bucket"):
         same = same & F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}"))
-    position = (F.col("a._rank") + F.col("b._before")).cast("bigint").alias("position")
-    return a.join(b, same).select(*[F.col(f"a.{k}") for k in keys], position, "a.source")
+    start = F.col("a._rank") + F.col("b._before")
+    placed = a.join(b, same).select(*[F.col(f"a.{k}") for k in (*keys, "_source", "_n")], start.alias("_start"))
+    position = _repeated(placed) if bucket is None else placed.withColumn("_position", F.col("_start") + 1)
+    return position.select(
+        F.col("_session").alias(session), F.col("_kind").alias("kind"), F.col("_position").cast("bigint").alias("position"), F.col("_source").alias("source")
+    )
+
+
+#: Copies of one row that are written out by one row of the step before.
+COPIES = 10_000
+
+
+def ranged_sources(listed: DataFrame) -> DataFrame:
+    """Different rows of `listed` with their number `_n` and `_bucket`, the place of their range.
+
+    Equal rows are counted first, so a million copies are one row.  Ranges go by session, kind, order and
+    source, and are written before they are numbered: a task that runs again after an executor is lost
+    reads the same ranges, which sampled bounds alone do not promise.
+    """
+    spark = listed.sparkSession
+    folder = scratch_dir(spark, "ranges")
+    counted = listed.groupBy(*listed.columns).agg(F.count("*").alias("_n"))
+    ranges = counted.repartitionByRange(*listed.columns).withColumn("_bucket", F.spark_partition_id())
+    ranges.write.parquet(folder)
+    return spark.read.schema(ranges.schema).parquet(folder)
+
+
+def _repeated(placed: DataFrame) -> DataFrame:
+    """A row per position; many copies of a row are written out by several tasks."""
+    last = F.floor((F.col("_n") - 1) / COPIES)
+    parts = placed.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    many = parts.filter(F.col("_n") > COPIES).repartition("_start", "_part")
+    first = F.col("_start") + F.col("_part") * COPIES + 1
+    stop = F.least(F.col("_start") + F.col("_n"), first + (COPIES - 1))
+    spread = parts.filter(F.col("_n") <= COPIES).unionByName(many)
+    return spread.withColumn("_position", F.explode(F.sequence(first, stop)))
 
 
 def order_buckets(df: DataFrame, order: str, most: int = 64) -> Column:
     """A bucket number that does not decrease with `order`, with about as many rows in each.
 
-    There are as many buckets as the root of the number of rows, up to `most`, so the table of counts
-    that `session_sources` sums up stays small while no bucket of a hot session holds more than its part.
+    For an order that is a number.  There are as many buckets as the root of the number of rows, up to
+    `most`; `session_sources` without buckets has neither limit.
     """
     wanted = max(1, min(most, int(df.count() ** 0.5)))
     shares = [i / wanted for i in range(1, wanted)]

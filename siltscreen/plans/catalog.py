@@ -410,9 +410,7 @@ def e05(spark, sf):
 
 
 def e05_sources(spark, sf):
-    rows = session_rows(spark, sf)
-    bucket = reports.order_buckets(seeds.table(spark, sf, "conversations"), "turn")
-    return reports.session_sources(rows, "conv_id", "turn", bucket)
+    return reports.session_sources(session_rows(spark, sf), "conv_id", "turn")
 
 
 def log_rows(spark, sf) -> DataFrame:

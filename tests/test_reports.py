@@ -125,3 +125,34 @@ def test_log_summary_of_nothing(spark, tmp_path):
     log_source.log_write(reports.log_entries(empty, F.lit("safe_read"), F.lit("x")), path)
     row = reports.log_summary(log_source.log_rows(log_source.log_scan(spark, path))).first()
     assert (row.requests, row.total_input, row.avg_reduction, row.avg_duration_ms) == (0, 0, 0, None)
+
+
+def test_session_sources_of_any_order(spark):
+    """Times as the order, a hot session over many ranges, copies, NULLs and clashing names."""
+    many = spark.range(40_000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 50)).alias("kind"),
+        F.when(F.col("id") % 2 == 0, "safe_read").otherwise("safe_fetch").alias("tool"),
+        F.when(F.col("id") % 1001 > 0, F.timestamp_seconds(1_700_000_000 + F.col("id") * 7919 % 20_011)).alias("ts"),
+        F.concat(F.lit("f"), F.col("id") % 997).alias("source"),
+    )
+    want = {}
+    for r in sorted(many.collect(), key=lambda r: (r.ts is not None, r.ts and r.ts.timestamp(), r.source)):
+        want.setdefault((r.kind, "files" if r.tool == "safe_read" else "urls"), []).append(r.source)
+    listed = many.withColumnRenamed("kind", "who")
+    got = {}
+    for r in sorted(reports.session_sources(listed, "who", "ts").collect(), key=lambda r: r.position):
+        got.setdefault((r.who, r.kind), []).append((r.position, r.source))
+    assert got == {k: list(enumerate(v, 1)) for k, v in want.items()}
+
+
+def test_session_sources_spread_a_hot_session_and_its_copies(spark):
+    one = spark.range(1_000_000).select(F.lit("hot").alias("s"), F.lit("safe_read").alias("tool"), "id", F.concat(F.lit("f"), "id").alias("source"))
+    listed = one.select("s", "tool", "id", "source")
+    loads = reports.ranged_sources(listed).groupBy("_bucket").count().collect()
+    assert len(loads) == 8 and max(r["count"] for r in loads) < 2 * 1_000_000 / 8
+    got = reports.session_sources(listed, "s", "id")
+    assert got.filter("position <> bigint(substr(source, 2)) + 1").count() == 0
+    same = one.select("s", "tool", F.lit(None).cast("date").alias("day"), F.lit("f").alias("source"))
+    got = reports.session_sources(same, "s", "day").agg(F.count("*").alias("n"), F.min("position").alias("a"), F.max("position").alias("z"), F.count_distinct("position").alias("d"))
+    assert got.first() == (1_000_000, 1, 1_000_000, 1_000_000)
+    assert reports.session_sources(same.limit(0), "s", "day").collect() == []
