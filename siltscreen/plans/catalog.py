@@ -24,7 +24,7 @@ from siltscreen.schema import COMMAND_TOOL, COUNTERS, FILE_TOOL, HTML_COUNTERS,
 from siltscreen.sources import log as log_source
 from siltscreen.sources import tables
 from siltscreen.sources.scratch import scratch_dir
-from siltscreen.streaming import jobs
+from siltscreen.streaming import jobs, sessions
 
 WITH_PHRASE = SanitizeOptions(custom_patterns=(seeds.PHRASE,))
 
@@ -415,7 +415,10 @@ def e05_sources(spark, sf):
 
 def log_rows(spark, sf) -> DataFrame:
     """Log entries of all sanitised documents; times and durations follow from the id."""
-    rows = cleaned(spark, sf)
+    return as_entries(cleaned(spark, sf))
+
+
+def as_entries(rows: DataFrame) -> DataFrame:
     tool = F.when(F.col("doc_id") % 3 == 0, PAGE_TOOL).when(F.col("doc_id") % 3 == 1, FILE_TOOL).otherwise(COMMAND_TOOL)
     return reports.log_entries(
         rows,
@@ -461,17 +464,44 @@ def a05(spark, sf):
     return _log_columns(log_source.log_rows(_written_log(spark, sf)))
 
 
-def a05_rejects(spark, sf):
-    """Rejected lines of a log with a line a document, a third of them with a bad number, a third cut off."""
+def _raw_line():
+    """The log line of a document: of three, one is good, one has a bad number, one is cut off."""
     number = F.col("doc_id").cast("string")
     size = F.when(F.col("doc_id") % 3 == 1, F.lit('"bad"')).otherwise(number)
     line = F.concat(F.lit('{"tool":"' + FILE_TOOL + '","source":"doc/'), number, F.lit('","inputSize":'), size, F.lit(',"outputSize":1,"durationMs":2}'))
-    line = F.when(F.col("doc_id") % 3 == 2, F.substr(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+    return F.when(F.col("doc_id") % 3 == 2, F.substr(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+
+
+def a05_rejects(spark, sf):
+    """Rejected lines of a log with a line a document, a third of them with a bad number, a third cut off."""
     path = scratch_dir(spark, "log")
-    seeds.table(spark, sf, "documents").select(line.alias("value")).write.text(path)
+    seeds.table(spark, sf, "documents").select(_raw_line().alias("value")).write.text(path)
     return log_source.log_rejects(log_source.log_scan(spark, path)).withColumnRenamed("_corrupt_record", "line")
 
 
+def a04_stream(spark, sf):
+    """The text path over a stream of documents, logged line by line by an exactly-once sink."""
+    source = stream_table(spark, sf, "documents").select("doc_id", "source", "text")
+    done = sanitize_text(seeds.seeded_text(source, "doc_id"), options=WITH_PHRASE)
+    out = scratch_dir(spark, "log")
+    log_source.log_stream_write(as_entries(done), f"{out}/log", f"{out}/checkpoint").awaitTermination()
+    log = log_source.log_rows(log_source.log_scan(spark, f"{out}/log"))
+    return log.groupBy("tool").agg(F.count("*").alias("n"), F.sum("outputSize").alias("total_output"))
+
+
+def a05_tail(spark, sf):
+    """A log with a line a document, good ones and bad ones, read by byte positions."""
+    out = scratch_dir(spark, "log")
+    seeds.table(spark, sf, "documents").select(_raw_line().alias("value")).write.text(f"{out}/log")
+    log = log_source.log_tail(spark, f"{out}/log")
+    jobs.write_stream(log, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows")
+    good = F.col("_corrupt_record").isNull()
+    return rows.select(
+        F.when(good, F.col("source")).alias("source"), F.when(good, F.col("inputSize")).alias("input_size"), F.col("_corrupt_record").alias("rejected")
+    )
+
+
 def a06(spark, sf):
     return _log_columns(log_rows(spark, sf))
 
@@ -530,6 +560,17 @@ def h02(spark, sf):
     )
 
 
+def h04(spark, sf):
+    """Every turn of a stream of conversations, in the running totals of its conversation."""
+    source = stream_table(spark, sf, "conversations").select("conv_id", "turn", F.col("content").alias("text"))
+    rows = jobs.stream_sanitize(seeds.seeded_text(source, "conv_id"), options=WITH_PHRASE)
+    runs = sessions.stream_sessions(rows.withColumn("at", F.timestamp_seconds("turn")), "conv_id", "at")
+    out = scratch_dir(spark, "stream")
+    jobs.write_updates(runs, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    latest = jobs.latest_updates(spark.read.parquet(f"{out}/rows"), ["conv_id", "opened"])
+    return sessions.totals_of_runs(latest, "conv_id")
+
+
 def h03(spark, sf):
     source = tables.with_row_key(stream_table(spark, sf, "pages")).select("page_id", "html", ROW_KEY)
     out = scratch_dir(spark, "stream")
@@ -544,7 +585,9 @@ QUERIES = {
     "a2_files_scan": a02,
     "a3_command_output": a03,
     "a4_log_write": a04,
+    "a4_log_stream": a04_stream,
     "a5_log_scan": a05,
+    "a5_log_tail": a05_tail,
     "a5_log_rejects": a05_rejects,
     "a6_log_entry": a06,
     "a7_rejects": a07,
@@ -606,6 +649,7 @@ QUERIES = {
     "h1_stream_sanitize": h01,
     "h2_stream_totals": h02,
     "h3_stream_html": h03,
+    "h4_running_sessions": h04,
 }
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from siltscreen.schema import LOG_SCHEMA, PAGE_TOOL
+from siltscreen.sources.log_lines import LogLines
 
 
 def log_write(entries: DataFrame, path: str) -> None:
@@ -14,6 +16,35 @@ def log_write(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").option("ignoreNullFields", "true").json(path)
 
 
+def log_stream_write(entries: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append the entries of a stream to a log folder of its own, each line exactly once.
+
+    Every micro-batch lists its files in a manifest inside the folder when all are written, and a batch
+    that is replayed after a failure is listed once.  `log_scan` and `log_stream` read what the manifest
+    lists, so neither a half-written nor a doubled file counts.  `log_write` must not write to the same
+    folder: its files would be in no manifest.
+    """
+    return (
+        entries.writeStream.format("json")
+        .outputMode("append")
+        .option("ignoreNullFields", "true")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start(path)
+    )
+
+
+def log_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stream over a folder of `log_write` or `log_stream_write`, whose files never grow."""
+    return parse_lines(spark.readStream.text(path))
+
+
+def log_tail(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """A stream over log files that another program appends to: see `LogLines`."""
+    spark.dataSource.register(LogLines)
+    return parse_lines(spark.readStream.format("log_lines").options(**options).load(path))
+
+
 def log_scan(spark: SparkSession, path: str) -> DataFrame:
     """Read lines back; older lines may carry `url` for `source` and no `tool`.
 
