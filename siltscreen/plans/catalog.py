@@ -38,7 +38,10 @@ def documents(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = seeds.table(spark, sf_dir, "conversations")
+    return seeded_turns(seeds.table(spark, sf_dir, "conversations"))
+
+
+def seeded_turns(df: DataFrame) -> DataFrame:
     return seeds.seeded_text(df.withColumn("_k", F.col("conv_id") * 7 + F.col("turn")), "_k").drop("_k")
 
 
@@ -562,8 +565,7 @@ def h02(spark, sf):
 
 def h04(spark, sf):
     """Every turn of a stream of conversations, in the running totals of its conversation."""
-    source = stream_table(spark, sf, "conversations").select("conv_id", "turn", F.col("content").alias("text"))
-    rows = jobs.stream_sanitize(seeds.seeded_text(source, "conv_id"), options=WITH_PHRASE)
+    rows = jobs.stream_sanitize(seeded_turns(stream_table(spark, sf, "conversations")), options=WITH_PHRASE)
     runs = sessions.stream_sessions(rows.withColumn("at", F.timestamp_seconds("turn")), "conv_id", "at")
     out = scratch_dir(spark, "stream")
     jobs.write_updates(runs, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
