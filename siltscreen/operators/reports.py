@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltscreen.schema import COMMAND_TOOL, COUNTERS, FILE_TOOL, LABELS, LOG_KEYS, PAGE_TOOL, SESSION_COUNTERS
@@ -39,6 +39,27 @@ def session_totals(df: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def observed_totals(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """The rows as they are, and totals that come with the query that writes them: no second scan.
+
+    The job is the session.  Put it last, right before the write, so that the totals are taken in the
+    writing tasks: Spark counts such a task once, even when it runs again or twice, but not a task before
+    an exchange.  `totals_of` waits for the write.  NULL statistics and sizes count as nothing.
+    """
+    observation = Observation()
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in [*[(f"stats.{c}", c) for c in COUNTERS], ("input_size", "total_input"), ("output_size", "total_output")]]
+    return df.observe(observation, F.count(F.lit(1)).alias("total_requests"), *sums), observation
+
+
+def totals_of(spark: SparkSession, observation: Observation) -> DataFrame:
+    """One row: requests, counters, sizes and their reduction, after the observed query has run."""
+    names = ["total_requests", *COUNTERS, "total_input", "total_output"]
+    found = observation.get
+    row = spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} bigint" for n in names))
+    ratio = (1 - F.col("total_output") / F.col("total_input")) * 100
+    return row.withColumn("avg_reduction", F.when(F.col("total_input") > 0, _half_up(ratio)).otherwise(F.lit(0).cast("bigint")))
+
+
 def session_report(df: DataFrame, session: str) -> DataFrame:
     """The nine reported totals per session, one row per `(session, counter)`."""
     totals = session_totals(df, session)

@@ -402,6 +402,13 @@ def e04(spark, sf):
     return reports.session_totals(cleaned(spark, sf), "source")
 
 
+def e04_observed(spark, sf):
+    """Clean documents are written; their totals come with the write."""
+    done, totals = reports.observed_totals(cleaned(spark, sf))
+    done.select("doc_id", "content").write.parquet(scratch_dir(spark, "clean"))
+    return reports.totals_of(spark, totals)
+
+
 def session_rows(spark, sf) -> DataFrame:
     tool = F.when(F.col("turn") % 3 == 0, PAGE_TOOL).when(F.col("turn") % 3 == 1, FILE_TOOL).otherwise(COMMAND_TOOL)
     source = F.concat(F.col("role"), F.lit("/"), F.col("turn").cast("string"))
@@ -641,6 +648,7 @@ QUERIES = {
     "e2_clean_flag": e02,
     "e3_reduction_percent": e03,
     "e4_session_totals": e04,
+    "e4_observed_totals": e04_observed,
     "e5_session_report": e05,
     "e5_session_sources": e05_sources,
     "e6_log_summary": e06,

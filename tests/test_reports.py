@@ -156,3 +156,27 @@ def test_session_sources_spread_a_hot_session_and_its_copies(spark):
     got = reports.session_sources(same, "s", "day").agg(F.count("*").alias("n"), F.min("position").alias("a"), F.max("position").alias("z"), F.count_distinct("position").alias("d"))
     assert got.first() == (1_000_000, 1, 1_000_000, 1_000_000)
     assert reports.session_sources(same.limit(0), "s", "day").collect() == []
+
+
+def test_totals_come_with_the_write(spark, tmp_path):
+    """The observed totals are those of a second scan, and the source is read once."""
+    rows = [(i, ["a​b", "[INST] x", "clean", None][i % 4]) for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(4)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    done, observation = reports.observed_totals(sanitize_text(df.mapInPandas(counted, df.schema)))
+    done.write.parquet(str(tmp_path / "out"))
+    got = reports.totals_of(spark, observation).first()
+    assert read.value == 100 and spark.read.parquet(str(tmp_path / "out")).count() == 100
+    want = reports.session_totals(sanitize_text(df)).first()
+    assert {c: got[c] for c in want.asDict()} == want.asDict()
+    assert (got.total_input, got.total_output) == tuple(sanitize_text(df).agg(F.sum("input_size"), F.sum("output_size")).first())
+    none, observation = reports.observed_totals(sanitize_text(df.limit(0)))
+    none.write.parquet(str(tmp_path / "none"))
+    row = reports.totals_of(spark, observation).first()
+    assert set(row.asDict().values()) == {0}
