@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltscreen.functions import patterns as P
 from siltscreen.functions import text as fn
+from siltscreen.functions.hosts import let
 from siltscreen.operators.rewrite import rewrite_matches
 
 
@@ -24,11 +25,10 @@ def md_images(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _neutral(image: Column) -> Column:
-    alt = fn.image_alt(image)
-    label = F.when(alt == "", "[image removed]").otherwise(
-        F.concat(F.lit("[image: "), alt, F.lit("]"))
-    )
-    return F.when(fn.suspicious_url(fn.image_url(image)), label).otherwise(image)
+    def label(alt: Column) -> Column:
+        return F.when(alt == "", "[image removed]").otherwise(F.concat(F.lit("[image: "), alt, F.lit("]")))
+
+    return F.when(fn.suspicious_url(fn.image_url(image)), let(fn.image_alt(image), label)).otherwise(image)
 
 
 def sanitize_exfiltration(df: DataFrame, text: str = "text") -> DataFrame:
